@@ -6,6 +6,8 @@ the same rows.
 
 from pyspark.sql import functions as F
 
+from ..operators.tables import renumber
+
 
 def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -225,14 +227,14 @@ def envs(spark, d):
 
 # Growth of each microbe alone in each environment.
 SOLO = """solo AS (
-  SELECT l_orderkey % 20 AS env, l_partkey % 50 AS microbe, avg(l_discount) * 10 AS rate
+  SELECT l_orderkey % 20 AS env, l_partkey % 50 AS microbe, max(l_discount * l_quantity) AS rate
   FROM lineitem GROUP BY ALL)"""
 
 
 def solo(spark, d):
     return table(spark, d, "lineitem").groupBy(
         (F.col("l_orderkey") % 20).alias("env"), (F.col("l_partkey") % 50).alias("microbe")
-    ).agg((F.avg("l_discount") * 10).alias("rate"))
+    ).agg(F.max(F.col("l_discount") * F.col("l_quantity")).alias("rate"))
 
 
 # Net fluxes of compounds per pair, environment and run.
@@ -254,16 +256,15 @@ def flux(spark, d):
 
 # Epoch history of training runs.
 HISTORY = """history AS (
-  SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch,
+  SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS epoch,
          value AS val, value / 2 AS test FROM events)"""
 
 
 def history(spark, d):
-    from pyspark.sql import Window
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select(
-        F.col("user_id").alias("run"), (F.row_number().over(w) - 1).alias("epoch"),
-        F.col("value").alias("val"), (F.col("value") / 2).alias("test"),
+    events = table(spark, d, "events").select("event_id", "user_id", "value")
+    return renumber(events, "event_id", "epoch", ["user_id"]).select(
+        F.col("user_id").alias("run"), "epoch", F.col("value").alias("val"),
+        (F.col("value") / 2).alias("test"),
     )
 
 

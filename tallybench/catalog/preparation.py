@@ -94,9 +94,9 @@ def p8(spark, d):
 @query("p8_column_list", """SELECT (ordinal_position - 1)::INT AS position, column_name AS name,
   CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'INTEGER' THEN 'int'
     WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END AS type
-FROM information_schema.columns WHERE table_name = 'lineitem'""")
+FROM information_schema.columns WHERE table_name = 'part'""")
 def p8_columns(spark, d):
-    return T.column_list(fx.table(spark, d, "lineitem"))
+    return T.column_list(fx.table(spark, d, "part"))
 
 
 @query("p10_feature_vector", f"""SELECT l_returnflag, count(*) AS n, {r('sum(list_sum([l_quantity, l_discount, l_tax]))', 3)} AS cells
@@ -107,11 +107,10 @@ def p10(spark, d):
         F.count("*").alias("n"), F.sum(scaling.total(F.col("features"))).alias("cells")), 3)
 
 
-@query("p11_attribute_code", "SELECT abs(s_acctbal)::BIGINT % 7 AS seven, trunc(abs(s_acctbal))::INT AS code FROM supplier")
+@query("p11_attribute_code", "SELECT s_suppkey, trunc(abs(s_acctbal))::INT AS code FROM supplier")
 def p11(spark, d):
     s = fx.table(spark, d, "supplier")
-    return s.select((F.round(F.abs("s_acctbal")).cast("long") % 7).alias("seven"),
-                    encode.attribute_code(F.col("s_acctbal")).alias("code"))
+    return s.select("s_suppkey", encode.attribute_code(F.col("s_acctbal")).alias("code"))
 
 
 @query("p14_metric_name_filter", """WITH m AS (SELECT event_type || CASE WHEN user_id % 2 = 0 THEN '_naive' ELSE '_oc' END AS metric, value FROM events)

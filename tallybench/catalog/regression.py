@@ -78,10 +78,10 @@ def r6_std(spark, d):
     return _rescaled(spark, d, False)
 
 
-@query("r7_residuals", f"""WITH {fx.REG} SELECT model, split, {r('y_true', 3)} AS y_true, {r('y_pred', 3)} AS y_pred,
-  {r('y_true - y_pred', 3)} AS residual FROM reg""")
+@query("r7_residuals", f"""WITH {fx.REG} SELECT model, split, {r('y_true', 5)} AS y_true, {r('y_pred', 5)} AS y_pred,
+  {r('y_true - y_pred', 5)} AS residual FROM reg""")
 def r7(spark, d):
-    return fx.rounded(R.residuals(fx.reg(spark, d)), 3)
+    return fx.rounded(R.residuals(fx.reg(spark, d)), 5)
 
 
 @query("r7_identity_line", f"""WITH {fx.REG} SELECT model, split, {r('least(min(y_true), min(y_pred))', 5)} AS line_from,

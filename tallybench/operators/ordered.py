@@ -70,6 +70,32 @@ def running_sums(df, keys, order, values, descending=False) -> DataFrame:
     )
 
 
+BLOCK = 65_536
+
+
+def running_max(df, keys, order, value, out, inclusive=True) -> DataFrame:
+    """Add ``out``: maximum of ``value`` over the rows up to (or before) each row.
+
+    ``order`` is a whole number. Blocks of 65,536 numbers are cumulated apart and
+    then joined with the maximum of the earlier blocks, so a long group is spread.
+    """
+    keys = list(keys)
+    blocked = df.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1
+    )
+    local = blocked.select("*", F.max(value).over(inside).alias("_in"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    blocks = blocked.groupBy(*keys, "_block").agg(F.max(value).alias("_max")).select(
+        *keys, "_block", F.max("_max").over(before).alias("_earlier")
+    )
+    return local.join(blocks, on=keys + ["_block"]).select(
+        *df.columns, F.greatest("_in", "_earlier").alias(out)
+    )
+
+
 HASH_DIGITS = 3
 
 

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .ordered import running_max
+
 
 def metrics_named(metrics, part) -> DataFrame:
     """Metric rows whose name contains ``part``."""
@@ -70,29 +72,29 @@ def early_stopping(history, patience, run="run", stop_first=False) -> DataFrame:
     An epoch improves when its val exceeds every earlier one. Training ends at the
     first epoch after which more than ``patience`` epochs in a row did not improve.
     With ``stop_first`` it ends one epoch earlier, when exactly ``patience`` did
-    not, and that epoch is not considered. A history belongs to one training run,
-    so its window is as long as that run.
+    not. Epochs are numbered from 0.
     """
-    order = Window.partitionBy(run).orderBy("epoch")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    improves = F.coalesce(
-        F.col("val") > F.max("val").over(before), F.col("val").isNotNull() & ~F.isnan("val")
+    known = F.col("val").isNotNull() & ~F.isnan("val")
+    clean = history.withColumn("_val", F.when(known, F.col("val")))
+    reached = running_max(clean, [run], "epoch", "_val", "_before", inclusive=False)
+    improves = F.coalesce(F.col("_val") > F.col("_before"), F.col("_val").isNotNull())
+    flagged = reached.withColumn("_up", F.when(improves, F.col("epoch")))
+    waited = running_max(flagged, [run], "epoch", "_up", "_last_up").withColumn(
+        "_bad", F.col("epoch") - F.coalesce("_last_up", F.lit(-1))
     )
-    flagged = history.withColumn("improves", improves)
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_best = F.max(F.when(F.col("improves"), F.col("epoch"))).over(upto)
-    first_epoch = F.min("epoch").over(Window.partitionBy(run))
-    waited = flagged.withColumn("bad", F.col("epoch") - F.coalesce(last_best, first_epoch - 1))
     limit = patience if stop_first else patience + 1
-    stops = waited.withColumn(
-        "stop", F.min(F.when(F.col("bad") >= limit, F.col("epoch"))).over(Window.partitionBy(run))
+    stops = waited.groupBy(run).agg(
+        F.min(F.when(F.col("_bad") >= limit, F.col("epoch"))).alias("_stop")
+    )
+    # A null stop means the run used all its epochs.
+    seen = waited.join(stops, run).filter(
+        F.col("_stop").isNull() | (F.col("epoch") <= F.col("_stop"))
     )
-    seen = stops.filter(F.col("stop").isNull() | (F.col("epoch") <= F.col("stop")))
-    best = F.max_by(F.struct("epoch", "val", "test"), F.when(F.col("improves"), F.col("epoch")))
+    best = F.max_by(F.struct("epoch", "val", "test"), F.col("_up"))
     return (
         seen.groupBy(run)
         .agg(best.alias("b"), F.max("epoch").alias("last_epoch"),
-             F.max("stop").isNotNull().alias("stopped_early"))
+             F.max("_stop").isNotNull().alias("stopped_early"))
         .select(run, F.col("b.epoch").alias("best_epoch"), F.col("b.val").alias("best_val"),
                 F.col("b.test").alias("best_test"), "last_epoch", "stopped_early")
     )

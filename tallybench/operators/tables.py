@@ -124,10 +124,13 @@ def to_features(df, columns, out="features") -> DataFrame:
     return df.select(*rest, F.array(*[F.col(c).cast("double") for c in columns]).alias(out))
 
 
-def renumber(df, key, out="index") -> DataFrame:
-    """0-based index in the order of a unique numeric key, without a global sort."""
-    one = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_sums(one, [], key, ["_one"]).select(
+def renumber(df, key, out="index", groups=()) -> DataFrame:
+    """0-based index in the order of a unique numeric key, overall or per group.
+
+    No task sorts a whole group: see ``running_sums``.
+    """
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    return running_sums(ones, groups, key, ["_one"]).select(
         *df.columns, (F.col("cum__one") - 1).alias(out)
     )
 
