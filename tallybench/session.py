@@ -1,6 +1,7 @@
 """Session helpers: reliable lineage cuts and size checks."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +35,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, rows: int) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than needed."""
     return df.limit(rows + 1).count() <= rows
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a written table: shared on a cluster, temporary locally."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        shared = tempfile.mkdtemp(prefix="tallybench-tables-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
