@@ -1,0 +1,213 @@
+"""Queries that fit models, cluster, explain, generate and label."""
+
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.sql import functions as F
+
+from ..operators import classification as C, scaling, statistics as S, tables as T
+from ..operators.clustering import compare_methods
+from ..plans import cluster as K, explain as X, labelling as L, spectral, supervised as M, synth as Y
+from ..session import scratch_folder
+from . import fixtures as fx
+from .fixtures import r
+from .registry import query
+
+FAST = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3}
+
+
+def _data(spark, d, label="bin"):
+    rows = fx.emb(spark, d).select("row_id", "features", F.col(label).alias("label"))
+    return T.train_val_test_split(rows, "row_id")
+
+
+def _parts(spark, d, label="bin"):
+    data = _data(spark, d, label)
+    return [data.filter(F.col("split") == s).drop("split") for s in ("train", "val", "test")]
+
+
+def _regression(spark, d):
+    data = _data(spark, d)
+    return data.withColumn("label", F.get("features", 0) * 3 + F.get("features", 1))
+
+
+def _binary(spark, d, estimator):
+    train, val, test = _parts(spark, d)
+    return fx.rounded(C.binary_bundle(M.predict(M.fit(estimator, train, val), test), []))
+
+
+@query("m1_boosted_binary")
+def m1(spark, d):
+    return _binary(spark, d, M.boosted_classifier(**FAST))
+
+
+@query("m2_boosted_regressor")
+def m2(spark, d):
+    return fx.rounded(M.regression_summary({"boosted": M.boosted_regressor(**FAST)}, _regression(spark, d)))
+
+
+@query("m3_boosted_multiclass")
+def m3(spark, d):
+    models = {"boosted": M.boosted_multiclass(maxIter=3, maxDepth=3, stepSize=0.3)}
+    return fx.rounded(M.classification_summary(models, _data(spark, d, "label")))
+
+
+@query("m4_forest")
+def m4(spark, d):
+    return _binary(spark, d, M.forest_classifier(numTrees=10, maxDepth=4, seed=1))
+
+
+@query("m5_perceptron")
+def m5(spark, d):
+    return _binary(spark, d, M.perceptron(64, 2, (16,), maxIter=30, seed=1))
+
+
+@query("m6_predictions", f"WITH {fx.EMB} SELECT row_id, bin AS y_true, true AS sums_to_one, true AS in_range FROM emb")
+def m6(spark, d):
+    train, val, _ = _parts(spark, d)
+    rows = M.predict(M.fit(M.logistic(maxIter=10), train), _data(spark, d))
+    return rows.select(
+        "row_id", "y_true",
+        (F.abs(F.aggregate("prob", F.lit(0.0), lambda a, p: a + p) - 1) < 1e-9).alias("sums_to_one"),
+        F.col("score").between(0, 1).alias("in_range"))
+
+
+@query("s9_model_round_trip", "SELECT count(*) AS n, 0::BIGINT AS differing FROM embeddings")
+def s9(spark, d):
+    data = _data(spark, d)
+    model = M.fit(M.logistic(maxIter=10), data.filter("split = 'train'"))
+    path = scratch_folder(spark, "model")
+    model.write().overwrite().save(path)
+    again = LogisticRegressionModel.load(path)
+    a = M.predict(model, data).select("row_id", "y_pred", "score")
+    b = M.predict(again, data).select("row_id", F.col("y_pred").alias("p2"), F.col("score").alias("s2"))
+    different = (F.col("y_pred") != F.col("p2")) | (F.col("score") != F.col("s2"))
+    return a.join(b, "row_id").agg(F.count("*").alias("n"), F.count_if(different).alias("differing"))
+
+
+@query("m7_kmeans")
+def m7(spark, d):
+    rows = scaling.standard_scale(fx.emb(spark, d).select("row_id", "features"))
+    return K.kmeans(rows, "row_id", 3, starts=3)
+
+
+@query("m8_hierarchical")
+def m8(spark, d):
+    rows = scaling.standard_scale(fx.emb(spark, d).select("row_id", "features"))
+    return K.hierarchical(rows, "row_id", 3)
+
+
+@query("m9_fair_spectral")
+def m9(spark, d):
+    rows = scaling.standard_scale(fx.emb(spark, d).select("row_id", "features", "bin"))
+    return spectral.fair_spectral_clusters(rows, "row_id", 3)
+
+
+@query("m10_density_fair")
+def m10(spark, d):
+    rows = scaling.standard_scale(fx.emb(spark, d).select("row_id", "features", "bin"))
+    return spectral.density_fair_clusters(rows, "row_id", 3, ["bin"])
+
+
+@query("m12_principal_components")
+def m12(spark, d):
+    rows = scaling.standard_scale(fx.emb(spark, d).select("row_id", "features"))
+    return K.principal_components(rows, "row_id", 2)
+
+
+@query("c3_all_methods")
+def c3_all(spark, d):
+    rows = scaling.standard_scale(fx.emb(spark, d).select("row_id", "features"))
+    return fx.rounded(compare_methods(rows, K.comparison_methods(rows, "row_id", 3), "row_id"))
+
+
+@query("m13_shapley_importance")
+def m13(spark, d):
+    data = _data(spark, d)
+    model = M.fit(M.logistic(maxIter=10), data.filter("split = 'train'"))
+    table = X.shapley_table(model, data.filter("split = 'test'"), data.filter("split = 'train'"), "row_id", 2)
+    return fx.rounded(S.top_features(S.feature_importance(table)))
+
+
+@query("m14_permutation_importance")
+def m14(spark, d):
+    data = _data(spark, d)
+    model = M.fit(M.logistic(maxIter=10), data.filter("split = 'train'"))
+    return fx.rounded(X.permutation_importance(model, data.filter("split = 'test'"), C.accuracy, "row_id"))
+
+
+@query("m15_benchmark_classification")
+def m15(spark, d):
+    models = {"logistic": M.logistic(maxIter=10), "forest": M.forest_classifier(numTrees=10, maxDepth=4, seed=1)}
+    return fx.rounded(M.classification_summary(models, _data(spark, d, "label")))
+
+
+@query("m15_benchmark_regression")
+def m15_regression(spark, d):
+    models = {"boosted": M.boosted_regressor(**FAST), "forest": M.forest_regressor(numTrees=10, seed=1)}
+    return fx.rounded(M.regression_summary(models, _regression(spark, d)))
+
+
+@query("m16_augmentation")
+def m16(spark, d):
+    data = _data(spark, d)
+    train = data.filter("split = 'train'")
+    extra = Y.sample_rows(train, 200, "row_id", seed=3)
+    return fx.rounded(M.compare_augmentation(M.boosted_classifier(**FAST), data, extra))
+
+
+@query("m17_synthetic_rows")
+def m17(spark, d):
+    real = fx.emb(spark, d).select("row_id", "features", "label")
+    return Y.sample_rows(real, 400, "row_id", seed=5)
+
+
+@query("m17_values_come_from_real_rows", "SELECT 400::BIGINT AS n, 64::BIGINT AS width, 0::BIGINT AS foreign_cells")
+def m17_check(spark, d):
+    real = fx.emb(spark, d).select("row_id", "features", "label")
+    fake = Y.sample_rows(real, 400, "row_id", seed=5)
+    seen = scaling.positions(real, ["label"]).distinct()
+    unknown = scaling.positions(fake, ["label"]).join(seen, ["label", "pos", "x"], "left_anti")
+    shape = fake.agg(F.count("*").alias("n"), F.max(F.size("features")).cast("long").alias("width"))
+    return shape.withColumn("foreign_cells", unknown.agg(F.count("*")).scalar())
+
+
+@query("m18_detection_score")
+def m18(spark, d):
+    rows = fx.emb(spark, d).select("row_id", "features", "label")
+    fake = Y.sample_rows(rows, 400, "row_id", seed=5)
+    return fx.rounded(Y.detection_score(rows, fake, "row_id", width=64, max_iter=20))
+
+
+E3 = f"""WITH {fx.SOLO}, g AS (SELECT s.env, f.microbe AS m1, s.microbe AS m2, f.rate / 100 AS solo1, s.rate / 100 AS solo2
+  FROM solo s JOIN solo f ON s.env = f.env AND f.microbe IN (3, 7, 11)),
+pr AS (SELECT l_orderkey % 20 AS env, l_suppkey % 50 AS m1, l_partkey % 50 AS m2, max(l_discount) / 2 AS best1, max(l_tax) AS kept1,
+  min(l_discount) AS kept2, max(l_tax) / 2 AS best2 FROM lineitem GROUP BY ALL),
+c AS (SELECT env, m1, m2, {fx.CATEGORY} AS category FROM g JOIN pr USING (env, m1, m2)),
+a AS (SELECT g.env, g.m1, g.m2, coalesce(category, 17) AS category FROM g LEFT JOIN c USING (env, m1, m2))"""
+
+
+def _interactions(spark, d):
+    line = fx.table(spark, d, "lineitem")
+    rates = line.groupBy(
+        (F.col("l_orderkey") % 20).alias("env"), (F.col("l_suppkey") % 50).alias("m1"),
+        (F.col("l_partkey") % 50).alias("m2"),
+    ).agg((F.max("l_discount") / 2).alias("best1"), F.max("l_tax").alias("kept1"),
+          F.min("l_discount").alias("kept2"), (F.max("l_tax") / 2).alias("best2"))
+    solo = fx.solo(spark, d).withColumn("rate", F.col("rate") / 100)
+    return L.interaction_table(solo, rates, [3, 7, 11])
+
+
+@query("e3_interaction_table", f"{E3} SELECT * FROM a")
+def e3(spark, d):
+    return _interactions(spark, d)
+
+
+@query("e3_labelled_environments", f"""{E3}, {fx.ENVS}, x AS (SELECT env, list(compound) AS inside FROM envs GROUP BY env),
+v AS (SELECT env, m1, m2, CASE category WHEN 4 THEN 0 WHEN 1 THEN 1 WHEN 13 THEN 2 WHEN 10 THEN 3 WHEN 16 THEN 4 END AS label FROM a),
+k AS (SELECT m1 || '-' || m2 || '-' || env AS row_id, label, len(inside) AS present FROM v JOIN x USING (env) WHERE label IS NOT NULL),
+o AS (SELECT *, row_number() OVER (ORDER BY md5('4421:' || row_id), row_id) AS rk, count(*) OVER () AS n FROM k)
+SELECT row_id, label, present::DOUBLE AS present, CASE WHEN rk <= ceil(round(ceil(round(n * 0.4, 9)) * 0.5, 9)) THEN 'test'
+  WHEN rk <= ceil(round(n * 0.4, 9)) THEN 'val' ELSE 'train' END AS split FROM o""")
+def e3_labelled(spark, d):
+    rows = L.labelled_environments(_interactions(spark, d), fx.envs(spark, d), 150)
+    present = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("row_id", "label", present.alias("present"), "split")
