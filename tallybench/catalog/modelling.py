@@ -113,10 +113,11 @@ def m12(spark, d):
     return K.principal_components(rows, "row_id", 2)
 
 
-@query("c3_all_methods")
-def c3_all(spark, d):
+@query("c3_baseline_methods")
+def c3_baselines(spark, d):
     rows = scaling.standard_scale(fx.emb(spark, d).select("row_id", "features"))
-    return fx.rounded(compare_methods(rows, K.comparison_methods(rows, "row_id", 3), "row_id"))
+    methods = {"hierarchical": K.hierarchical(rows, "row_id", 3), "k_means": K.kmeans(rows, "row_id", 3)}
+    return fx.rounded(compare_methods(rows, methods, "row_id"))
 
 
 @query("m13_shapley_importance")

@@ -10,19 +10,42 @@ PRESENT_BOUND = -1000.0
 NO_GROWTH = 17
 
 
-def _holds(test: Column, *sides: Column) -> Column:
-    """A comparison that is false when a side is NaN or missing."""
-    for side in sides:
-        test = test & ~F.isnan(side)
-    return F.coalesce(test, F.lit(False))
+# Category by the change of the first and second microbe, each
+# -1 (worse), 0 (same within tolerance) or 1 (better).
+CATEGORY_OF_CHANGES = {
+    (1, 1): 1, (1, 0): 2, (0, 1): 3, (-1, -1): 4, (-1, 0): 5,
+    (0, -1): 6, (0, 0): 7, (1, -1): 8, (-1, 1): 9,
+}
 
 
-def _lt(x, y):
-    return _holds(x < y, x, y)
+def number_or_null(x) -> Column:
+    """NaN as null: a comparison with it then never selects a branch."""
+    return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
 
 
-def _near_zero(x, tol):
-    return _lt(x, F.lit(tol)) & _lt(F.lit(-tol), x)
+def change(x, base, tol=GROWTH_TOL) -> Column:
+    """1, 0 or -1 for better, same (bounds inclusive) or worse; null if undecidable."""
+    return F.when(x > base + tol, 1).when(x >= base - tol, 0).when(x < base - tol, -1)
+
+
+def category_of(solo1, best1, kept1, solo2, kept2, best2, change1, change2,
+                tol=GROWTH_TOL) -> Column:
+    """Interaction category from cleaned rates and the two changes."""
+    def absent(x):
+        return (x < tol) & (x > -tol)
+
+    both = F.array(*[
+        F.lit(CATEGORY_OF_CHANGES[(i, j)]) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    out = (
+        F.when(solo1 + best1 + kept1 + solo2 + kept2 + best2 < tol, NO_GROWTH)
+        .when(absent(kept1) & absent(best1), NO_GROWTH)
+        .when(absent(best2) & absent(kept2), NO_GROWTH)
+        .when((solo1 < tol) & (solo2 < tol) & (change1 == 1) & (change2 == 1), 16)
+        .when(solo1 < tol, F.when(change2 == 1, 10).when(change2 == 0, 11).otherwise(12))
+        .when(solo2 < tol, F.when(change1 == 1, 13).when(change1 == 0, 14).otherwise(15))
+        .otherwise(F.get(both, (change1 + 1) * 3 + change2 + 1))
+    )
+    return F.coalesce(out, F.lit(NO_GROWTH)).cast("int")
 
 
 def categorise(solo1, best1, kept1, solo2, kept2, best2, tol=GROWTH_TOL) -> Column:
@@ -33,46 +56,14 @@ def categorise(solo1, best1, kept1, solo2, kept2, best2, tol=GROWTH_TOL) -> Colu
     matching rule decides. Comparisons with NaN are false, so an undecidable
     pair ends in 17.
     """
-    low = F.lit(tol)
-
-    def better(x, base):
-        return _lt(base + tol, x)
-
-    def worse(x, base):
-        return _lt(x, base - tol)
-
-    def same(x, base):
-        return _holds((x >= base - tol) & (x <= base + tol), x, base)
-
-    def three_way(x, base, up, level, down):
-        return F.when(better(x, base), up).when(same(x, base), level).otherwise(down)
-
-    everything = solo1 + best1 + kept1 + solo2 + kept2 + best2
-    out = (
-        F.when(_lt(everything, low), NO_GROWTH)
-        .when(_near_zero(kept1, tol) & _near_zero(best1, tol), NO_GROWTH)
-        .when(_near_zero(best2, tol) & _near_zero(kept2, tol), NO_GROWTH)
-        .when(
-            _lt(solo1, low) & _lt(solo2, low) & better(best1, solo1) & better(best2, solo2),
-            16,
-        )
-        .when(_lt(solo1, low), three_way(best2, solo2, 10, 11, 12))
-        .when(_lt(solo2, low), three_way(best1, solo1, 13, 14, 15))
-    )
-    # Category of each pair of changes (first, second microbe).
-    for first, second, category in (
-        (better, better, 1), (better, same, 2), (same, better, 3),
-        (worse, worse, 4), (worse, same, 5), (same, worse, 6),
-        (same, same, 7), (better, worse, 8), (worse, better, 9),
-    ):
-        out = out.when(first(best1, solo1) & second(best2, solo2), category)
-    return out.otherwise(NO_GROWTH).cast("int")
+    clean = [number_or_null(x) for x in (solo1, best1, kept1, solo2, kept2, best2)]
+    s1, b1, _, s2, _, b2 = clean
+    return category_of(*clean, change(b1, s1, tol), change(b2, s2, tol), tol)
 
 
 def is_strong_competition(category, best1, best2, tol=GROWTH_TOL) -> Column:
     """Both lose (category 4) and at least one no longer grows."""
-    low = F.lit(tol)
-    return (category == 4) & (_lt(best1, low) | _lt(best2, low))
+    return (category == 4) & F.coalesce((best1 < tol) | (best2 < tol), F.lit(False))
 
 
 def flux_role(flux, tol=FLUX_TOL) -> Column:

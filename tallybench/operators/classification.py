@@ -25,17 +25,13 @@ def confusion_counts(preds: DataFrame, keys, y_true="y_true", y_pred="y_pred"):
 def confusion_matrix(preds, keys, classes) -> DataFrame:
     """Confusion counts of all class pairs, absent pairs as 0."""
     counts = confusion_counts(preds, keys)
+    # At most classes x classes entries per group.
+    cells = F.map_from_entries(F.collect_list(F.struct(F.struct("y_true", "y_pred"), "n")))
     labels = F.array(*[F.lit(int(c)) for c in classes])
-    grid = (
-        counts.select(*keys).distinct() if keys else counts.agg(F.count("*").alias("_all"))
-    )
-    grid = grid.withColumn("y_true", F.explode(labels)).withColumn(
-        "y_pred", F.explode(labels)
-    )
-    on = list(keys) + ["y_true", "y_pred"]
-    return grid.join(counts, on=on, how="left").select(
-        *on, F.coalesce("n", F.lit(0)).alias("n")
-    )
+    grid = counts.groupBy(*keys).agg(cells.alias("_cells")).withColumn(
+        "y_true", F.explode(labels)).withColumn("y_pred", F.explode(labels))
+    n = F.try_element_at("_cells", F.struct("y_true", "y_pred"))
+    return grid.select(*keys, "y_true", "y_pred", F.coalesce(n, F.lit(0)).alias("n"))
 
 
 def confusion_pivot(preds, keys, class_names) -> DataFrame:
@@ -189,6 +185,10 @@ def classification_report(preds, keys, labels=None) -> DataFrame:
     return classes.unionByName(summary.select(*keys, F.inline(rows)))
 
 
+def _all_scores(preds, prob):
+    return preds.select(F.explode(prob).alias("score"))
+
+
 def _class_scores(preds, keys, prob="prob"):
     """Counts by (keys, class, score, y_true): what all one-vs-* AUCs need."""
     exploded = preds.select(
@@ -209,7 +209,7 @@ def ovr_auc_per_class(preds, keys, prob="prob") -> DataFrame:
         F.sum(F.when(F.col("y_true") != F.col("class"), F.col("n")).otherwise(0))
         .alias("neg"),
     )
-    return roc_auc(binary, list(keys) + ["class"]).withColumnRenamed("positives", "support")
+    return roc_auc(binary, list(keys) + ["class"], _all_scores(preds, prob)).withColumnRenamed("positives", "support")
 
 
 def ovr_auc(preds, keys, prob="prob") -> DataFrame:
@@ -238,7 +238,7 @@ def ovo_auc_weighted(preds, keys, n_classes, prob="prob") -> DataFrame:
         .agg(F.sum(F.when(own, F.col("n")).otherwise(0)).alias("pos"),
              F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("neg"))
     )
-    sided = roc_auc(binary, list(keys) + ["class", "other"])
+    sided = roc_auc(binary, list(keys) + ["class", "other"], _all_scores(preds, prob))
     pairs = (
         sided.withColumn("a", F.least("class", "other"))
         .withColumn("b", F.greatest("class", "other"))

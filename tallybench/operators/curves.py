@@ -19,8 +19,9 @@ def score_counts(preds: DataFrame, keys, score="score", positive: Column = None)
     )
 
 
-def _descending(counts, keys):
-    return running_sums(counts, keys, "score", ["pos", "neg"], descending=True).select(
+def _descending(counts, keys, source=None):
+    summed = running_sums(counts, keys, "score", ["pos", "neg"], descending=True, source=source)
+    return summed.select(
         *keys, "score", "pos", "neg",
         F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
         F.col("all_pos").alias("positives"), F.col("all_neg").alias("negatives"),
@@ -46,12 +47,12 @@ def _pr_terms():
     )
 
 
-def _areas(counts, keys):
+def _areas(counts, keys, source=None):
     recall, precision, recall0, precision0 = _pr_terms()
     tp, pos, neg = F.col("tp"), F.col("pos"), F.col("neg")
     # Positives ranked above each negative, ties counted half.
     wins = neg.cast("double") * (tp - pos) + neg.cast("double") * pos / 2
-    return _descending(counts, keys).groupBy(*keys).agg(
+    return _descending(counts, keys, source).groupBy(*keys).agg(
         _share(F.sum(wins), F.max("positives").cast("double") * F.max("negatives"))
         .alias("roc_auc"),
         F.sum((recall - recall0) * (precision + precision0) / 2).alias("pr_auc"),
@@ -59,14 +60,18 @@ def _areas(counts, keys):
     )
 
 
-def roc_auc(counts: DataFrame, keys) -> DataFrame:
-    """Exact ROC AUC of collapsed counts; null when a group has one class only."""
-    return _areas(counts, keys).drop("pr_auc")
+def roc_auc(counts: DataFrame, keys, source=None) -> DataFrame:
+    """Exact ROC AUC of collapsed counts; null when a group has one class only.
+
+    ``source`` is a table with the uncollapsed ``score`` (see ``running_sums``).
+    """
+    return _areas(counts, keys, source).drop("pr_auc")
 
 
 def curve_areas(preds, keys, score="score") -> DataFrame:
     """ROC AUC and PR AUC (trapezoid over curve points) from one ordered pass."""
-    return _areas(score_counts(preds, keys, score), keys).drop("positives", "negatives")
+    source = preds.select(F.col(score).alias("score"))
+    return _areas(score_counts(preds, keys, score), keys, source).drop("positives", "negatives")
 
 
 def binary_roc_auc(preds, keys, score="score") -> DataFrame:

@@ -93,7 +93,15 @@ def knn_join(queries, rows, k, metric="euclidean") -> DataFrame:
 
     ``queries`` is (q, features), ``rows`` is (c, features).
     """
+    partial = "q long, c long, distance double"
+    search = blocks.nearest(k, metric)
     n_rows = rows.count()
+    if n_rows <= BLOCK_ROWS:
+        # One block of rows: every query meets it, no cell can be ruled out.
+        whole = F.lit(0).alias("cell")
+        tiles = _tiled(queries.select("q", "features", whole), rows.select("c", "features", whole),
+                       _block_counts([queries.count()]), [1], search, partial)
+        return _best(tiles, k)
     pivots = _pick_pivots(rows, min(MAX_PIVOTS, max(1, n_rows // BLOCK_ROWS)))
     width = len(pivots)
     assign = blocks.to_pivots(pivots, metric)
@@ -104,8 +112,6 @@ def knn_join(queries, rows, k, metric="euclidean") -> DataFrame:
     c_size, radius = _per_cell(c_cells, width, F.count("*"), F.max("rho"))
     (q_size,) = _per_cell(q_cells, width, F.count("*"))
     c_blocks = _block_counts(c_size)
-    partial = "q long, c long, distance double"
-    search = blocks.nearest(k, metric)
     own = _best(_tiled(q_cells, c_cells, _block_counts(q_size), c_blocks, search, partial), k)
     if width == 1:
         return own

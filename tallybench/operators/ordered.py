@@ -21,9 +21,12 @@ def _cut_points(df, column):
     return sorted(set(df.approxQuantile(column, levels, 0.25 / parts)))
 
 
-def add_bucket(df: DataFrame, column: str) -> DataFrame:
-    """Column ``_bucket``: position of the row's value among the cut points."""
-    cuts = _cut_points(df, column)
+def add_bucket(df: DataFrame, column: str, source=None) -> DataFrame:
+    """Column ``_bucket``: position of the row's value among the cut points.
+
+    The cut points only balance the buckets; results do not depend on them.
+    """
+    cuts = _cut_points(df if source is None else source, column)
     if not cuts:
         return df.withColumn(BUCKET, F.lit(0.0))
     splits = [-float("inf"), *cuts, float("inf")]
@@ -32,15 +35,17 @@ def add_bucket(df: DataFrame, column: str) -> DataFrame:
     ).transform(df)
 
 
-def running_sums(df, keys, order, values, descending=False) -> DataFrame:
+def running_sums(df, keys, order, values, descending=False, source=None) -> DataFrame:
     """Add ``cum_<v>`` (sum up to and including the row) and ``all_<v>``.
 
     ``df`` must hold at most one row per (keys, order): collapse ties first.
-    ``order`` must be numeric.
+    ``order`` must be numeric. ``source`` may name a cheaper table with the same
+    order column, from which the cut points are taken without aggregating ``df``.
     """
     keys = list(keys)
-    df = df.withColumn("_order", F.col(order).cast("double"))
-    bucketed = add_bucket(df, "_order")
+    number = F.col(order).cast("double").alias("_order")
+    df = df.select("*", number)
+    bucketed = add_bucket(df, "_order", None if source is None else source.select(number))
     direction = F.desc if descending else F.asc
     inside = (
         Window.partitionBy(*keys, BUCKET)
@@ -135,7 +140,7 @@ def exact_quantiles(df, keys, value, count) -> DataFrame:
     keys = list(keys)
     steps = count - 1
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    cum = running_sums(counts, keys, value, ["n"])
+    cum = running_sums(counts, keys, value, ["n"], source=df)
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     span = F.col("all_n") - 1
 

@@ -6,8 +6,9 @@ zero-based rows and columns and compartment 'ext' or 'int'.
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.growth import (FLUX_TOL, GROWTH_TOL, PRESENT_BOUND, any_growth, categorise,
-                                category_or_default, gated_flux, is_strong_competition)
+from ..functions.growth import (FLUX_TOL, GROWTH_TOL, PRESENT_BOUND, any_growth, category_of,
+                                category_or_default, change, gated_flux,
+                                is_strong_competition, number_or_null)
 from ..session import BROADCAST_ROWS, at_most
 
 RATE_COLUMNS = ["solo1", "best1", "kept1", "solo2", "kept2", "best2"]
@@ -239,11 +240,19 @@ def assemble_rates(runs, keys) -> DataFrame:
 
 
 def label_interactions(rates, tol=GROWTH_TOL) -> DataFrame:
-    """Add ``category`` and ``strong_competition`` to rows with the six rates."""
-    category = categorise(*[F.col(c) for c in RATE_COLUMNS], tol=tol)
-    labelled = rates.withColumn("category", category)
-    strong = is_strong_competition(F.col("category"), F.col("best1"), F.col("best2"), tol)
-    return labelled.withColumn("strong_competition", strong)
+    """Add ``category`` and ``strong_competition`` to rows with the six rates.
+
+    Same as ``categorise``, in steps, so each cleaned rate and change is computed once.
+    """
+    clean = {c: F.col(f"_{c}") for c in RATE_COLUMNS}
+    steps = rates.withColumns({f"_{c}": number_or_null(F.col(c)) for c in RATE_COLUMNS})
+    steps = steps.withColumns({"_change1": change(clean["best1"], clean["solo1"], tol),
+                               "_change2": change(clean["best2"], clean["solo2"], tol)})
+    category = category_of(*clean.values(), F.col("_change1"), F.col("_change2"), tol)
+    labelled = steps.withColumn("category", category)
+    strong = is_strong_competition(F.col("category"), clean["best1"], clean["best2"], tol)
+    return labelled.withColumn("strong_competition", strong).select(
+        *rates.columns, "category", "strong_competition")
 
 
 def with_failures(grid, labelled, keys) -> DataFrame:

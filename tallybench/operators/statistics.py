@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .ordered import running_max
 
 
@@ -75,13 +76,14 @@ def early_stopping(history, patience, run="run", stop_first=False) -> DataFrame:
     not. Epochs are numbered from 0.
     """
     known = F.col("val").isNotNull() & ~F.isnan("val")
-    clean = history.withColumn("_val", F.when(known, F.col("val")))
+    # Each running maximum reads its input twice, so the steps are materialised.
+    clean = cut_lineage(history.withColumn("_val", F.when(known, F.col("val"))))
     reached = running_max(clean, [run], "epoch", "_val", "_before", inclusive=False)
     improves = F.coalesce(F.col("_val") > F.col("_before"), F.col("_val").isNotNull())
-    flagged = reached.withColumn("_up", F.when(improves, F.col("epoch")))
-    waited = running_max(flagged, [run], "epoch", "_up", "_last_up").withColumn(
+    flagged = cut_lineage(reached.withColumn("_up", F.when(improves, F.col("epoch"))))
+    waited = cut_lineage(running_max(flagged, [run], "epoch", "_up", "_last_up").withColumn(
         "_bad", F.col("epoch") - F.coalesce("_last_up", F.lit(-1))
-    )
+    ))
     limit = patience if stop_first else patience + 1
     stops = waited.groupBy(run).agg(
         F.min(F.when(F.col("_bad") >= limit, F.col("epoch"))).alias("_stop")

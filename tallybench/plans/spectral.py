@@ -6,6 +6,7 @@ matrix with a row or column per data row is ever formed.
 """
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.encode import hash_normal
@@ -35,16 +36,32 @@ def similarity_times(df, score, vector, out="product") -> DataFrame:
     return t.withColumn(out, (s * F.col("_t.x") + F.col("_t.sx")) / 2 - s * x).drop("_t")
 
 
-def _sums(df, expressions):
-    """Sums of named expressions as one small array on the driver."""
-    row = df.agg(*[F.sum(e).alias(f"s{i}") for i, e in enumerate(expressions)]).collect()[0]
-    return np.array([float(v or 0.0) for v in row])
+def _cross(df, left, right):
+    """Matrix of sums left_i * right_j, on the driver.
 
+    Every partition multiplies its own block of columns; only the small products
+    are shuffled and summed.
+    """
+    n_left, n_right = len(left), len(right)
+    columns = [c.cast("double").alias(f"c{i}") for i, c in enumerate([*left, *right])]
 
-def _cross(df, left, right):
-    """Matrix of sums left_i * right_j."""
-    sums = _sums(df, [a * b for a in left for b in right])
-    return sums.reshape(len(left), len(right))
+    def products(batches):
+        acc = np.zeros((n_left, n_right))
+        for frame in batches:
+            x = frame.to_numpy()
+            acc += x[:, :n_left].T @ x[:, n_left:]
+        yield pd.DataFrame({"cell": np.arange(acc.size), "v": acc.ravel()})
+
+    rows = df.select(*columns).mapInPandas(products, "cell int, v double").groupBy("cell").agg(
+        F.sum("v").alias("v")).collect()
+    out = np.zeros(n_left * n_right)
+    for row in rows:
+        out[row["cell"]] = row["v"]
+    return out.reshape(n_left, n_right)
+
+
+def _sums(df, expressions):
+    return _cross(df, [F.lit(1.0)], expressions)[0]
 
 
 def _combine(columns, weights):
@@ -112,7 +129,7 @@ def _laplacian_step(state, edges, m, n_f, alpha, beta, gamma):
     return sent.groupBy("to").agg(*out, *keep).withColumnRenamed("to", "id")
 
 
-def smallest_laplacian_vectors(graph, rows, row_id, k, n_f=0, rounds=8, degree=8, tol=1e-6):
+def smallest_laplacian_vectors(graph, rows, row_id, k, n_f=0, rounds=8, degree=5, tol=1e-3):
     """The k smallest eigenvectors of D - W on rows orthogonal to the constraints.
 
     Chebyshev-filtered subspace iteration. ``graph`` is (i, j, weight), symmetric;
@@ -141,7 +158,8 @@ def smallest_laplacian_vectors(graph, rows, row_id, k, n_f=0, rounds=8, degree=8
         # Rayleigh-Ritz on the filtered vectors: z holds them, y their product.
         state = cut_lineage(_laplacian_step(state, edges, m, n_f, 1.0, 0.0, 0.0))
         y, z = _cols("y", m), _cols("z", m)
-        theta, mix = _generalised(_cross(state, z, y), _cross(state, z, z))
+        sums = _cross(state, z, [*y, *z])
+        theta, mix = _generalised(sums[:, :m], sums[:, m:])
         m = mix.shape[1]
         names = [f"y{j}" for j in range(m)]
         state = state.select(
@@ -171,7 +189,7 @@ def fair_spectral_clusters(df, row_id, k, attributes=(), neighbours=15, seed=42)
     return kmeans(embedding, row_id, k, seed, starts=3)
 
 
-def density_embedding(df, row_id, attributes=(), min_points=5, width=10, rounds=12):
+def density_embedding(df, row_id, attributes=(), min_points=5, width=10, rounds=8):
     """(row_id, v0..): generalised eigenvectors of the density similarity.
 
     The similarity of two rows is the mean of their scores, so with the degree d
@@ -210,9 +228,10 @@ def density_embedding(df, row_id, attributes=(), min_points=5, width=10, rounds=
             f"w{j}": inverse * (d * v[j] + _combine(bases, y[:, j])) for j in range(m)})
         moved = cut_lineage(moved)
         w = _cols("w", m)
-        gram = _cross(moved, w, [d * x for x in w])
-        product = _cross(moved, w, [s * x for x in w])
-        plain, weighted = _sums(moved, w), _sums(moved, [s * x for x in w])
+        # One pass for w'Dw, w'diag(s)w and the two sums of the rank-two part.
+        sums = _cross(moved, [*w, one], [*[d * x for x in w], *[s * x for x in w], *w])
+        gram, product = sums[:m, :m], sums[:m, m:2 * m].copy()
+        weighted, plain = sums[m, m:2 * m], sums[m, 2 * m:]
         # w'Lw - w'Dw = w'diag(s)w - rank-two part; the shift by D keeps precision.
         product -= 0.5 * (np.outer(weighted, plain) + np.outer(plain, weighted))
         theta, mix = _generalised(product, gram)
@@ -220,7 +239,7 @@ def density_embedding(df, row_id, attributes=(), min_points=5, width=10, rounds=
         state = moved.select(row_id, "s", "d", *[f"f{i}" for i in range(n_f)], *[
             _combine(w, mix[:, j]).alias(f"v{j}") for j in range(m)])
         if previous is not None and len(previous) == len(theta) and (
-                np.abs(theta - previous).max() < 1e-6 * (high - low)):
+                np.abs(theta - previous).max() < 5e-3 * (high - low)):
             break
         previous = theta
     count = min(width - 1, m)
@@ -241,7 +260,7 @@ def density_fair_clusters(df, row_id, k, attributes=(), min_points=5, seed=42) -
     names = embedding.columns[1:]
     for size in range(k, len(names) + 1):
         rows = embedding.select(row_id, F.array(*names[:size]).alias("features"))
-        kept = cut_lineage(drop_small_clusters(kmeans(rows, row_id, size, seed, starts=2), min_points))
+        kept = cut_lineage(drop_small_clusters(kmeans(rows, row_id, size, seed), min_points))
         if kept.filter("cluster <> -1").select("cluster").distinct().count() >= k:
             return relabel(kept)
     return df.select(row_id, F.lit(0).alias("cluster"))

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.tables import renumber
+from ..session import cut_lineage
 from .position import with_position
 
 SCORES = r"^\(val\) (-?[0-9.]+(?:[eE][-+]?[0-9]+)?) \(test\) (-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
@@ -11,7 +12,8 @@ NEW_BEST = "New best epoch!"
 
 def read_history(spark: SparkSession, path, run="run") -> DataFrame:
     """(run, epoch, val, test, new_best) of log folders named run=<id>."""
-    lines = with_position(spark.read.text(path), keys=[run], out="line")
+    # The numbered lines are read for scores and for marks: number them once.
+    lines = cut_lineage(with_position(spark.read.text(path), keys=[run], out="line"))
     is_score = F.col("value").rlike(SCORES)
     scores = lines.filter(is_score).select(
         run, "line", F.regexp_extract("value", SCORES, 1).cast("double").alias("val"),
@@ -20,7 +22,7 @@ def read_history(spark: SparkSession, path, run="run") -> DataFrame:
         run, (F.col("line") - 1).alias("line"), F.lit(True).alias("new_best"))
     marked = scores.join(best, [run, "line"], "left").withColumn(
         "new_best", F.coalesce("new_best", F.lit(False)))
-    return renumber(marked, "line", "epoch", [run]).select(run, "epoch", "val", "test", "new_best")
+    return renumber(cut_lineage(marked), "line", "epoch", [run]).select(run, "epoch", "val", "test", "new_best")
 
 
 def write_history(history: DataFrame, path, run="run"):
