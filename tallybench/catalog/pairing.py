@@ -109,7 +109,7 @@ SELECT m1, m2, CASE WHEN compartment = 'ext' THEN "row" ELSE "row" + 128 + secon
 UNION ALL SELECT m1, m2, "row" + 64, col, value FROM x WHERE compartment = 'ext'""")
 def j5(spark, d):
     # Microbe 1 is the special one, paired with every microbe including itself.
-    pairs = _sizes(spark, d).select(F.lit(1).alias("m1"), F.col("microbe").alias("m2"))
+    pairs = _sizes(spark, d).select(F.least("microbe", F.lit(1)).alias("m1"), F.col("microbe").alias("m2"))
     return P.pair_matrix(pairs, fx.coo(spark, d), _sizes(spark, d), N_EXT, N_INT)
 
 

@@ -44,6 +44,10 @@ def running_sums(df, keys, order, values, descending=False, source=None) -> Data
     """
     keys = list(keys)
     number = F.col(order).cast("double").alias("_order")
+    # Rows without a key or order have no place; dropping them here gives both uses
+    # of ``df`` below the same plan, so its shuffle is computed once.
+    for column in [*keys, order]:
+        df = df.filter(F.col(column).isNotNull())
     df = df.select("*", number)
     bucketed = add_bucket(df, "_order", None if source is None else source.select(number))
     direction = F.desc if descending else F.asc

@@ -24,8 +24,8 @@ def regression_scores(preds: DataFrame, keys) -> DataFrame:
     return preds.groupBy(*keys).agg(
         F.avg(F.abs(_error())).alias("mae"), (sse / n).alias("mse"),
         F.sqrt(sse / n).alias("rmse"), r2.alias("r2"),
-        F.when(n > 1, F.nanvl(F.corr("y_true", "y_pred"), F.lit(None).cast("double")))
-        .alias("pearson"),
+        F.try_divide(F.covar_pop("y_true", "y_pred"),
+                     F.stddev_pop("y_true") * F.stddev_pop("y_pred")).alias("pearson"),
     )
 
 
