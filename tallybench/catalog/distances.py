@@ -6,7 +6,7 @@ from ..functions import distance as D
 from ..operators import clustering as C, generative as G, neighbours as N, scaling
 from . import fixtures as fx
 from .fixtures import r
-from .registry import query
+from .registry import ORACLES, query
 
 # All ordered pairs of different rows with their distance (oracle only).
 EUC = "sqrt(list_sum(list_transform(list_zip(a.features, b.features), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
@@ -170,17 +170,36 @@ def c6(spark, d):
     return fx.rounded(G.alpha_precision(rows.filter("row_id % 2 = 0"), rows.filter("row_id % 2 = 1")), 4)
 
 
-@query("c7_beta_recall")
+@query("c7_beta_recall", f"""WITH {fx.EMB}, {_centre_sql('ce', 1)},
+n AS (SELECT a.row_id AS i, b.row_id AS j, {EUC} AS d FROM emb a JOIN emb b ON a.row_id % 2 = 0 AND b.row_id % 2 = 1),
+n1 AS (SELECT i, min(d) AS delta, arg_min(j, d) AS j FROM n GROUP BY i),
+o AS (SELECT a.row_id AS i, min({EUC}) AS rho FROM emb a JOIN emb b ON a.row_id % 2 = 0 AND b.row_id % 2 = 0 AND a.row_id <> b.row_id GROUP BY 1),
+dep AS (SELECT a.row_id AS j, {EUC} AS d FROM emb a, ce b WHERE a.row_id % 2 = 1),
+x AS (SELECT delta <= rho AS ok, dep.d FROM n1 JOIN o USING (i) JOIN dep USING (j)),
+q AS (SELECT unnest({LEVELS}) AS a, unnest(quantile_cont(d, {LEVELS})) AS rad FROM x),
+p AS (SELECT a, avg(CASE WHEN ok AND d <= rad THEN 1.0 ELSE 0.0 END) AS p FROM q, x GROUP BY a)
+SELECT {r('1 - sum(abs(a - p)) / sum(a)', 4)} AS beta_recall FROM p""")
 def c7(spark, d):
     rows = _points(spark, d)
     return fx.rounded(G.beta_recall(rows.filter("row_id % 2 = 0"), rows.filter("row_id % 2 = 1"), "row_id"), 4)
 
 
-@query("m19_quality_report")
+def _report_row(metric, column, sql):
+    return f"SELECT '{metric}' AS metric, (round({column}, 4) + 0) AS value FROM ({sql})"
+
+
+SYNTHETIC_DIVERSITY = ORACLES["c4_diversity"] + " WHERE a.row_id % 2 = 1 AND b.row_id % 2 = 1"
+
+
+@query("m19_quality_report", " UNION ALL ".join([
+    _report_row("alpha_precision_naive", "alpha_precision", ORACLES["c6_alpha_precision"]),
+    _report_row("beta_recall_naive", "beta_recall", ORACLES["c7_beta_recall"]),
+    _report_row("diversity", "diversity", SYNTHETIC_DIVERSITY),
+    _report_row("novelty", "novelty", ORACLES["c5_novelty"])]))
 def m19(spark, d):
     rows = _points(spark, d)
 
     def bits(t):
         return t.withColumn("features", F.transform("features", lambda x: F.when(x > 0, 1.0).otherwise(0.0)))
 
-    return fx.rounded(G.quality_report(rows.filter("row_id % 2 = 0"), rows.filter("row_id % 2 = 1"), "row_id", bits))
+    return fx.rounded(G.quality_report(rows.filter("row_id % 2 = 0"), rows.filter("row_id % 2 = 1"), "row_id", bits), 4)

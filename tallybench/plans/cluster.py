@@ -28,8 +28,11 @@ def hierarchical(df, row_id, k, seed=42) -> DataFrame:
     It splits top-down where an agglomerative method merges bottom-up, so its
     clusters are not those of Ward linkage.
     """
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="vector").fit(_vectors(df))
-    return _assign(model, df, row_id)
+    # Splits start from a centre moved in proportion to its norm, which is zero on
+    # standardised rows; a common shift changes no distance and avoids that.
+    moved = df.withColumn("features", F.transform("features", lambda x: x + 1.0))
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="vector").fit(_vectors(moved))
+    return _assign(model, moved, row_id)
 
 
 def principal_components(df, row_id, k=2) -> DataFrame:
