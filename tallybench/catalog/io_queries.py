@@ -22,12 +22,12 @@ def _orders(spark, d):
 
 def _split_root(spark, d):
     root = scratch_folder(spark, "splits")
-    base = split_files.folder(root, "Regression", "CARVEME", "50", "GR-I")
+    base = split_files.folder(root, "Regression", "COLLECTION_B", "50", "GR-I")
     split_files.write_split(_orders(spark, d), base, "GR-I", "row_id", ["12ppd_S", "ac"], "y")
     return root
 
 
-@query("s1_read_split_files", f"""SELECT 'Regression' AS task, 'CARVEME' AS collection, '50' AS "group", 'GR-I' AS dataset,
+@query("s1_read_split_files", f"""SELECT 'Regression' AS task, 'COLLECTION_B' AS collection, '50' AS "group", 'GR-I' AS dataset,
   {SPLIT} AS split, count(*) AS n, sum(o_custkey)::DOUBLE AS custkeys, {r('sum(o_totalprice)', 2)} AS price, sum(o_orderkey % 7)::DOUBLE AS labels
 FROM orders GROUP BY ALL""")
 def s1(spark, d):

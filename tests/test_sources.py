@@ -32,7 +32,7 @@ def test_nested_metric_text_round_trip(spark):
 
 def test_positions_survive_many_part_files(spark):
     root = scratch_folder(spark, "t")
-    base = split_files.folder(root, "Classification", "AGORA", "100", "BC-I")
+    base = split_files.folder(root, "Classification", "COLLECTION_A", "100", "BC-I")
     rows = spark.range(500).select(
         F.col("id").alias("row_id"), F.col("id").alias("x"), (F.col("id") * 3).alias("y"),
         F.when(F.col("id") % 3 == 0, "val").otherwise("train").alias("split")).repartition(6)
@@ -40,7 +40,7 @@ def test_positions_survive_many_part_files(spark):
     back = split_files.read_split(spark, root, dataset="BC-I").collect()
     assert len(back) == 500 and all(r["label"] == 3 * r["features"][0] for r in back)
     assert sorted(r["row_id"] for r in back if r["split"] == "val") == list(range(167))
-    assert {(r["collection"], r["group"]) for r in back} == {("AGORA", "100")}
+    assert {(r["collection"], r["group"]) for r in back} == {("COLLECTION_A", "100")}
 
 
 def test_training_log(spark, tmp_path):
