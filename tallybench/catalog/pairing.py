@@ -144,21 +144,21 @@ def _vector(spark, d):
     return fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("col"), (F.col("s_acctbal") / 1000).alias("x"))
 
 
-@query("j8_matrix_times_vector", f"""WITH {fx.COO} SELECT microbe, "row", {r('sum(value * s_acctbal / 1000)', 3)} AS product
+@query("j8_matrix_times_vector", f"""WITH {fx.COO} SELECT microbe, "row", {r('sum(value * s_acctbal / 1000)', 5)} AS product
 FROM coo JOIN supplier ON col = s_suppkey GROUP BY ALL""")
 def j8(spark, d):
     matrix = fx.coo(spark, d)
     vector = _vector(spark, d)
     both = matrix.select("microbe").distinct()
     per_microbe = vector.withColumn("microbe", F.explode(F.array(F.lit(1), F.lit(2)))).join(both, "microbe")
-    return fx.rounded(P.matrix_times_vector(matrix, per_microbe, ["microbe"]), 3)
+    return fx.rounded(P.matrix_times_vector(matrix, per_microbe, ["microbe"]), 5)
 
 
-@query("j8_external_flux", f"""WITH {fx.COO} SELECT "row", {r('sum(value * s_acctbal / 1000)', 3)} AS flux
+@query("j8_external_flux", f"""WITH {fx.COO} SELECT "row", {r('sum(value * s_acctbal / 1000)', 5)} AS flux
 FROM coo JOIN supplier ON col = s_suppkey WHERE microbe = 1 AND compartment = 'ext' GROUP BY ALL""")
 def j8_external(spark, d):
     matrix = P.single_matrix(P.pick_microbe(fx.coo(spark, d), 1), N_EXT)
-    return fx.rounded(P.external_flux(matrix, _vector(spark, d), N_EXT), 3)
+    return fx.rounded(P.external_flux(matrix, _vector(spark, d), N_EXT), 5)
 
 
 @query("j14_other_compounds", f"""WITH {fx.ESSENTIAL} SELECT compound FROM essential GROUP BY compound
