@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
+from . import language, packing, pii, rules, shards
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,3 +67,28 @@ def op7_quality_rules(spark, sf_dir):
     rows = rules.ledger(documents(spark, sf_dir))
     return rows.select("*", (~rules.passes(rules.BASE)).alias("base_failed"),
                        rules.passes(rules.POLICIES["v1"]).alias("kept"))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark, sf_dir):
+    pieces = packing.token_pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(pieces)
+
+
+@query("op8_language_id")
+def op8_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(language.remainder("doc_id", 4) == 2, F.lit(False))
+    model = language.train(docs.where(~held_out))
+    return language.predict(docs, model).withColumn("held_out", held_out)
+
+
+@query("op1_balanced_shards")
+def op1_balanced_shards(spark, sf_dir):
+    return shards.shard_documents(documents(spark, sf_dir))
+
+
+@query("op10_pii_spans")
+def op10_pii_spans(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return pii.report(docs, pii.train(docs))

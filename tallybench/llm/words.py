@@ -146,3 +146,37 @@ def repeated(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     key = mix(hashes + mix(doc.astype(np.uint64) + np.uint64(1)))
     _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
     return count[inverse]
+
+
+class SpanCache:
+    """Values of byte spans by hash, made once per distinct span and Python worker.
+
+    ``make`` gets a list of spans and returns as many slots (whole numbers by which the
+    caller finds its values). Beyond ``limit`` distinct spans the cache starts anew, so its
+    memory is bounded; ``reset`` is called then.
+    """
+
+    def __init__(self, make, reset, limit: int = 1 << 21):
+        self.make, self.reset, self.limit = make, reset, limit
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def lookup(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The slot of each span."""
+        if len(self.keys) > self.limit:
+            self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.reset()
+        unique, first, inverse = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, unique)
+        hit = np.zeros(len(unique), bool)
+        inner = at < len(self.keys)
+        hit[inner] = self.keys[at[inner]] == unique[inner]
+        slots = np.empty(len(unique), np.int64)
+        slots[hit] = self.slots[at[hit]]
+        missed = np.flatnonzero(~hit)
+        if len(missed):
+            raw = data.tobytes()
+            spans = [raw[b:e] for b, e in zip(begin[first[missed]].tolist(), end[first[missed]].tolist())]
+            slots[missed] = made = self.make(spans)
+            self.keys = np.insert(self.keys, at[missed], unique[missed])
+            self.slots = np.insert(self.slots, at[missed], made)
+        return slots[inverse]
