@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, pii, rules, shards
+from . import hnsw, language, packing, pii, rules, shards
 
 QUERIES, ORACLES = {}, {}
 
@@ -92,3 +92,9 @@ def op1_balanced_shards(spark, sf_dir):
 def op10_pii_spans(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return pii.report(docs, pii.train(docs))
+
+
+@query("op2_nearest_vectors")
+def op2_nearest_vectors(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hnsw.nearest(table, table.where("vec_id % 20 = 0"))
