@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language, packing, pii, rules, shards
+from . import hnsw, language, packing, pii, quality_crf, rules, shards
 
 QUERIES, ORACLES = {}, {}
 
@@ -98,3 +98,11 @@ def op10_pii_spans(spark, sf_dir):
 def op2_nearest_vectors(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return hnsw.nearest(table, table.where("vec_id % 20 = 0"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(language.remainder("doc_id", 5) == 0, F.lit(False))
+    model = quality_crf.train(docs, labels.where(~held_out))
+    return quality_crf.score(docs, model).withColumn("held_out", held_out)
