@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language, packing, pii, quality_crf, rules, shards
+from . import hnsw, language, packing, pieces, pii, quality_crf, rules, shards
 
 QUERIES, ORACLES = {}, {}
 
@@ -106,3 +106,8 @@ def op6_quality_classifier(spark, sf_dir):
     held_out = F.coalesce(language.remainder("doc_id", 5) == 0, F.lit(False))
     model = quality_crf.train(docs, labels.where(~held_out))
     return quality_crf.score(docs, model).withColumn("held_out", held_out)
+
+
+@query("op9_sentence_pieces")
+def op9_sentence_pieces(spark, sf_dir):
+    return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
