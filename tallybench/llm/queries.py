@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language, packing, pieces, pii, quality_crf, rules, shards
+from . import hnsw, language, minhash, packing, pieces, pii, quality_crf, rules, shards, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -111,3 +111,13 @@ def op6_quality_classifier(spark, sf_dir):
 @query("op9_sentence_pieces")
 def op9_sentence_pieces(spark, sf_dir):
     return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+@query("op4_near_duplicates")
+def op4_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir), size=2)
+
+
+@query("op3_substring_dedup")
+def op3_substring_dedup(spark, sf_dir):
+    return substrings.report(documents(spark, sf_dir))
