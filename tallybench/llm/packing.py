@@ -18,6 +18,7 @@ once each. Other columns of the input are not read. An empty table gives an empt
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,7 @@ from .words import SPACE, SpanCache, blocks
 CAPACITY = 1024
 END_ID = 2
 NODES = 2000
+BATCH = 4096  # stretches in a call of the tokenizer
 
 _HARD = SPACE.copy()
 _HARD[[0x1C, 0x1D, 0x1E, 0x1F, 0xE1, 0xE2, 0xE3]] = True
@@ -78,6 +80,7 @@ class Ids:
     """Ids of whole texts by a ``tokenizers`` file; each distinct stretch is encoded once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -92,7 +95,10 @@ class Ids:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _encode(self, spans: list[bytes]) -> np.ndarray:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([s.decode() for s in spans], add_special_tokens=False)]
+        found = []
+        for at in range(0, len(spans), BATCH):
+            texts = [s.decode() for s in spans[at: at + BATCH]]
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.array([len(x) for x in found], np.int64)
         slots = np.arange(len(self.size), len(self.size) + len(size))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
@@ -118,13 +124,23 @@ class Ids:
                 yield self.whole(column[row].as_py()) if whole[row] else ids[bounds[i]: bounds[i + 1]]
 
 
+_sources: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """The tokenizer of this Python worker; what it has encoded serves its later tasks."""
+    if path not in _sources:
+        _sources[path] = Ids(path)
+    return _sources[path]
+
+
 def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                  capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32 (little-endian 32-bit ids)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source = Ids(path)
+        source = ids_of(path)
         for batch in batches:
             rows, pieces = [], []
             for row, ids in enumerate(source.texts(batch.column(1))):

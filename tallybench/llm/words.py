@@ -156,7 +156,7 @@ class SpanCache:
     memory is bounded; ``reset`` is called then.
     """
 
-    def __init__(self, make, reset, limit: int = 1 << 21):
+    def __init__(self, make, reset, limit: int = 1 << 20):
         self.make, self.reset, self.limit = make, reset, limit
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
