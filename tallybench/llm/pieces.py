@@ -14,6 +14,7 @@ texts count as empty: no ids. Repeated rows give repeated results; other columns
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from ..shipping import shipped
 from .words import SpanCache, blocks
 
 MARK = "▁"
+THREADS = 2    # of the encoder, beside the worker per core that Spark runs
+BATCH = 4096   # stretches in a call of the encoder
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in the format
 UNIGRAM, BPE = 1, 2                                                # kinds of models in the format
 
@@ -134,6 +137,7 @@ class Encoder:
     """Ids of whole texts, with parity and round trip, each distinct stretch made once."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         from sentencepiece import SentencePieceProcessor
 
         with open(path, "rb") as file:
@@ -149,7 +153,9 @@ class Encoder:
         self.same, self.back = np.zeros(0, bool), np.zeros(0, bool)
 
     def _make(self, spans: list[bytes]) -> np.ndarray:
-        texts = [s.decode() for s in spans]
+        return np.concatenate([self._batch([s.decode() for s in spans[at: at + BATCH]]) for at in range(0, len(spans), BATCH)])
+
+    def _batch(self, texts: list[str]) -> np.ndarray:
         found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         # the original adds the first marker itself
         originals = self.original.encode([t[1:] for t in texts] if self.cut else texts)
@@ -181,6 +187,16 @@ class Encoder:
                 yield ids[total[a]: total[b]], bad_same[a] == bad_same[b], bad_back[a] == bad_back[b]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker; what it has encoded serves its later tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _prefixed(path: str, text: str):
     """The text as ``Encoder.texts`` wants it: a space stands for the dummy prefix."""
     with open(path, "rb") as file:
@@ -195,7 +211,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     names = [key, *(["ids"] if with_ids else []), "n_ids", "ids_crc32", "parity", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             found = list(encoder.texts(batch.column(1)))
             ids = [pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32()))] if with_ids else []
