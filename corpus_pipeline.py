@@ -1,8 +1,71 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: language, near duplicates, repeated passages, personal data, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and read again as the next stage's documents. All but the last return the columns of
+documents; the last returns the pieces of the packed sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallybench.llm import language, minhash, packing, pii, substrings
+from tallybench.session import scratch_folder
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``n_chars``, where there is one, follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no clear language, go. Learns from three quarters."""
+    taught = F.coalesce(language.remainder("doc_id", 4) != 2, F.lit(True))
+    return language.identified(docs, language.train(docs.where(taught)))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (five words, similarity 0.8)."""
+    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut; documents of nothing else go."""
+    had = docs.withColumn("_had", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    left = substrings.without_repeats(had).where(~F.col("_had") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_had")
+    return _counted(left)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return _counted(pii.redact(docs, pii.train(docs)))
+
+
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.packed(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("near_duplicates", one_of_each),
+    ("substring_dedup", without_passages),
+    ("pii", without_personal_data),
+    ("packing", into_sequences),
+]
+
+#: The stages hold models and components, which SQL can't express; tests compare stage by stage.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        folder = scratch_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return docs

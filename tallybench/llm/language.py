@@ -88,8 +88,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         grams = []
         for size in range(1, LONGEST + 1):
             each = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_word") + 3 - size, F.lit(1))), lambda i: marked.substr(i, F.lit(size)))  # noqa: B023
-            grams.append(words.select("_lang", "_n", F.explode(each).alias("_gram")).where(F.length("_gram") == size)
-                         .groupBy("_gram", "_lang").agg(F.sum("_n").alias("_n")).where(F.col("_n") > 2).select("_gram", "_lang", "_n"))
+            grams.append(words.select("_lang", "_n", F.explode(each).alias("_gram")).where((F.length("_gram") == size) & ~F.col("_gram").isin("<", ">"))
+                         .groupBy("_gram", "_lang").agg(F.sum("_n").alias("_n")).where(F.col("_n") > 1).select("_gram", "_lang", "_n"))
         found = kept.select("_word", "_lang", "_n").collect()   # bounded: known_words a language
         languages = sorted({r[1] for r in words.select("_word", "_lang").groupBy("_lang").agg(F.min("_word")).select(F.lit(""), "_lang").collect()})
         pieces: dict[str, np.ndarray] = {}
@@ -100,8 +100,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return Model(languages, {w.encode(): v for w, v in _log_frequency(found, languages).items()}, pieces)
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text: key, lang_pred, score."""
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", rest: str | None = None) -> DataFrame:
+    """One row per text: key, lang_pred, score; ``rest``: a column to carry instead of the key."""
+    key = rest or key
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
@@ -115,7 +116,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             table[0] = np.concatenate([table[0], np.array([model.word(s) for s in spans], np.float32).reshape(-1, n)])
             return np.arange(at, len(table[0]))
 
-        cache = SpanCache(make, lambda: table.__setitem__(0, np.zeros((0, n), np.float32)), limit=1 << 20)
+        cache = SpanCache(make, lambda: table.__setitem__(0, np.zeros((0, n), np.float32)))
         for batch in batches:
             for block in blocks(batch.column(1)):
                 slot = cache.lookup(block.data, block.begin, block.end) if n else np.zeros(0, np.int64)
@@ -132,7 +133,14 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([keys, pa.array(names, pa.string()), pa.array(np.where(some, share, 0.0))], [key, "lang_pred", "score"])
 
     rows = shipped(docs.select(key, letters(F.col(text)).alias("_letters")))
-    return rows.mapInArrow(label, f"{key} {kind}, lang_pred string, score double")
+    return rows.mapInArrow(label, f"`{key}` {kind}, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows of unknown language or a score below ``least``."""
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_rest"), F.col(text).alias("_text"))
+    found = predict(packed, model, text="_text", rest="_rest")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_rest.*")
 
 
 def remainder(key: str, parts: int) -> Column:

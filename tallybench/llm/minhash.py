@@ -16,7 +16,7 @@
 5. Connected components of all links give the classes.
 
 Null and empty texts get an empty set, are their own component and are kept. Rows that share
-an id and a text are one document; rows that share an id but not the text are judged apart.
+an id and a text are one document; rows that share an id but not the text are judged apart. A null id is less than any other.
 Columns other than the key and the text are not read.
 """
 
@@ -268,9 +268,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     all_links = links.unionByName(more)
     joined = components(all_links)
-    least = (joined.join(classes.select("node", "_id"), "node").groupBy("root").agg(F.min("_id").alias("component_id"), F.count("*").alias("_size")))
+    least = (joined.join(classes.select("node", "_id"), "node").groupBy("root").agg(F.min(F.struct("_id"))["_id"].alias("component_id"), F.count("*").alias("_size")))
     named = join_groups(joined, least, ["root"], total).select("node", "component_id")
-    found = classes.join(named, "node", "left").select("k1", "k2", "n", "_size", F.coalesce("component_id", "_id").alias("component_id"))
+    found = classes.join(named.withColumn("_named", F.lit(True)), "node", "left").select("k1", "k2", "n", "_size", F.when(F.col("_named"), F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
     filled = join_groups(rows.where("n > 0").select("_id", "n", "k1", "k2"), found, ["k1", "k2", "n"], max(rows.count(), 1))
     out = filled.select("_id", "n", "component_id").unionByName(rows.where("n = 0").select("_id", "n", F.col("_id").alias("component_id")))
-    return out.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -157,7 +157,7 @@ class Model:
             good, _, _ = chains.marginals(self.weights, self.ties)
             some = np.flatnonzero(np.bincount(doc, minlength=texts))
             raw = np.bincount(doc, good * words, texts)[some] / np.bincount(doc, words, texts)[some]
-            out[some] = 1 / (1 + np.exp(-(self.slope * logit(raw) + self.shift)))
+            out[some] = 1 / (1 + np.exp(-np.clip(self.slope * logit(raw) + self.shift, -500, 500)))
         return out
 
 
@@ -194,7 +194,7 @@ def fit(doc: np.ndarray, words: np.ndarray, bins: np.ndarray, label: np.ndarray,
     raw = logit(np.bincount(doc, good * words, len(label))[some] / np.bincount(doc, words, len(label))[some])
     a, b, y = 1.0, 0.0, label[some].astype(float)
     for _ in range(50):  # damped Newton steps of the logistic calibration
-        p = 1 / (1 + np.exp(-(a * raw + b)))
+        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -500, 500)))
         w = p * (1 - p)
         g = np.array([((y - p) * raw).sum() - 0.1 * (a - 1), (y - p).sum()])
         h = np.array([[(w * raw * raw).sum() + 0.1, (w * raw).sum()], [(w * raw).sum(), w.sum() + 0.1]])
