@@ -9,6 +9,7 @@ import pandas as pd
 
 CELLS = 4_000_000  # distances held at a time
 EXACT_ROWS = 16_384  # pairs recomputed at a time
+DIRECT = 1e6  # squared distances below this many times their slack are recomputed
 
 
 def matrix(frame, column="features"):
@@ -30,7 +31,13 @@ def _differing(a, b):
 
 
 def _squared(a, b):
-    """Squared distances by the scalar product; error within the returned slack."""
+    """Squared distances by the scalar product; error within the returned slack.
+
+    Both sides are centred on the mean of ``b`` first: differences of nearby numbers are
+    exact, so the slack follows the spread of the rows and not their distance from 0.
+    """
+    centre = b.mean(axis=0)
+    a, b = a - centre, b - centre
     na, nb = (a * a).sum(1), (b * b).sum(1)
     d2 = na[:, None] + nb[None, :] - 2 * (a @ b.T)
     slack = 1e-15 * (a.shape[1] + 8) * (na + nb.max())
@@ -38,9 +45,23 @@ def _squared(a, b):
 
 
 def distances(a, b, metric="euclidean"):
+    """All distances; those whose slack is not negligible are computed directly."""
     if metric == "hamming":
         return _differing(a, b) / a.shape[1]
-    return np.sqrt(_squared(a, b)[0])
+    d2, slack = _squared(a, b)
+    d = np.sqrt(d2)
+    rows, cols = np.nonzero(d2 < DIRECT * slack[:, None])
+    d[rows, cols] = _exact(a, b, rows, cols)
+    return d
+
+
+def between(a, b, metric="euclidean"):
+    """Lower and upper bounds of all distances."""
+    if metric == "hamming":
+        d = _differing(a, b) / a.shape[1]
+        return d, d
+    d2, slack = _squared(a, b)
+    return np.sqrt(np.maximum(d2 - slack[:, None], 0)), np.sqrt(d2 + slack[:, None])
 
 
 def _exact(a, b, rows, cols):
@@ -134,30 +155,36 @@ def farthest(metric):
 
 
 def to_pivots(pivots, metric):
-    """Batch function: nearest pivot of each row and the distance to it."""
+    """Batch function: nearest pivot of each row and at most how far it is.
+
+    ``pivots`` is a broadcast variable.
+    """
 
     def run(batches):
         for frame in batches:
             if not len(frame):
                 continue
-            d = distances(matrix(frame), pivots, metric)
-            cell = d.argmin(axis=1)
-            yield frame.assign(cell=cell.astype("int32"), rho=d[np.arange(len(d)), cell])
+            low, high = between(matrix(frame), pivots.value, metric)
+            cell = low.argmin(axis=1)
+            yield frame.assign(cell=cell.astype("int32"), rho=high[np.arange(len(low)), cell])
 
     return run
 
 
 def visits(pivots, radius, metric):
-    """Batch function: the other cells that may hold a nearer row than ``bound``."""
+    """Batch function: the other cells that may hold a nearer row than ``bound``.
+
+    ``pivots`` and ``radius`` are broadcast variables.
+    """
 
     def run(batches):
         for frame in batches:
             if not len(frame):
                 continue
-            d = distances(matrix(frame), pivots, metric)
-            # Triangle inequality, with room for rounding.
-            reach = d - radius[None, :] <= frame["bound"].to_numpy()[:, None] * (1 + 1e-9) + 1e-6
-            reach[np.arange(len(d)), frame["cell"].to_numpy()] = False
+            low, _ = between(matrix(frame), pivots.value, metric)
+            # Triangle inequality on bounds that hold whatever the rounding.
+            reach = low - radius.value[None, :] <= frame["bound"].to_numpy()[:, None] * (1 + 1e-9)
+            reach[np.arange(len(low)), frame["cell"].to_numpy()] = False
             i, j = np.nonzero(reach)
             yield pd.DataFrame({
                 "q": frame["q"].to_numpy()[i], "features": frame["features"].to_numpy()[i],

@@ -3,20 +3,24 @@
 Equal vectors are collapsed first, so a group of copies costs one row. Nearest-row
 search partitions the rows by their closest pivot (a pivot-based kNN join): each
 query searches its own cell, then only those cells that the triangle inequality
-cannot rule out. Cells are cut into blocks of bounded size, so a crowded cell
-becomes many small tiles. Reductions over all distances (silhouette, row sums)
-need every tile by definition; they shuffle rows and per-row sums, never pairs.
+cannot rule out. There are about as many pivots as the root of the rows, and cells are
+cut into blocks of bounded size, so a crowded cell becomes many small tiles. Reductions
+over all distances (silhouette, row sums, diameter) compare every distinct row with every
+other; blocks grow with the root of the rows, so a row is sent to about that many tiles.
 """
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.distance import euclidean, hamming
 from ..session import cut_lineage
+from ..shipping import shipped
 from . import blocks
+from .groups import join_groups
 
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
 POINT = "q long, features array<double>"
 
 
@@ -29,8 +33,9 @@ def collapse(df, row_id, extra=()) -> DataFrame:
 
 def members(df, row_id) -> DataFrame:
     """(row_id, rep): the representative of every row."""
-    reps = collapse(df, row_id).select("features", "rep")
-    return df.select(row_id, "features").join(reps, "features").select(row_id, "rep")
+    reps = collapse(df, row_id).select("features", "rep", F.col("copies").alias("_size"))
+    rows = df.select(row_id, "features")
+    return join_groups(rows, reps, ["features"], rows.count()).select(row_id, "rep")
 
 
 def _first_of_each(df, row_id, k):
@@ -42,7 +47,7 @@ def _first_of_each(df, row_id, k):
 
 
 def _pick_pivots(rows, count):
-    """Pivot vectors in hash order; at most MAX_PIVOTS vectors reach the driver."""
+    """Pivot vectors in hash order; the driver gets about the root of the rows."""
     picked = rows.orderBy(F.xxhash64("c"), "c").limit(count).select("features").collect()
     return np.unique(np.array([p[0] for p in picked], dtype=np.float64), axis=0)
 
@@ -56,8 +61,8 @@ def _per_cell(df, width, *aggregates):
     return out
 
 
-def _block_counts(rows_per_cell):
-    return [max(1, int(-(-n // BLOCK_ROWS))) for n in rows_per_cell]
+def _block_counts(rows_per_cell, size=BLOCK_ROWS):
+    return [max(1, int(-(-n // size))) for n in rows_per_cell]
 
 
 def _tiled(queries, rows, q_blocks, c_blocks, run, schema):
@@ -66,21 +71,21 @@ def _tiled(queries, rows, q_blocks, c_blocks, run, schema):
     ``q_blocks``/``c_blocks`` give the number of blocks of each cell. A row goes to
     one block of its own side and meets every block of the other side.
     """
-    nq = F.get(F.array(*[F.lit(n) for n in q_blocks]), F.col("cell"))
-    nc = F.get(F.array(*[F.lit(n) for n in c_blocks]), F.col("cell"))
+    counts = F.broadcast(queries.sparkSession.createDataFrame(  # a row per pivot
+        list(zip(range(len(q_blocks)), q_blocks, c_blocks)), "cell int, _nq int, _nc int"))
 
     def block(column, count):
-        return F.pmod(F.xxhash64(column), count.cast("long")).cast("int")
+        return F.pmod(F.xxhash64(column), F.col(count).cast("long")).cast("int")
 
     # Both sides may stem from one table; distinct names keep them apart.
-    left = queries.withColumn("qb", block("q", nq)).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), nc - 1))
-    ).withColumnRenamed("features", "query_vector")
-    right = rows.withColumn("cb", block("c", nc)).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), nq - 1))
-    ).withColumnRenamed("features", "row_vector")
+    left = queries.join(counts, "cell").withColumn("qb", block("q", "_nq")).withColumn(
+        "cb", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1))
+    ).withColumnRenamed("features", "query_vector").drop("_nq", "_nc")
+    right = rows.join(counts, "cell").withColumn("cb", block("c", "_nc")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))
+    ).withColumnRenamed("features", "row_vector").drop("_nq", "_nc")
     keys = ["cell", "qb", "cb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    return shipped(left).groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def _best(partials, k):
@@ -96,19 +101,18 @@ def knn_join(queries, rows, k, metric="euclidean") -> DataFrame:
     partial = "q long, c long, distance double"
     search = blocks.nearest(k, metric)
     n_rows = rows.count()
-    if n_rows <= BLOCK_ROWS:
-        # One block of rows: every query meets it, no cell can be ruled out.
-        whole = F.lit(0).alias("cell")
-        tiles = _tiled(queries.select("q", "features", whole), rows.select("c", "features", whole),
-                       _block_counts([queries.count()]), [1], search, partial)
-        return _best(tiles, k)
-    pivots = _pick_pivots(rows, min(MAX_PIVOTS, max(1, n_rows // BLOCK_ROWS)))
+    if not n_rows:
+        none = queries.limit(0).select("q", F.col("q").alias("c"), F.lit(0.0).alias("distance"))
+        return _best(none, k)
+    spark = rows.sparkSession
+    pivots = _pick_pivots(rows, math.isqrt(n_rows))
     width = len(pivots)
-    assign = blocks.to_pivots(pivots, metric)
-    c_cells = rows.select("c", "features").mapInPandas(
-        assign, "c long, features array<double>, cell int, rho double")
-    q_cells = queries.select("q", "features").mapInPandas(
-        assign, POINT + ", cell int, rho double")
+    shared = spark.sparkContext.broadcast(pivots)
+    assign = blocks.to_pivots(shared, metric)
+    c_cells = cut_lineage(shipped(rows.select("c", "features")).mapInPandas(
+        assign, "c long, features array<double>, cell int, rho double"))
+    q_cells = cut_lineage(queries.select("q", "features").mapInPandas(
+        assign, POINT + ", cell int, rho double"))
     c_size, radius = _per_cell(c_cells, width, F.count("*"), F.max("rho"))
     (q_size,) = _per_cell(q_cells, width, F.count("*"))
     c_blocks = _block_counts(c_size)
@@ -122,7 +126,7 @@ def knn_join(queries, rows, k, metric="euclidean") -> DataFrame:
         "bound", F.coalesce(bound, F.lit(float("inf")))
     ).select("q", "features", "cell", "bound")
     going = cut_lineage(bounded.mapInPandas(
-        blocks.visits(pivots, radius, metric), POINT + ", cell int"))
+        blocks.visits(shared, spark.sparkContext.broadcast(radius), metric), POINT + ", cell int"))
     (v_size,) = _per_cell(going, width, F.count("*"))
     other = _tiled(going, c_cells, _block_counts(v_size), c_blocks, search, partial)
     return _best(own.select("q", "c", "distance").unionByName(other), k)
@@ -150,7 +154,13 @@ def symmetric_graph(edges) -> DataFrame:
 
 
 def kth_distance(df, row_id, k, metric="euclidean") -> DataFrame:
-    """Distance to the k-th nearest row, the row itself counted as the first."""
+    """Distance to the k-th nearest row, the row itself counted as the first.
+
+    A table with fewer than ``k`` rows has no such distance and raises.
+    """
+    n_rows = df.count()
+    if 0 < n_rows < k:
+        raise ValueError(f"{n_rows} rows have no {k}-th nearest row")
     points = collapse(df, row_id).select(F.col("rep").alias("q"), "features")
     lists = knn_join(points, _first_of_each(df, row_id, k), k, metric)
     last = lists.filter(F.col("rank") == k).select(F.col("q").alias("rep"), "distance")
@@ -166,9 +176,15 @@ def nearest_in(left, right, row_id, metric="euclidean") -> DataFrame:
     return members(left, row_id).join(best, "rep").select(row_id, "nearest", "distance")
 
 
+def _block_rows(n_rows):
+    """Rows of a block: a grid of blocks whose side grows with the root of the rows."""
+    return max(BLOCK_ROWS, 8 * math.isqrt(n_rows))
+
+
 def _all_tiles(points, run, schema):
     """Every block against every block of (q, features, cluster, w)."""
-    count = _block_counts([points.count()])
+    n_rows = points.count()
+    count = _block_counts([n_rows], _block_rows(n_rows))
     left = points.select("q", "features", F.lit(0).alias("cell"))
     right = points.select(F.col("q").alias("c"), "features", "cluster", "w",
                           F.lit(0).alias("cell"))
@@ -221,7 +237,9 @@ def diameter(df, row_id, metric="euclidean") -> DataFrame:
 
 
 def _tiled_pairs(left, right, metric):
-    q_blocks, c_blocks = _block_counts([left.count()]), _block_counts([right.count()])
+    n_left, n_right = left.count(), right.count()
+    size = _block_rows(n_right)
+    q_blocks, c_blocks = _block_counts([n_left], size), _block_counts([n_right], size)
     rows = right.select(F.col("q").alias("c"), "features", F.lit(0).alias("cell"))
     return _tiled(left.withColumn("cell", F.lit(0)), rows, q_blocks, c_blocks,
                   blocks.farthest(metric), "q long, distance double")

@@ -1,8 +1,7 @@
 """Ordered computations without a single-task sort.
 
 A global or per-group cumulative sum is done in two levels: rows are bucketed by
-the order column (cut points are quantiles of the data, at most ``shuffle_width``
-of them), each (group, bucket) is summed in its own task, and the offsets of the
+the order column (cut points are quantiles of the data, ``shuffle_width`` of them), each (group, bucket) is summed in its own task, and the offsets of the
 buckets are added. A group that holds most of the rows is spread over all
 buckets, so no task sees more than about one bucket of distinct values.
 """
@@ -105,19 +104,22 @@ def running_max(df, keys, order, value, out, inclusive=True) -> DataFrame:
     )
 
 
-HASH_DIGITS = 3
+BUCKET_ROWS = 65_536
 
 
 def hashed_order(df, keys, seed, row_key, out="rank") -> DataFrame:
     """1-based rank of each row in the order of md5(seed:row_key), and ``group_size``.
 
-    The first three hex digits of the hash split every group into 4096 even
-    buckets, so the rank is exact without sorting a group in one task.
+    The first hex digits of the hash, as many as the number of rows asks for, split every
+    group into even buckets, so the rank is exact without sorting a group in one task.
     """
     keys = list(keys)
+    digits, n_rows = 3, df.count()
+    while n_rows > BUCKET_ROWS * 16**digits:
+        digits += 1
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_key).cast("string")))
     hashed = df.withColumn("_digest", digest).withColumn(
-        "_prefix", F.substring("_digest", 1, HASH_DIGITS)
+        "_prefix", F.substring("_digest", 1, digits)
     )
     counts = hashed.groupBy(*keys, "_prefix").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*keys)

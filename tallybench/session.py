@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 100_000
 
 
-def shuffle_width(spark: SparkSession, most: int = 1024) -> int:
+def shuffle_width(spark: SparkSession) -> int:
     """Number of buckets used to spread an ordered pass over the cluster."""
-    return max(2, min(most, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
