@@ -65,6 +65,37 @@ def j12_diameter(spark, d):
     return fx.rounded(N.diameter(_points(spark, d), "row_id"))
 
 
+#: Prices far from the origin.
+FAR = """far AS (SELECT o_orderkey AS row_id, o_totalprice AS x FROM orders)"""
+
+
+def _far(spark, d, table="lineitem"):
+    rows = fx.table(spark, d, table)
+    if table == "lineitem":
+        # Line numbers repeat within an order, so rows get a number of their own.
+        return rows.select(F.monotonically_increasing_id().alias("row_id"),
+                           F.array(F.col("l_extendedprice") + 1e7).alias("features"))
+    return rows.select(F.col("o_orderkey").alias("row_id"), F.array(F.col("o_totalprice") + 1e7).alias("features"))
+
+
+@query("j10_far_from_origin", f"""WITH {FAR}, n AS (SELECT row_id, x, lag(x) OVER (ORDER BY x, row_id) AS a, lead(x) OVER (ORDER BY x, row_id) AS b FROM far)
+SELECT row_id, {r('least(coalesce(x - a, 1e300), coalesce(b - x, 1e300))', 4)} AS distance FROM n""")
+def j10_far(spark, d):
+    return fx.rounded(N.kth_distance(_far(spark, d, "orders"), "row_id", 2), 4)
+
+
+@query("j12_far_from_origin", f"""WITH o AS (SELECT o_orderkey AS row_id, o_totalprice AS x, row_number() OVER w AS k, sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING) AS below,
+  count(*) OVER () AS n, sum(o_totalprice) OVER () AS s FROM orders WINDOW w AS (ORDER BY o_totalprice, o_orderkey))
+SELECT row_id, {r('(s - below - (n - k) * x) + (k * x - below)', 2)} AS total FROM o""")
+def j12_far(spark, d):
+    return fx.rounded(N.distance_summary(_far(spark, d, "orders"), "row_id").select("row_id", "total"), 2)
+
+
+@query("j12_far_diameter", f"SELECT {r('max(l_extendedprice) - min(l_extendedprice)', 2)} AS diameter FROM lineitem")
+def j12_far_diameter(spark, d):
+    return fx.rounded(N.diameter(_far(spark, d), "row_id"), 2)
+
+
 @query("j13_nearest_in_other_table", f"""WITH {fx.BITS}, pr AS (SELECT a.row_id, b.row_id AS nearest, {HAM} AS d FROM bits a JOIN bits b ON a.row_id % 2 = 1 AND b.row_id % 2 = 0)
 SELECT row_id, nearest, {r('d')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, nearest) AS k FROM pr) WHERE k = 1""")
 def j13(spark, d):

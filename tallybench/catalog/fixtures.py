@@ -211,17 +211,16 @@ def essential(spark, d):
 
 # Compounds present in each environment.
 ENVS = """envs AS (
-  SELECT DISTINCT o_orderkey % 20 AS env, l_partkey % 150 AS compound
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45)"""
+  SELECT o_orderkey % 20 AS env, l_partkey % 150 AS compound
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL HAVING sum(l_quantity)::BIGINT % 2 = 1)"""
 
 
 def envs(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey")
     return (
-        table(spark, d, "lineitem").filter("l_quantity > 45")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select((F.col("o_orderkey") % 20).alias("env"), (F.col("l_partkey") % 150).alias("compound"))
-        .distinct()
+        table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy((F.col("o_orderkey") % 20).alias("env"), (F.col("l_partkey") % 150).alias("compound"))
+        .agg(F.sum("l_quantity").cast("long").alias("_sum")).filter("_sum % 2 = 1").drop("_sum")
     )
 
 

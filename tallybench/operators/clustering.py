@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.distance import euclidean
 from ..functions.encode import clip01
 from ..session import BROADCAST_ROWS, at_most
-from .neighbours import cluster_distance_sums, diameter, knn_join
+from .neighbours import cluster_distance_sums, diameter
 from .statistics import cluster_count, without_noise
 
 
@@ -87,9 +87,11 @@ def dcsi(df, row_id, cluster="cluster") -> DataFrame:
     rows = without_noise(df, cluster).select(F.col(cluster).cast("int").alias("cluster"), "features")
     inner = rows.join(_small(named.filter("size > 1")), "cluster").agg(
         F.coalesce(F.avg(euclidean(F.col("features"), F.col("_centre"))), F.lit(0.0)).alias("intra"))
-    points = centres.select(F.col("cluster").cast("long").alias("q"), "features")
-    near = knn_join(points, points.withColumnRenamed("q", "c"), 2).filter("q <> c").agg(
-        F.min("distance").alias("inter"))
+    # One row with the few centroids; every pair once.
+    pairs = F.flatten(F.transform("_all", lambda a, i: F.transform(
+        F.slice("_all", i + 2, F.size("_all")), lambda b: euclidean(a, b))))
+    near = centres.agg(F.collect_list("features").alias("_all")).select(
+        F.array_min(pairs).alias("inter"))
     labels = df.agg(F.countDistinct(
         F.when(F.col(cluster) != -1, F.col(cluster))).cast("double").alias("k"))
     parts = _side_by_side(k=labels, intra=inner, inter=near, span=diameter(df, row_id))

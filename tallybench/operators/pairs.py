@@ -82,13 +82,19 @@ def pair_upper_bounds(pairs, bounds, compound="compound") -> DataFrame:
     )
 
 
-def environment_lower_bounds(present, n_compounds, env="env", compound="compound"):
+def environment_lower_bounds(present, n_compounds, env="env", compound="compound", environments=None):
     """Lower bound of every compound in every environment: -1000 if present, else 0.
 
+    ``environments`` may list them all; one without a present compound has only zeros.
+
     Compounds are numbered 0..n-1. The present set of an environment is at most
     that long, so it travels as one array and is unfolded into the full row.
     """
     sets = present.groupBy(env).agg(F.collect_set(F.col(compound).cast("int")).alias("_in"))
+    if environments is not None:
+        none = F.array().cast("array<int>")
+        sets = environments.select(env).distinct().join(sets, env, "left").select(
+            env, F.coalesce("_in", none).alias("_in"))
     numbers = F.sequence(F.lit(0), F.lit(n_compounds - 1))
     return sets.select(env, "_in", F.explode(numbers).alias(compound)).select(
         env, compound,

@@ -2,6 +2,7 @@
 
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest,
+                                       OneVsRestModel,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -59,11 +60,31 @@ def logistic(**params):
 def fit(estimator, train, val=None):
     """Fit on vectors; boosting watches the validation rows and stops early."""
     data = vectors(train)
-    if val is not None and estimator.hasParam("validationIndicatorCol"):
-        data = data.withColumn(VALIDATION, F.lit(False)).unionByName(
-            vectors(val).withColumn(VALIDATION, F.lit(True)))
-        estimator = estimator.copy().setParams(validationIndicatorCol=VALIDATION)
-    return estimator.fit(data)
+    if val is None:
+        return estimator.fit(data)
+    watched = data.withColumn(VALIDATION, F.lit(False)).unionByName(
+        vectors(val).withColumn(VALIDATION, F.lit(True)))
+    if isinstance(estimator, OneVsRest):
+        return _one_against_rest(estimator, watched)
+    if not estimator.hasParam("validationIndicatorCol"):
+        return estimator.fit(data)
+    return estimator.copy().setParams(validationIndicatorCol=VALIDATION).fit(watched)
+
+
+def _one_against_rest(estimator, watched):
+    """One model per class, each with the validation rows (which the estimator would drop)."""
+    inner = estimator.getClassifier()
+    if not inner.hasParam("validationIndicatorCol"):
+        return estimator.fit(watched.filter(~F.col(VALIDATION)))
+    inner = inner.copy().setParams(validationIndicatorCol=VALIDATION)
+    classes = int(watched.agg(F.max("label")).first()[0]) + 1
+    watched = watched.persist()
+    try:
+        models = [inner.fit(watched.withColumn("label", (F.col("label") == c).cast("double")))
+                  for c in range(classes)]
+    finally:
+        watched.unpersist()
+    return OneVsRestModel(models=models).setFeaturesCol("vector")
 
 
 def _probability(scored):

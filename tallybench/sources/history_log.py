@@ -29,7 +29,9 @@ def write_history(history: DataFrame, path, run="run"):
     """Write (run, epoch, val, test, new_best) as log lines, in epoch order."""
     score = F.format_string("(val) %.4f (test) %.4f", F.col("val"), F.col("test"))
     lines = F.when(F.col("new_best"), F.array(score, F.lit(NEW_BEST))).otherwise(F.array(score))
-    # Range partitions keep the epochs of a run in part-file order.
-    ordered = history.repartitionByRange(run, "epoch").sortWithinPartitions(run, "epoch")
-    ordered.select(run, F.explode(lines).alias("value")).write.mode("overwrite").partitionBy(
-        run).text(path)
+    # Range partitions keep the epochs of a run in part-file order; the lines of an epoch
+    # are numbered, so that their order is part of the sort and not of the explode.
+    spread = history.repartitionByRange(run, "epoch").select(
+        run, "epoch", F.posexplode(lines).alias("_line", "value"))
+    ordered = spread.sortWithinPartitions(run, "epoch", "_line")
+    ordered.select(run, "value").write.mode("overwrite").partitionBy(run).text(path)

@@ -8,8 +8,9 @@ def with_position(scan: DataFrame, path_keys=None, keys=(), out="row_id") -> Dat
 
     ``scan`` is a fresh file scan. A group is given by ``keys`` (columns of the scan)
     and ``path_keys`` ({name: expression over the file path}); its files follow in
-    name order. Rows are numbered inside each file split (bounded by the split
-    size), then shifted by the row counts of the earlier splits.
+    the order of their folder, the number in a part file's name, and their name. Rows are
+    inside each file split (bounded by the split size), then shifted by the row counts of
+    the earlier splits.
     """
     path_keys = path_keys or {}
     names = [*keys, *path_keys]
@@ -22,7 +23,10 @@ def with_position(scan: DataFrame, path_keys=None, keys=(), out="row_id") -> Dat
     split = names + ["_path", "_block"]
     inside = Window.partitionBy(*split).orderBy("_seen")
     local = marked.withColumn("_in", F.row_number().over(inside) - 1)
-    earlier = Window.partitionBy(*names).orderBy("_path", "_block").rowsBetween(
+    # part-100000 follows part-99999, which the names alone would not give.
+    folder = F.regexp_extract("_path", r"^(.*/)[^/]*$", 1)
+    number = F.expr("try_cast(regexp_extract(_path, 'part-([0-9]+)[^/]*$', 1) AS long)")
+    earlier = Window.partitionBy(*names).orderBy(folder, number, "_path", "_block").rowsBetween(
         Window.unboundedPreceding, -1)
     # One row per file split.
     offsets = marked.groupBy(*split).agg(F.count("*").alias("_n")).select(

@@ -2,8 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A pair or microbe folder is written by this many tasks at most.
-FILES_PER_KEY = 8
+from ..operators.groups import join_groups
+
+# A pair or microbe folder is written by one task per so many of its rows.
+ROWS_PER_FILE = 1_000_000
 
 
 def save_matrix(df: DataFrame, path):
@@ -15,12 +17,18 @@ def load_matrix(spark: SparkSession, path) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def save_by_key(df: DataFrame, path, keys, files_per_key=FILES_PER_KEY):
-    """Store one folder per key value; rows of a key are spread over several tasks,
-    so a key that holds most of the rows does not end in one task."""
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(files_per_key))
-    spread = df.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salt")
-    spread.write.mode("overwrite").partitionBy(*keys).parquet(path)
+def save_by_key(df: DataFrame, path, keys, rows_per_file=ROWS_PER_FILE):
+    """Store one folder per key value; the rows of a key are spread over as many tasks as
+    their number asks for, so a key that holds most of the rows does not end in one task."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
+    sizes = sizes.withColumn("_files", F.ceil(F.col("_size") / rows_per_file).cast("int"))
+    first = sizes.groupBy(keys[0]).agg(F.sum("_size").alias("_all"))
+    sizes = sizes.drop("_size").join(first, keys[0]).withColumnRenamed("_all", "_size")
+    others = [c for c in df.columns if c not in keys]
+    salted = join_groups(df, sizes, list(keys), df.count()).withColumn(
+        "_salt", F.pmod(F.xxhash64(*others), F.col("_files"))).drop("_files")
+    spread = salted.repartition(*keys, "_salt").drop("_salt")
+    spread.select(*df.columns).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def load_by_key(spark, path, **values) -> DataFrame:

@@ -110,3 +110,27 @@ def test_beta_recall_equals_brute_force(points, spark):
     p = np.array([(np.linalg.norm(y - x.mean(0), axis=1) <= r).mean() for r in np.quantile(d_real, levels)])
     want = 1 - np.abs(levels - p).sum() / levels.sum()
     assert G.alpha_precision(real, fake).first()[0] == pytest.approx(want, abs=0.02)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e5, 1e8])
+def test_distances_do_not_depend_on_the_origin(spark, offset, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 64)
+    x = np.random.default_rng(3).normal(size=(600, 2)).round(4) + offset
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, features array<double>")
+    d = dist(x)
+    totals = {r["row_id"]: r["total"] for r in N.distance_summary(df, "row_id").collect()}
+    assert np.allclose([totals[i] for i in range(600)], d.sum(1), rtol=1e-9)
+    assert N.diameter(df, "row_id").first()[0] == pytest.approx(d.max(), rel=1e-12)
+    lists = {}
+    for r in N.knn_graph(df, "row_id", 3).collect():
+        lists.setdefault(r["i"], []).append((r["rank"], r["j"]))
+    for i in range(600):
+        order = sorted((d[i, j], j) for j in range(600) if j != i)[:3]
+        assert [j for _, j in sorted(lists[i])] == [j for _, j in order]
+
+
+def test_fewer_rows_than_asked_for(points):
+    df, _ = points
+    with pytest.raises(ValueError):
+        N.kth_distance(df.limit(3), "row_id", 5)
+    assert N.knn_graph(df.limit(0), "row_id", 2).count() == 0

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tallybench.sources import descriptor, history_log, metric_files, split_files, tables
@@ -60,8 +61,44 @@ def test_hot_key_folder_is_written_by_several_tasks(spark):
     merge = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(merge, "false")
     try:
-        tables.save_by_key(spark.range(1000).select(F.lit(1).alias("k"), "id"), path, ["k"])
+        tables.save_by_key(spark.range(1000).select(F.lit(1).alias("k"), "id"), path, ["k"], rows_per_file=100)
     finally:
         spark.conf.unset(merge)
     assert spark.read.parquet(path).select(F.input_file_name()).distinct().count() > 1
     assert tables.load_by_key(spark, path, k=1).count() == 1000
+
+
+def _write(path, text):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+
+
+def test_collections_of_different_width(spark, tmp_path):
+    a, b = (tmp_path / "T" / c / "50" / "D" / "csv" for c in ("A", "B"))
+    _write(a / "X_train_D.csv", "c1,c2\n1,2\n3,4\n")
+    _write(a / "y_train_D.csv", "y\n10\n30\n")
+    _write(b / "X_train_D.csv", "c2,c1,c3\n5,6,7\n")
+    _write(b / "y_train_D.csv", "y\n50\n")
+    rows = sorted((r["collection"], r["features"], r["columns"], r["label"]) for r in split_files.read_split(spark, str(tmp_path)).collect())
+    assert rows == [("A", [1.0, 2.0], ["c1", "c2"], 10.0), ("A", [3.0, 4.0], ["c1", "c2"], 30.0),
+                    ("B", [5.0, 6.0, 7.0], ["c2", "c1", "c3"], 50.0)]
+
+
+def test_mismatches_raise(spark, tmp_path):
+    folder = tmp_path / "T" / "A" / "50" / "D" / "csv"
+    _write(folder / "X_train_D.csv", "c1\n1\n2\n")
+    _write(folder / "y_train_D.csv", "y\n1\n")
+    with pytest.raises(Exception, match="differ in number"):
+        split_files.read_split(spark, str(tmp_path)).collect()
+    _write(folder / "y_train_D.csv", "y\n1\nx\n")
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        split_files.read_split(spark, str(tmp_path)).collect()
+
+
+def test_part_files_follow_their_number(spark, tmp_path):
+    from tallybench.sources.position import with_position
+
+    for number in (99999, 100000, 7):
+        (tmp_path / f"part-{number:05d}-x.csv").write_text(f"{number}\n")
+    rows = with_position(spark.read.text(str(tmp_path))).orderBy("row_id").collect()
+    assert [r["value"] for r in rows] == ["7", "99999", "100000"]
