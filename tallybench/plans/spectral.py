@@ -16,6 +16,8 @@ from ..operators.statistics import drop_small_clusters, relabel
 from ..session import cut_lineage
 from .cluster import kmeans
 
+MOST_ROUNDS = 100  # of an iteration that has not settled; then it raises
+
 
 def similarity_degrees(df, score) -> DataFrame:
     """Add ``degree``: row sum of the similarity (s_i + s_j) / 2 with zero diagonal.
@@ -129,11 +131,12 @@ def _laplacian_step(state, edges, m, n_f, alpha, beta, gamma):
     return sent.groupBy("to").agg(*out, *keep).withColumnRenamed("to", "id")
 
 
-def smallest_laplacian_vectors(graph, rows, row_id, k, n_f=0, rounds=8, degree=5, tol=1e-3):
+def smallest_laplacian_vectors(graph, rows, row_id, k, n_f=0, degree=8, tol=1e-3):
     """The k smallest eigenvectors of D - W on rows orthogonal to the constraints.
 
     Chebyshev-filtered subspace iteration. ``graph`` is (i, j, weight), symmetric;
-    ``rows`` is (row_id, f0..). Returns (row_id, v0..v{k-1}) and the eigenvalues.
+    ``rows`` is (row_id, f0..). Returns (row_id, v0..v{k-1}) and the eigenvalues. Rounds
+    go on until the eigenvalues settle; raises if they have not after ``MOST_ROUNDS``.
     """
     degrees = graph.groupBy(F.col("i").alias("id")).agg(F.sum("weight").alias("degree"))
     loops = degrees.select("id", F.col("id").alias("to"), F.lit(0.0).alias("weight"))
@@ -148,7 +151,9 @@ def smallest_laplacian_vectors(graph, rows, row_id, k, n_f=0, rounds=8, degree=5
     names = [f"y{j}" for j in range(m)]
     state = cut_lineage(_project(state, names, n_f))
     low, previous = top / 8, None
-    for _ in range(rounds):
+    for rounds in range(MOST_ROUNDS + 1):
+        if rounds == MOST_ROUNDS:
+            raise RuntimeError(f"eigenvalues have not settled after {rounds} rounds")
         centre, half = (top + low) / 2, (top - low) / 2
         for step in range(degree):
             scale, carry = (1 / half, 0.0) if step == 0 else (2 / half, -1.0)
@@ -186,10 +191,10 @@ def fair_spectral_clusters(df, row_id, k, attributes=(), neighbours=15, seed=42)
     rows, n_f = _constraints(df, row_id, attributes)
     found, _ = smallest_laplacian_vectors(cut_lineage(edges), rows, row_id, k, n_f)
     embedding = found.select(row_id, F.array(*found.columns[1:]).alias("features"))
-    return kmeans(embedding, row_id, k, seed, starts=3)
+    return kmeans(embedding, row_id, k, seed, starts=10)
 
 
-def density_embedding(df, row_id, attributes=(), min_points=5, width=10, rounds=8):
+def density_embedding(df, row_id, attributes=(), min_points=5, width=10):
     """(row_id, v0..): generalised eigenvectors of the density similarity.
 
     The similarity of two rows is the mean of their scores, so with the degree d
@@ -221,7 +226,9 @@ def density_embedding(df, row_id, attributes=(), min_points=5, width=10, rounds=
     state = base.withColumns({
         f"v{j}": hash_normal(F.col(row_id), F.lit(j)) for j in range(m)})
     previous = None
-    for _ in range(rounds):
+    for rounds in range(MOST_ROUNDS + 1):
+        if rounds == MOST_ROUNDS:
+            raise RuntimeError(f"eigenvalues have not settled after {rounds} rounds")
         v = _cols("v", m)
         y = solve @ _cross(state, ends, [d * x * inverse for x in v])
         moved = state.withColumns({
@@ -260,7 +267,7 @@ def density_fair_clusters(df, row_id, k, attributes=(), min_points=5, seed=42) -
     names = embedding.columns[1:]
     for size in range(k, len(names) + 1):
         rows = embedding.select(row_id, F.array(*names[:size]).alias("features"))
-        kept = cut_lineage(drop_small_clusters(kmeans(rows, row_id, size, seed), min_points))
+        kept = cut_lineage(drop_small_clusters(kmeans(rows, row_id, size, seed, starts=10), min_points))
         if kept.filter("cluster <> -1").select("cluster").distinct().count() >= k:
             return relabel(kept)
     return df.select(row_id, F.lit(0).alias("cluster"))

@@ -52,7 +52,7 @@ def test_fair_spectral_equals_dense_eigenvalues(spark, blobs):
     want = np.sort(np.linalg.eigvalsh(p @ lap @ p + 1e6 * np.outer(f, f)))[:4]
     rows, n_f = spectral._constraints(blobs, "row_id", ["sex"])
     found, theta = spectral.smallest_laplacian_vectors(
-        spectral.cut_lineage(edges), rows, "row_id", 4, n_f, rounds=3, degree=5)
+        spectral.cut_lineage(edges), rows, "row_id", 4, n_f, degree=5)
     assert np.allclose(theta, want, atol=0.05)
     v = np.array([list(r)[1:] for r in found.orderBy("row_id").collect()])
     assert np.abs(f @ v).max() < 1e-6
