@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.groups import join_groups
 from ..session import cut_lineage
 
-#: A group is large if it has more than one in HOT rows; there are fewer than HOT of them.
-HOT = 4096
+#: Bits of the filter of ``among``: one broadcast megabyte, whatever the data.
+FILTER_BITS = 1 << 23
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
-    """Join rows with what is known of their groups, spread evenly whatever the groups.
+def among(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with ``_maybe``: false only if their key is not in ``wanted``.
 
-    ``groups`` has ``_size``, the rows of the group ``on[0]`` (dropped), and ``total`` is the
-    number of rows. Large groups are broadcast, at most HOT of them by their definition; all
-    others are joined by a shuffle in which no key is large.
+    Rows that are surely not wanted need no shuffle for a join. The filter has a fixed
+    size; with very many keys it lets more rows pass, which costs time and no result.
     """
-    large = F.col("_size") * HOT > total
-    hot, cold = groups.where(large).drop("_size"), groups.where(~large).drop("_size")
-    names = F.broadcast(hot.select(on[0]).distinct())
-    return rows.join(F.broadcast(hot), on).unionByName(rows.join(names, on[0], "left_anti").join(cold, on, how))
+    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS)) + 1
+    bits = (wanted.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits")))
+    marked = rows.withColumn("_place", place).withColumn("_bucket", F.bitmap_bucket_number("_place"))
+    byte = "conv(hex(substring(_bits, cast(bitmap_bit_position(_place) div 8 + 1 as int), 1)), 16, 10)"
+    bit = F.expr(f"(shiftright(cast({byte} as int), cast(bitmap_bit_position(_place) % 8 as int)) & 1) = 1")
+    return (marked.join(F.broadcast(bits), "_bucket", "left")
+            .withColumn("_maybe", F.coalesce(bit, F.lit(False))).drop("_place", "_bucket", "_bits"))
 
 
 def looked_up(rows: DataFrame, key: str, table: DataFrame, total: int) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..shipping import shipped
-from .groups import join_groups
+from .groups import among, join_groups
 from .words import _BASE, _BASE_INVERSE, blocks, mix, powers, window_hashes
 
 WINDOW = 50
@@ -99,7 +99,7 @@ def with_words(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The wanted stretches (_id, _print, h, start, n) with the hashes of their words."""
     kind = rows.schema["_id"].dataType.simpleString()
     lists = wanted.groupBy("_id", "_print").agg(F.collect_list(F.struct("h", "start", "n")).alias("_parts"))  # those of one text
-    joined = rows.join(lists, ["_id", "_print"]).select("_id", "_print", "_text", "_parts")
+    joined = among(rows, lists, ["_id", "_print"]).where("_maybe").join(lists, ["_id", "_print"]).select("_id", "_print", "_text", "_parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,10 +270,11 @@ def streamed(runs: DataFrame, window: int) -> DataFrame:
 
 def covered_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(_id, _print, start, n): spans of covered windows of the texts (_id, _print, _text)."""
-    found = cut_lineage(anchored(rows, window))
-    total = max(found.count(), 1)
+    found = anchored(rows, window)  # made twice: less than writing it down
     anchors = found.groupBy("h").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.count("*").alias("_size")).where("_low < _high")
-    shared = cut_lineage(join_groups(found, anchors.select("h", "_size"), ["h"], total))
+    anchors = cut_lineage(anchors.select("h", "_size"))
+    total = anchors.agg(F.sum("_size")).first()[0] or 1
+    shared = cut_lineage(join_groups(found, anchors, ["h"], total))
     kinds = shared.groupBy("s", "h").agg(F.min("_id").alias("first"), F.count("*").alias("_size"))
     several = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
     placed = cut_lineage(join_groups(shared, kinds.join(several, "h"), ["s", "h"], total))
@@ -282,10 +283,11 @@ def covered_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     wanted = placed.where((F.col("_id") == F.col("first")) & (F.col("kinds") > 1)).select("_id", "_print", "h", "start", "n")
 
     segments = cut_lineage(with_words(rows, wanted.distinct(), window).withColumn("_seg", F.monotonically_increasing_id()))
-    windows = cut_lineage(windows_of(segments, window))
-    n_windows = max(windows.count(), 1)
+    windows = windows_of(segments, window)
     again = windows.groupBy("w").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high"), F.count("*").alias("_size")).where("_low < _high")
-    offs = join_groups(windows, again.select("w", "_size"), ["w"], n_windows).groupBy("_seg").agg(F.array_sort(F.collect_set("off")).alias("offs"))  # those of one stretch
+    again = cut_lineage(again.select("w", "_size"))
+    n_windows = again.agg(F.sum("_size")).first()[0] or 1
+    offs = join_groups(windows.drop("_id"), again, ["w"], n_windows).groupBy("_seg").agg(F.array_sort(F.collect_set("off")).alias("offs"))  # those of one stretch
     runs = cut_lineage(trimmed(segments.join(offs, "_seg"), window))
     n_runs = max(runs.count(), 1)
     same = runs.groupBy("p", "h").agg(F.min("_id").alias("first"), F.count("*").alias("_size"))
@@ -306,8 +308,10 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _marked(rows: DataFrame, window: int) -> DataFrame:
     """Rows with ``_spans``: the covered windows of their text."""
     spans = covered_windows(rows.select("_id", "_print", "_text"), window).where(F.col("_id").isNotNull())
-    spans = spans.groupBy("_id", "_print").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))  # those of one text
-    return rows.join(spans, ["_id", "_print"], "left")
+    spans = cut_lineage(spans.groupBy("_id", "_print").agg(F.collect_list(F.struct("start", "n")).alias("_spans")))  # those of one text
+    marked = among(rows, spans, ["_id", "_print"])
+    joined = marked.where("_maybe").join(spans, ["_id", "_print"], "left")
+    return joined.unionByName(marked.where("not _maybe").withColumn("_spans", F.lit(None).cast(spans.schema["_spans"].dataType))).drop("_maybe")
 
 
 def _gone(spans: pa.Array, block, window: int) -> np.ndarray:
