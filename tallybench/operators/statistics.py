@@ -76,26 +76,26 @@ def early_stopping(history, patience, run="run", stop_first=False) -> DataFrame:
     not. Epochs are numbered from 0.
     """
     known = F.col("val").isNotNull() & ~F.isnan("val")
-    # Each running maximum reads its input twice, so the steps are materialised.
-    clean = cut_lineage(history.withColumn("_val", F.when(known, F.col("val"))))
+    clean = history.withColumn("_val", F.when(known, F.col("val")))
     reached = running_max(clean, [run], "epoch", "_val", "_before", inclusive=False)
     improves = F.coalesce(F.col("_val") > F.col("_before"), F.col("_val").isNotNull())
-    flagged = cut_lineage(reached.withColumn("_up", F.when(improves, F.col("epoch"))))
-    waited = cut_lineage(running_max(flagged, [run], "epoch", "_up", "_last_up").withColumn(
-        "_bad", F.col("epoch") - F.coalesce("_last_up", F.lit(-1))
-    ))
-    limit = patience if stop_first else patience + 1
-    stops = waited.groupBy(run).agg(
-        F.min(F.when(F.col("_bad") >= limit, F.col("epoch"))).alias("_stop")
-    )
+    # From here on one row per improvement, and one before the first epoch.
+    ups = reached.filter(improves).select(run, "epoch", "val", "test")
+    ends = history.groupBy(run).agg(F.max("epoch").alias("_end"))
+    start = ends.select(run, F.lit(-1).cast(history.schema["epoch"].dataType).alias("epoch"),
+                        F.lit(None).cast("double").alias("val"), F.lit(None).cast("double").alias("test"))
+    following = F.lead("epoch").over(Window.partitionBy(run).orderBy("epoch"))
+    points = cut_lineage(ups.unionByName(start).withColumn("_next", following).join(ends, run))
+    given_up = F.col("epoch") + (patience if stop_first else patience + 1)
+    quiet = given_up <= F.coalesce(F.col("_next") - 1, F.col("_end"))
+    stops = points.groupBy(run).agg(F.min(F.when(quiet, given_up)).alias("_stop"))
     # A null stop means the run used all its epochs.
-    seen = waited.join(stops, run).filter(
-        F.col("_stop").isNull() | (F.col("epoch") <= F.col("_stop"))
-    )
-    best = F.max_by(F.struct("epoch", "val", "test"), F.col("_up"))
+    seen = points.join(stops, run).withColumn("_last", F.coalesce("_stop", "_end"))
+    kept = F.when((F.col("epoch") >= 0) & (F.col("epoch") <= F.col("_last")), F.col("epoch"))
+    best = F.max_by(F.struct("epoch", "val", "test"), kept)
     return (
         seen.groupBy(run)
-        .agg(best.alias("b"), F.max("epoch").alias("last_epoch"),
+        .agg(best.alias("b"), F.max("_last").alias("last_epoch"),
              F.max("_stop").isNotNull().alias("stopped_early"))
         .select(run, F.col("b.epoch").alias("best_epoch"), F.col("b.val").alias("best_val"),
                 F.col("b.test").alias("best_test"), "last_epoch", "stopped_early")
