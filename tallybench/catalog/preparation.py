@@ -226,11 +226,34 @@ def f11_table(spark, d):
     return q.withColumn("edges", F.transform("edges", lambda v: F.round(v, 9)))
 
 
-@query("f11_quantile_normal")
+def _horner(coefficients, x):
+    out = f"({coefficients[0]!r})::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r})::DOUBLE)"
+    return out
+
+
+def _tail(q):
+    t = f"sqrt((-2.0)::DOUBLE * ln({q}))"
+    return f"({_horner(encode._TAIL_NUM, t)} / {_horner(encode._TAIL_DEN, t)})"
+
+
+RANK = "((i / (c - 1)::DOUBLE) * (n - 1))"
+NORMAL = f"""CASE WHEN p < {encode._TAIL_FROM} THEN {_tail('p')} WHEN p > 1 - {encode._TAIL_FROM} THEN -{_tail('(1 - p)')}
+  ELSE (p - 0.5) * {_horner(encode._CENTRE_NUM, '((p - 0.5) * (p - 0.5))')} / {_horner(encode._CENTRE_DEN, '((p - 0.5) * (p - 0.5))')} END"""
+
+
+@query("f11_quantile_normal", f"""{LONG}, s AS (SELECT pos, list_sort(list(x)) AS l, count(*) AS n, greatest(least(count(*) // 30, 1000), 10) AS c FROM long GROUP BY pos),
+t AS (SELECT pos, c, list_transform(range(c), lambda i: l[floor({RANK})::INT + 1] + (l[ceil({RANK})::INT + 1] - l[floor({RANK})::INT + 1]) * ({RANK} - floor({RANK}))) AS e FROM s),
+q AS (SELECT row_id, pos, x, c - 1 AS k, e, len(list_filter(e, lambda v: v < x)) AS b, len(list_filter(e, lambda v: v <= x)) AS u FROM long JOIN t USING (pos)),
+h AS (SELECT row_id, pos, least(greatest(CASE WHEN x <= e[1] THEN 0.0::DOUBLE WHEN x >= e[len(e)] THEN 1.0::DOUBLE WHEN u = b THEN (b - 1 + (x - e[b]) / (e[b + 1] - e[b])) / k
+  ELSE (b + u - 1) / (2.0::DOUBLE * k) END, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS p FROM q)
+SELECT row_id, list({r(NORMAL)} ORDER BY pos) AS features FROM h GROUP BY row_id""")
 def f11(spark, d):
     rows = fx.emb(spark, d)
     count = scaling.quantile_levels(rows.count())
-    return fx.rounded(scaling.quantile_normal(rows, "row_id", count))
+    wide = scaling.quantile_normal(rows, "row_id", count)
+    return wide.select("row_id", F.transform("features", lambda v: F.round(v, 6)).alias("features"))
 
 
 @query("f13_piecewise_linear", f"""{LONG}, e AS (SELECT pos, quantile_cont(x, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM long GROUP BY pos)
