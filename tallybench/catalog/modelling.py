@@ -3,10 +3,10 @@
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from ..operators import classification as C, scaling, statistics as S, tables as T
+from ..operators import classification as C, generative as G, scaling, statistics as S, tables as T
 from ..operators.clustering import compare_methods
 from ..plans import cluster as K, explain as X, labelling as L, spectral, supervised as M, synth as Y
-from ..session import scratch_folder
+from ..session import cut_lineage, scratch_folder
 from . import fixtures as fx
 from .fixtures import r
 from .registry import query
@@ -153,30 +153,42 @@ def m15_regression(spark, d):
 def m16(spark, d):
     data = _data(spark, d)
     train = data.filter("split = 'train'")
-    extra = Y.sample_rows(train, 200, "row_id", seed=3)
+    extra = Y.sample_rows(train, train.count(), "row_id", seed=3)
     return fx.rounded(M.compare_augmentation(M.boosted_classifier(**SIZES), data, extra))
 
 
 @query("m17_synthetic_rows")
 def m17(spark, d):
     real = fx.emb(spark, d).select("row_id", "features", "label")
-    return Y.sample_rows(real, 400, "row_id", seed=5)
+    return Y.sample_rows(real, real.count(), "row_id", seed=5)
 
 
-@query("m17_values_come_from_real_rows", "SELECT 400::BIGINT AS n, 64::BIGINT AS width, 0::BIGINT AS foreign_cells")
+@query("m17_values_come_from_real_rows", "SELECT count(*) AS n, 64::BIGINT AS width, 0::BIGINT AS foreign_cells FROM embeddings")
 def m17_check(spark, d):
     real = fx.emb(spark, d).select("row_id", "features", "label")
-    fake = Y.sample_rows(real, 400, "row_id", seed=5)
+    fake = Y.sample_rows(real, real.count(), "row_id", seed=5)
     seen = scaling.positions(real, ["label"]).distinct()
     unknown = scaling.positions(fake, ["label"]).join(seen, ["label", "pos", "x"], "left_anti")
     shape = fake.agg(F.count("*").alias("n"), F.max(F.size("features")).cast("long").alias("width"))
     return shape.withColumn("foreign_cells", unknown.agg(F.count("*")).scalar())
 
 
+@query("m19_generated_quality")
+def m19_generated(spark, d):
+    """Quality of as many generated rows as there are real ones."""
+    real = fx.emb(spark, d).select("row_id", "features", "label")
+    fake = cut_lineage(Y.sample_rows(real, real.count(), "row_id", seed=5).select("row_id", "features"))
+
+    def bits(t):
+        return t.withColumn("features", F.transform("features", lambda x: F.when(x > 0, 1.0).otherwise(0.0)))
+
+    return fx.rounded(G.quality_report(real.select("row_id", "features"), fake, "row_id", bits))
+
+
 @query("m18_detection_score")
 def m18(spark, d):
     rows = fx.emb(spark, d).select("row_id", "features", "label")
-    fake = Y.sample_rows(rows, 400, "row_id", seed=5)
+    fake = Y.sample_rows(rows, rows.count(), "row_id", seed=5)
     return fx.rounded(Y.detection_score(rows, fake, "row_id", width=64, max_iter=20))
 
 
