@@ -6,7 +6,7 @@ transition weights. Forward-backward gives the probability that a line is good;
 these, weighted by the words of the lines, becomes the score of the text after a logistic
 calibration on the training texts.
 
-``train`` fits on a bounded sample of labelled texts (the ``SAMPLE`` with the smallest hash
+``train`` fits on a bounded sample of labelled texts (about ``SAMPLE``, those with a small hash
 of their key), the label of a text being that of its lines, by gradient steps on the driver.
 ``score`` covers every line of every whole text. Null, empty and wordless texts get the
 share of label 1 in the sample; 0.5 if the sample is empty. Rows with a null label teach
@@ -203,9 +203,10 @@ def fit(doc: np.ndarray, words: np.ndarray, bins: np.ndarray, label: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on the ``sample`` labelled texts with the smallest hash of their key."""
-    chosen = (labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where("_key is not null and _label is not null")
-              .groupBy("_key").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(sample))
+    """Fit on about ``sample`` labelled texts, those with a small hash of their key."""
+    marked = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).where("_key is not null and _label is not null")
+    part = min(1.0, sample / max(marked.count(), 1))
+    chosen = marked.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < part * (1 << 30)).groupBy("_key").agg(F.max("_label").alias("_label"))
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key").select("_label", "_text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
