@@ -113,11 +113,49 @@ def op9_sentence_pieces(spark, sf_dir):
     return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
-@query("op4_near_duplicates")
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, words[i] || ' ' || words[i + 1] AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM w WHERE len(words) > 1)
+  UNION ALL SELECT doc_id, words[1] FROM w WHERE len(words) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sn AS (SELECT * FROM s JOIN n USING (doc_id)),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM sn a JOIN sn b USING (shingle)
+  WHERE a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT links.y, r.c FROM r JOIN links ON links.x = r.doc_id)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op4_near_duplicates", NEAR_SQL)
 def op4_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), size=2)
 
 
-@query("op3_substring_dedup")
+PASSAGES_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+f AS (SELECT h, min(doc_id) AS first FROM s GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN f USING (h) WHERE first < doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) x
+  ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op3_substring_dedup", PASSAGES_SQL)
 def op3_substring_dedup(spark, sf_dir):
     return substrings.report(documents(spark, sf_dir))
