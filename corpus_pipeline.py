@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybench.llm import language, minhash, packing, pii, substrings
-from tallybench.session import scratch_folder
+from tallybench.llm import groups, language, minhash, packing, pii, substrings
+from tallybench.session import cut_lineage, scratch_folder
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -21,15 +21,29 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no clear language, go. Learns from three quarters."""
+    """Documents without a letter, or of no clear language, go. Learns from three quarters.
+
+    If no language is given at all, only those without a letter go.
+    """
     taught = F.coalesce(language.remainder("doc_id", 4) != 2, F.lit(True))
-    return language.identified(docs, language.train(docs.where(taught)))
+    model = language.train(docs.where(taught))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return language.identified(docs, model)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five words, similarity 0.8)."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates stays (five words, similarity 0.8).
+
+    Only documents that may go, or are there more than once, are joined with the verdicts.
+    """
+    judged = minhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept"))
+    doubted = cut_lineage(judged.where("_rows > 1 or not _kept").select("_id", "_kept"))
+    marked = groups.among(docs.withColumn("_id", F.col("doc_id")), doubted, ["_id"])
+    unsure = marked.where("_maybe").withColumnRenamed("_id", "_own")
+    unsure = unsure.join(doubted, F.col("_own").eqNullSafe(F.col("_id")), "left").where("coalesce(_kept, true)")
+    unsure = unsure.dropDuplicates(["_own", "text"])
+    return marked.where("not _maybe").select(*docs.columns).unionByName(unsure.select(*docs.columns))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

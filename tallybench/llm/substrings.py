@@ -275,9 +275,10 @@ def covered_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = cut_lineage(anchors.select("h", "_size"))
     total = anchors.agg(F.sum("_size")).first()[0] or 1
     shared = cut_lineage(join_groups(found, anchors, ["h"], total))
-    kinds = shared.groupBy("s", "h").agg(F.min("_id").alias("first"), F.count("*").alias("_size"))
-    several = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    placed = cut_lineage(join_groups(shared, kinds.join(several, "h"), ["s", "h"], total))
+    kinds = shared.groupBy("s", "h").agg(F.min("_id").alias("first"), F.count("*").alias("_copies"))
+    several = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count("*").alias("_size"))
+    kinds = join_groups(kinds, several, ["h"], total).withColumnRenamed("_copies", "_size")
+    placed = cut_lineage(join_groups(shared, kinds, ["s", "h"], total))
     span = ["_id", "_print", "start", "n"]
     direct = placed.where(F.col("_id") > F.col("first")).select(*span)
     wanted = placed.where((F.col("_id") == F.col("first")) & (F.col("kinds") > 1)).select("_id", "_print", "h", "start", "n")
