@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.groups import join_groups
 from ..session import cut_lineage
 
+#: Links in a partition while components are found.
+PARTITION_LINKS = 200_000
 #: Bits of the filter of ``among``: one broadcast megabyte, whatever the data.
 FILTER_BITS = 1 << 23
 
@@ -37,18 +39,28 @@ def looked_up(rows: DataFrame, key: str, table: DataFrame, total: int) -> DataFr
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root: the least node reachable.
 
-    Labels spread along links and are then replaced by the label of their label, so rounds
-    grow with the logarithm of the longest path. Each round is checkpointed.
+    Labels spread along links; every third round they are also replaced by the label of
+    their label, so rounds grow with the logarithm of the longest path. Labels of nodes
+    with many links are broadcast (see ``join_groups``). Each round is checkpointed.
     """
-    both = cut_lineage(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
+    both = cut_lineage(both)
     total = max(both.count(), 1)
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least"))
-                         .select("node", F.least("node", "_least").alias("root")))
+    # A graph of one partition needs no shuffle at all, and every round is many small steps.
+    parts = -(-total // PARTITION_LINKS)
+    both = both.coalesce(parts)
+    cut = lambda df: cut_lineage(df).coalesce(parts)
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least"), F.count("*").alias("_size"))
+                         .select("node", F.least("node", "_least").alias("root"), "_size"))
+    step = 0
     while True:
-        near = looked_up(both, "b", labels.select(F.col("node").alias("b"), F.col("root").alias("_root")), total)
+        step += 1
+        near = join_groups(both, labels.select(F.col("node").alias("b"), F.col("root").alias("_root"), "_size"), ["b"], total)
         near = near.groupBy(F.col("a").alias("node")).agg(F.min("_root").alias("_near"))
-        spread = cut_lineage(labels.join(near, "node").select("node", F.least("root", "_near").alias("root"), (F.col("_near") < F.col("root")).alias("_moved")))
-        if spread.where("_moved").isEmpty():
-            return labels
-        up = spread.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        labels = cut_lineage(looked_up(spread.select("node", "root"), "root", up, total).select("node", F.least("root", "_up").alias("root")))
+        moved = F.col("_near") < F.col("root")
+        labels = cut(labels.drop("_moved").join(near, "node").select("node", F.least("root", "_near").alias("root"), "_size", moved.alias("_moved")))
+        if labels.where("_moved").isEmpty():
+            return labels.select("node", "root")
+        if step % 3 == 0:
+            up = labels.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+            labels = cut(looked_up(labels, "root", up, total).select("node", F.least("root", "_up").alias("root"), "_size"))

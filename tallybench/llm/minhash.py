@@ -31,16 +31,16 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from ..shipping import shipped
-from .groups import components, join_groups, looked_up
+from .groups import among, components, join_groups, looked_up
 from .words import LOWER, Block, blocks, mix
 
 BINS = 512
 ROWS = 8
 SHINGLE = 5
 PERCENT = 80
-BLOCK = 256          # nodes of a block
-HUB_ROWS = 2000      # nodes checked against one hub in a task
-CHUNK = 4096         # shingles in a step of a matrix product
+BLOCK_ITEMS = 1 << 17  # shingles of a block of nodes, about
+HUB_ROWS = 500         # nodes checked against one hub in a task
+CHUNK = 4096           # shingles in a step of a matrix product
 
 
 def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +128,9 @@ def sketched(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str) -> DataFrame:
     """(node, items): the sorted set of each wanted node (node, _id, k1, k2)."""
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(wanted, "_id").select("_text", "node", "k1", "k2")
+    wanted = wanted.withColumn("_wanted", F.col("_id"))
+    rows = among(docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), wanted, ["_id"]).where("_maybe")
+    rows = rows.join(wanted.drop("_id"), F.col("_id").eqNullSafe(F.col("_wanted"))).select("_text", "node", "k1", "k2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,9 +190,9 @@ def check_blocks(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     step = float(np.log(100 / percent)) + 1e-12
     total = max(nodes.count(), 1)
     nodes = nodes.withColumn("class", F.floor(F.log("n") / step).cast("int"))
-    sizes = nodes.groupBy("family", "class", "root").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("lead", F.when(F.col("_n") >= BLOCK, F.col("root")).otherwise(-1))
-    parts = sizes.groupBy("family", "class", "lead").agg(F.ceil(F.sum("_n") / BLOCK).cast("int").alias("parts"))
+    sizes = nodes.groupBy("family", "class", "root").agg(F.sum("n").alias("_n"))
+    sizes = sizes.withColumn("lead", F.when(F.col("_n") >= BLOCK_ITEMS, F.col("root")).otherwise(-1))
+    parts = sizes.groupBy("family", "class", "lead").agg(F.ceil(F.sum("_n") / BLOCK_ITEMS).cast("int").alias("parts"))
     place = sizes.join(parts, ["family", "class", "lead"]).select("family", "class", "root", "lead", "parts")
     family = nodes.groupBy("family").agg(F.count("*").alias("_size"))
     nodes = join_groups(nodes, place.join(family, "family"), ["family", "class", "root"], total)
@@ -244,8 +246,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("_id", "_row")).alias("head"), F.count("*").alias("_size"))
     classes = cut_lineage(classes.select("k1", "k2", "n", "_size", F.col("head._id").alias("_id"), F.col("head._row").alias("node")))
     nodes = rows.select(F.col("_row").alias("node"), "keys").join(classes.select("node", "n"), "node")
-    bands = cut_lineage(nodes.select("node", "n", F.explode("keys").alias("key")))
-    total = max(bands.count(), 1)
+    bands = nodes.select("node", "n", F.explode("keys").alias("key"))
+    total = max(classes.count(), 1) * (BINS // ROWS)
 
     # one node of each bucket against the others
     buckets = bands.groupBy("key").agg(F.count("*").alias("_size"), F.min(F.struct("node", "n")).alias("hub")).where("_size > 1")
@@ -266,8 +268,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     unsure = open_.select("node", "n", "root").distinct().join(families, "node")
     more = check_blocks(cut_lineage(unsure), sets, percent)
 
-    all_links = links.unionByName(more)
-    joined = components(all_links)
+    # only the components that the new links name are joined once more
+    first = first.withColumnRenamed("root", "_first")
+    ends = cut_lineage(more.select("a", F.col("b")))
+    for end in ("a", "b"):
+        ends = ends.join(first, ends[end] == first["node"], "left").withColumn(end, F.coalesce("_first", end)).select("a", "b")
+    merged = components(ends)
+    placed = first.join(merged.select(F.col("node").alias("_first"), "root"), "_first", "left").select("node", F.coalesce("root", "_first").alias("root"))
+    joined = cut_lineage(placed.unionByName(merged.join(first.select("node"), "node", "left_anti")))
     least = (joined.join(classes.select("node", "_id"), "node").groupBy("root").agg(F.min(F.struct("_id"))["_id"].alias("component_id"), F.count("*").alias("_size")))
     named = join_groups(joined, least, ["root"], total).select("node", "component_id")
     found = classes.join(named.withColumn("_named", F.lit(True)), "node", "left").select("k1", "k2", "n", "_size", F.when(F.col("_named"), F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
