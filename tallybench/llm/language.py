@@ -1,7 +1,7 @@
 """Language identification: known words first, shorter and shorter n-grams for the rest.
 
-``train`` counts the words of a bounded sample of labelled texts (the ``per_language`` rows
-with the smallest hash of each language) and keeps the log frequency of each word, and of
+``train`` counts the words of a bounded sample of labelled texts (about ``per_language`` rows
+of each language, those with a small hash of their key) and keeps the log frequency of each word, and of
 each character n-gram of 1 to ``longest`` letters inside ``<word>``, by language. ``predict``
 scores every word of every whole text: a known word by its frequency in each language, an
 unseen word by its longest n-grams that are known, falling back to shorter ones. The text
@@ -74,10 +74,13 @@ def _log_frequency(rows: list, languages: list[str]) -> dict:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
           per_language: int = PER_LANGUAGE, known_words: int = KNOWN_WORDS) -> Model:
     """Learn from the rows of ``docs``: all with a language and a text may teach."""
-    first = W.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")
-    sample = (docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-              .where(F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-              .withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language))
+    taught = (docs.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+              .where(F.col("_lang").isNotNull() & F.col("_text").isNotNull()))
+    share = [(r[0], min(1.0, per_language / r[1])) for r in taught.groupBy("_lang").count().collect()]  # a row a language
+    if not share:
+        return Model([], {}, {})
+    rate = F.create_map(*(F.lit(x) for pair in share for x in pair))[F.col("_lang")]
+    sample = taught.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < rate * (1 << 30))
     words = (sample.select("_lang", F.explode(F.split(letters(F.col("_text")), " ")).alias("_word"))
              .where("_word <> ''").groupBy("_lang", "_word").agg(F.count("*").alias("_n"))
              .where(F.length("_word") <= 40).persist())
