@@ -17,7 +17,7 @@ def ranked(df: DataFrame, group: str, row: str, name: str, rows: int) -> DataFra
     inside their bucket, and moved by the sizes of the buckets before it.
     """
     buckets = max(16, -(-rows // ROWS_PER_BUCKET))
-    bucket: Column = F.pmod(F.xxhash64(row), F.lit(buckets))
+    bucket: Column = F.pmod(F.xxhash64(F.lit(name), F.lit(group), row), F.lit(buckets))  # independent of earlier ranks
     keyed = df.withColumn("_bucket", bucket)
     sizes = keyed.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
