@@ -28,6 +28,59 @@ def test_shards(docs, texts, nothing):
     assert len({r.shard for r in few}) == 3
 
 
+def shards_of_texts(spark, texts, n):
+    rows = shards.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), shards=n).collect()
+    count, held = Counter(r.shard for r in rows), defaultdict(set)
+    assert len(rows) == len(texts) and max(count.values()) - min(count.values()) <= 1
+    for r in rows:
+        held[texts[r.doc_id]].add(r.shard)
+    return held
+
+
+def test_shards_of_a_table_in_which_every_text_has_copies(spark):
+    held = shards_of_texts(spark, [f"text {i % 240}" for i in range(480)], 24)
+    assert len(held) == 240 and all(len(s) == 1 for s in held.values())
+    mixed = [f"three {i % 24}" for i in range(72)] + [f"two {i % 96}" for i in range(192)]  # 11 a shard: 3 + 4 x 2
+    assert all(len(s) == 1 for s in shards_of_texts(spark, mixed, 24).values())
+    odd = shards_of_texts(spark, [f"text {i % 132}" for i in range(264)], 24)  # 11 a shard: a row of each is left
+    assert sum(len(s) > 1 for s in odd.values()) == 12
+
+
+def test_small_groups_stay_whole_beside_large_ones(spark):
+    texts = ["large"] * 150 + ["middle"] * 70 + [f"pair {i % 60}" for i in range(120)] + [f"alone {i}" for i in range(60)]
+    held = shards_of_texts(spark, texts, 4)
+    assert len(held.pop("large")) == 2 and all(len(s) == 1 for s in held.values())
+
+
+def test_placement_and_propagation():
+    draw = np.random.default_rng(6)
+    for n in range(60):
+        sizes = {int(s): int(c) for s, c in zip(draw.integers(2, 60, 8), draw.integers(1, 40, 8))}
+        total = sum(s * c for s, c in sizes.items()) + int(draw.integers(0, 50)) * (n % 2)
+        quotas = [total // 7 + (s < total % 7) for s in range(7)]
+        for tight in (True, False):
+            whole, cut, room = shards.placement(sizes, quotas, tight)
+            before = sum(r * r for _, _, parts in cut for r in parts.values())
+            shards.propagate([parts for _, _, parts in cut], room)
+            assert sum(r * r for _, _, parts in cut for r in parts.values()) >= before and len(cut) < 7
+            load, numbers = Counter(), defaultdict(list)
+            for size, first, end, shard in whole:
+                load[shard] += size * (end - first)
+                numbers[size] += range(first, end)
+            for size, number, parts in cut:
+                assert sum(parts.values()) == size and min(parts.values()) > 0
+                load.update(parts)
+                numbers[size].append(number)
+            assert [load[s] + room[s] for s in range(7)] == quotas and min(room) >= 0
+            assert {s: sorted(v) for s, v in numbers.items()} == {s: list(range(c)) for s, c in sizes.items()}
+    parts, room = [{0: 1, 1: 1}], [0, 1]  # a member leaves a full shard for one with room
+    shards.propagate(parts, room)
+    assert parts == [{1: 2}] and room == [1, 0]
+    parts, room = [{0: 3, 1: 2}, {0: 2, 1: 3}], [0, 0]  # rows cross both ways
+    shards.propagate(parts, room)
+    assert sorted(map(sorted, (p.items() for p in parts))) == [[(0, 5)], [(1, 5)]]
+
+
 def test_ranks_of_a_crowded_group(spark):
     df = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then 7 else id % 50 end as g")
     rows = ranks.ranked(df, "g", "id", "r", 5000 * 50_000).collect()
