@@ -4,10 +4,11 @@
    than a sequence are cut into full pieces; only the first piece may be shorter.
 2. ``complete_bins``: the number of pieces of each length (at most one count per length,
    however many pieces there are) is packed by branch and bound. Around the largest piece
-   left, the undominated fillings of the rest of its sequence are enumerated, least waste
-   first; one filling is used for as many sequences as its lengths allow. A branch ends
-   when its waste already rules out beating the incumbent, which starts as best-fit
-   decreasing. The search visits at most ``nodes`` nodes; the incumbent is always whole.
+   left, the undominated fillings of the rest of its sequence are made one by one, least
+   waste first; one filling is first used for as many sequences as its lengths allow, later
+   for fewer. A branch ends when its waste already rules out beating the incumbent, which
+   starts as best-fit decreasing. Nothing else ends the search but ``nodes``, the number of
+   fillings it looks at, dominated ones included; the incumbent is always whole.
 3. ``packed``: pieces of one length are interchangeable, so the n-th piece of a length
    takes the n-th place that the plan has for it. The plan is broadcast: its size is
    bounded by the lengths there are, not by the data.
@@ -160,40 +161,58 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return shipped(docs.select(key, text)).mapInArrow(cut, f"{key} {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Up to ``most`` fillings of ``room`` as (waste, lengths), least waste first.
+def dominated(filling: tuple[int, ...], waste: int, spare: int) -> bool:
+    """Whether pieces of ``filling`` could be grouped into the pieces of another filling.
 
-    Lengths are tried from the largest down, so a filling found later with no less waste
-    and smaller lengths is dominated by the one found first and is left out.
+    That is so if a spare size (a bit of ``spare``) can replace some of the pieces, or none,
+    that are no longer than it together, and still fits; equal single pieces do not count.
+    """
+    single, several = 0, 0  # bits: lengths of one piece, of two and more pieces together
+    for size in filling:
+        several |= several << size | single << size
+        single |= 1 << size
+    if several & spare:
+        return True
+    shorter, reach = (1 | single | several) << 1, 1
+    while reach < waste:
+        more = min(reach, waste - reach)
+        shorter, reach = shorter | shorter << more, reach + more
+    return bool(waste and shorter & spare)
+
+
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, tuple[int, ...]] | None]:
+    """All undominated fillings of ``room`` as (waste, lengths), least waste first.
+
+    None stands for a filling that was looked at and is dominated. Longer pieces come
+    first, so the first filling of all is never dominated. Nothing is made ahead.
     """
     sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1]]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    best = [room + 1]
-    steps = [400]
-
-    def descend(left: int, at: int, chosen: tuple[int, ...]) -> None:
-        smallest = sizes[-1] if sizes else room + 1
-        if left < smallest or at >= len(sizes):
-            if left < best[0]:
-                best[0] = left
-                found.append((left, chosen))
-            return
-        fits = False
-        for i in range(at, len(sizes)):
-            size = sizes[i]
-            if size > left or counts[size] <= chosen.count(size):
+    most = [min(int(counts[s]), room // s) for s in sizes]
+    reach, full = [1], (1 << room + 1) - 1  # reach[i], reversed here: bits of what sizes[i:] can fill
+    for size, uses in zip(sizes[::-1], most[::-1]):
+        bits, take = reach[-1], 1
+        while uses:
+            take = min(take, uses)
+            bits |= bits << take * size & full
+            uses, take = uses - take, take * 2
+        reach.append(bits)
+    reach.reverse()
+    left_over = sum(1 << s for s in sizes)
+    for waste in range(room + 1):
+        stack = [(0, room - waste, ())] if reach[0] >> room - waste & 1 else []
+        while stack:
+            at, left, chosen = stack.pop()
+            if left:
+                size = sizes[at]
+                for uses in range(min(most[at], left // size) + 1):
+                    if reach[at + 1] >> left - uses * size & 1:
+                        stack.append((at + 1, left - uses * size, chosen + (size,) * uses))
                 continue
-            fits = True
-            steps[0] -= 1
-            descend(left - size, i, chosen + (size,))
-            if best[0] == 0 and len(found) >= most or steps[0] < 0:
-                return
-        if not fits and left < best[0]:
-            best[0] = left
-            found.append((left, chosen))
-
-    descend(room, 0, ())
-    return sorted(found)[:most] or [(room, ())]
+            spare = left_over
+            for size in set(chosen):
+                if chosen.count(size) == counts[size]:
+                    spare ^= 1 << size
+            yield None if dominated(chosen, waste, spare) else (waste, chosen)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -239,38 +258,53 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NOD
     best = best_fit(counts, capacity)
     most = sum(t for t, _ in best)
 
-    def step(counts: np.ndarray, filling: tuple[int, ...]) -> tuple[int, np.ndarray]:
-        sizes, uses = np.unique(filling, return_counts=True)
-        times = int((counts[sizes] // uses).min())
-        rest = counts.copy()
-        rest[sizes] -= times * uses
-        return times, rest
+    def uses(counts: np.ndarray, filling: tuple[int, ...]) -> int:
+        sizes, each = np.unique(filling, return_counts=True)
+        return int((counts[sizes] // each).min())
 
-    # depth first: (counts left, runs so far, sequences so far, untried fillings)
-    def children(counts):
+    def children(counts: np.ndarray, spare: int) -> Iterator[tuple[int, tuple[int, ...]] | None]:
+        """(times, lengths) around the largest piece: as often as can be, then less often."""
         largest = int(np.flatnonzero(counts)[-1])
         rest = counts.copy()
         rest[largest] -= 1
-        return [(largest, *f) for _, f in fillings(rest, capacity - largest, 3)][::-1]
-
-    stack = [[counts, [], 0, 0, children(counts)]]
+        for fewer in (False, True):
+            for found in fillings(rest, capacity - largest):
+                if found is None:
+                    yield None
+                    continue
+                waste, lengths = found
+                if waste > spare:  # even once is too much, as is all that follows
+                    break
+                filling = (largest, *lengths)
+                often = uses(counts, filling)
+                if fewer:
+                    yield None  # looked at once more
+                yield from ((times, filling) for times in (range(often - 1, 0, -1) if fewer else (often,)))
+
+    # depth first: (counts left, runs so far, sequences so far, waste so far, untried fillings)
+    allowed = lambda waste: (most - 1) * capacity - total - waste  # more waste can't be better
+    stack = [(counts, [], 0, 0, children(counts, allowed(0)))] if most > least else []
     while stack and nodes > 0 and most > least:
         counts_, runs, used, waste, untried = stack[-1]
-        if not untried:
+        child = next(untried, untried)
+        if child is untried:
             stack.pop()
             continue
         nodes -= 1
-        filling = untried.pop()
-        times, rest = step(counts_, filling)
-        used_, waste_ = used + times, waste + times * (capacity - sum(filling))
-        if waste_ > (most - 1) * capacity - total:  # even without further waste it can't be better
+        if child is None:
+            continue
+        times, filling = child
+        waste_ = waste + times * (capacity - sum(filling))
+        if allowed(waste_) < 0:
             continue
-        runs_ = [*runs, (times, filling)]
+        rest, used_, runs_ = counts_.copy(), used + times, [*runs, child]
+        sizes, each = np.unique(filling, return_counts=True)
+        rest[sizes] -= times * each
         if not rest.any():
             if used_ < most:
                 best, most = runs_, used_
             continue
-        stack.append([rest, runs_, used_, waste_, children(rest)])
+        stack.append((rest, runs_, used_, waste_, children(rest, allowed(waste_))))
     return best
 
 
