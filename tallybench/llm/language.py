@@ -8,7 +8,8 @@ unseen word by its longest n-grams that are known, falling back to shorter ones.
 goes to the language with the largest sum; the score is its share after a softmax over the
 mean per word, taken as ``EVIDENCE`` words at least.
 
-Words are runs of letters in lower case. Null texts and texts without a letter get ``und``
+Words are runs of letters in lower case. A run of more than ``KNOWN_LENGTH`` letters is not
+kept as a word, but its n-grams count like any others: some scripts have no spaces. Null texts and texts without a letter get ``und``
 with score 0, and so does every text if nothing was learnt. Ties go to the first language
 in alphabetical order. Rows with a null language teach nothing. Repeated rows count as
 often as they occur; other columns are not read.
@@ -31,6 +32,7 @@ from .words import SpanCache, blocks
 UNKNOWN = "und"
 PER_LANGUAGE = 3000   # labelled texts that teach, a language
 KNOWN_WORDS = 20_000  # words kept, a language: the most frequent
+KNOWN_LENGTH = 40     # letters of a kept word at most; n-grams come from all words
 LONGEST = 4
 EVIDENCE = 20
 
@@ -67,8 +69,11 @@ def _log_frequency(rows: list, languages: list[str]) -> dict:
         counts.setdefault(entry, np.zeros(len(languages)))[place[lang]] = n
     if not counts:
         return {}
-    table = np.stack(list(counts.values())) + 0.5
-    return dict(zip(counts, np.log(table / table.sum(axis=0)).astype(np.float32)))
+    found = np.stack(list(counts.values()))
+    table, none = found + 0.5, found.sum(axis=0) == 0
+    whole = table.sum(axis=0)
+    whole[none] = whole.max()  # no entry of a language: no evidence for it
+    return dict(zip(counts, np.log(table / whole).astype(np.float32)))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -82,16 +87,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rate = F.create_map(*(F.lit(x) for pair in share for x in pair))[F.col("_lang")]
     sample = taught.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < rate * (1 << 30))
     words = (sample.select("_lang", F.explode(F.split(letters(F.col("_text")), " ")).alias("_word"))
-             .where("_word <> ''").groupBy("_lang", "_word").agg(F.count("*").alias("_n"))
-             .where(F.length("_word") <= 40).persist())
+             .where("_word <> ''").groupBy("_lang", "_word").agg(F.count("*").alias("_n")).persist())
     try:
         most = W.partitionBy("_lang").orderBy(F.desc("_n"), "_word")
-        kept = words.withColumn("_r", F.row_number().over(most)).where((F.col("_r") <= known_words) & (F.col("_n") > 1))
+        kept = words.where(F.length("_word") <= KNOWN_LENGTH).withColumn("_r", F.row_number().over(most)).where((F.col("_r") <= known_words) & (F.col("_n") > 1))
         marked = F.concat(F.lit("<"), F.col("_word"), F.lit(">"))
         grams = []
         for size in range(1, LONGEST + 1):
-            each = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_word") + 3 - size, F.lit(1))), lambda i: marked.substr(i, F.lit(size)))  # noqa: B023
-            grams.append(words.select("_lang", "_n", F.explode(each).alias("_gram")).where((F.length("_gram") == size) & ~F.col("_gram").isin("<", ">"))
+            each = F.regexp_extract_all(marked, F.lit(f"(?=(.{{{size}}}))."), F.lit(1))  # in time linear in the word
+            grams.append(words.select("_lang", "_n", F.explode(each).alias("_gram")).where(~F.col("_gram").isin("<", ">"))
                          .groupBy("_gram", "_lang").agg(F.sum("_n").alias("_n")).where(F.col("_n") > 1).select("_gram", "_lang", "_n"))
         found = kept.select("_word", "_lang", "_n").collect()   # bounded: known_words a language
         languages = sorted({r[1] for r in words.select("_word", "_lang").groupBy("_lang").agg(F.min("_word")).select(F.lit(""), "_lang").collect()})

@@ -27,6 +27,20 @@ def test_language_backs_off_to_shorter_grams(spark):
     assert not model.word("ж".encode()).any()  # nothing known: no evidence
 
 
+def test_language_of_unbroken_texts(spark):
+    draw = np.random.default_rng(8)
+    signs, letters = [chr(0x4E00 + i) for i in range(60)] + ["\U00020000"], list("abcdefgh")
+    unbroken = lambda: "".join(draw.choice(signs, 90))
+    spaced = lambda: " ".join("".join(draw.choice(letters, draw.integers(2, 6))) for _ in range(40))
+    rows = [(i, unbroken() if i % 2 else spaced(), "zh" if i % 2 else "xx") for i in range(200)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["xx", "zh"] and max(map(len, model.words)) <= 40
+    assert "\U00020000" in model.grams and not any("\ud800" <= c <= "\udfff" for g in model.grams for c in g)
+    held = [(i, unbroken() if i % 2 else spaced()) for i in range(60)]
+    for r in language.predict(spark.createDataFrame(held, "doc_id long, text string"), model).collect():
+        assert r.lang_pred == ("zh" if r.doc_id % 2 else "xx")
+
+
 def test_language_odd_texts(docs, texts, nothing):
     model = language.train(docs)
     rows = language.predict(docs, model).collect()
