@@ -147,6 +147,25 @@ def test_neighbours(spark):
     assert [i for i, _ in copy] == [i for i, _ in want[20]]
 
 
+def test_recall_of_a_full_shard():
+    draw, n = np.random.default_rng(5), hnsw.SHARD_ROWS
+    centres = draw.normal(size=(200, 64))
+    vectors = (centres[draw.integers(0, 200, n)] + 0.4 * draw.normal(size=(n, 64))).astype(np.float32).astype(float)
+    order, layers = hnsw.build(vectors, np.arange(n))
+    asked = np.arange(0, n, 20)
+    unit = vectors[asked] / np.linalg.norm(vectors[asked], axis=1)[:, None]
+    queries = np.concatenate([unit, np.zeros((len(asked), 1))], axis=1).astype(np.float32)
+    near = hnsw.search(hnsw.lifted(vectors[order]), layers, queries, hnsw.SEARCH_WIDTH)[0]
+    hits = 0
+    for query, found in zip(asked, near):
+        score = vectors @ vectors[query]
+        score[query] = -np.inf
+        best = sorted({int(order[j]) for j in found if j >= 0} - {int(query)}, key=lambda j: -score[j])[:20]
+        hits += len({*best} & {*np.argsort(-score)[:20].tolist()})
+    print(f"recall {hits / (20 * len(asked)):.4f} of {len(asked)} queries")
+    assert hits >= 0.9 * 20 * len(asked)
+
+
 def test_few_vectors(spark):
     table = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)] + [(20, [2.0, 1.0])], "vec_id long, embedding array<double>")
     rows = hnsw.nearest(table, table.where("vec_id % 20 = 0")).collect()
