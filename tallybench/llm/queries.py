@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language, minhash, packing, pieces, pii, quality_crf, rules, shards, substrings
+from . import hnsw, language, merkle, minhash, packing, pieces, pii, quality_crf, rules, shards, substrings
 
 QUERIES, ORACLES = {}, {}
 
@@ -159,3 +159,61 @@ FROM w LEFT JOIN kept USING (doc_id)
 @query("op3_substring_dedup", PASSAGES_SQL)
 def op3_substring_dedup(spark, sf_dir):
     return substrings.report(documents(spark, sf_dir))
+
+
+MERKLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS slot, text,
+         concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id, coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'),
+                coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+         xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+             lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+             lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) AS crc
+  FROM documents),
+l AS (
+  SELECT doc_id, source, slot, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(after) || ':' || after, '-')) AS changed
+  FROM (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS after FROM d)),
+t AS (
+  SELECT source, 0 AS lvl, slot, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM l
+  UNION ALL
+  SELECT source, lvl + 1, slot // 3, sha256(string_agg(h, '' ORDER BY slot)), any_value((n + 2) // 3)
+  FROM t WHERE n > 1 GROUP BY source, lvl, slot // 3),
+s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS slot, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, slot, h, n FROM s
+  UNION ALL
+  SELECT lvl + 1, slot // 3, sha256(string_agg(h, '' ORDER BY slot)), any_value((n + 2) // 3)
+  FROM u WHERE n > 1 GROUP BY lvl, slot // 3),
+p AS (
+  SELECT doc_id, string_agg(h, '' ORDER BY lvl, slot) AS proof FROM (
+    SELECT l.doc_id, t.lvl, t.slot, t.h FROM l JOIN t ON t.source IS NOT DISTINCT FROM l.source AND t.n > 1
+      AND t.slot // 3 = l.slot // CAST(3 ** (t.lvl + 1) AS BIGINT) AND t.slot <> l.slot // CAST(3 ** t.lvl AS BIGINT)
+    UNION ALL
+    SELECT l.doc_id, u.lvl + 100, u.slot, u.h FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN u ON u.n > 1
+      AND u.slot // 3 = s.slot // CAST(3 ** (u.lvl + 1) AS BIGINT) AND u.slot <> s.slot // CAST(3 ** u.lvl AS BIGINT))
+  GROUP BY doc_id),
+f AS (
+  SELECT doc_id, source, 0 AS lvl, slot, changed AS h FROM l
+  UNION ALL
+  SELECT f.doc_id, any_value(f.source), f.lvl + 1, f.slot // 3,
+         sha256(string_agg(CASE WHEN t.slot = f.slot THEN f.h ELSE t.h END, '' ORDER BY t.slot))
+  FROM f JOIN t ON t.source IS NOT DISTINCT FROM f.source AND t.lvl = f.lvl AND t.slot // 3 = f.slot // 3 AND t.n > 1
+  GROUP BY f.doc_id, f.lvl, f.slot),
+v AS (
+  SELECT doc_id, 0 AS lvl, s.slot, f.h FROM (SELECT doc_id, source, arg_max(h, lvl) AS h FROM f GROUP BY doc_id, source) f
+  JOIN s ON s.source IS NOT DISTINCT FROM f.source
+  UNION ALL
+  SELECT v.doc_id, v.lvl + 1, v.slot // 3, sha256(string_agg(CASE WHEN u.slot = v.slot THEN v.h ELSE u.h END, '' ORDER BY u.slot))
+  FROM v JOIN u ON u.lvl = v.lvl AND u.slot // 3 = v.slot // 3 AND u.n > 1 GROUP BY v.doc_id, v.lvl, v.slot),
+folded AS (SELECT doc_id, arg_max(h, lvl) AS folded_root FROM v GROUP BY doc_id)
+SELECT l.doc_id, leaf, s.h AS subroot, r.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = r.h AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN folded USING (doc_id) LEFT JOIN p USING (doc_id)
+JOIN (SELECT h FROM u WHERE n = 1) r ON true
+"""
+
+
+@query("op12_merkle_manifest", MERKLE_SQL)
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(documents(spark, sf_dir), tampered=merkle.without_line_breaks())
