@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language, merkle, minhash, packing, pieces, pii, quality_crf, rules, shards, substrings
+from . import hnsw, language, merkle, minhash, packing, pieces, pii, quality_crf, rules, shards, substrings, whitening
 
 QUERIES, ORACLES = {}, {}
 
@@ -217,3 +217,8 @@ JOIN (SELECT h FROM u WHERE n = 1) r ON true
 @query("op12_merkle_manifest", MERKLE_SQL)
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.manifest(documents(spark, sf_dir), tampered=merkle.without_line_breaks())
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
