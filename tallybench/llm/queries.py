@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, language, merkle, minhash, packing, pieces, pii, quality_crf, rules, shards, substrings, whitening
+from . import hnsw, idfiles, language, merkle, minhash, packing, pieces, pii, quality_crf, rules, shards, substrings, whitening
 
 QUERIES, ORACLES = {}, {}
 
@@ -222,3 +222,8 @@ def op12_merkle_manifest(spark, sf_dir):
 @query("op13_embedding_whitening")
 def op13_embedding_whitening(spark, sf_dir):
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op11_token_files")
+def op11_token_files(spark, sf_dir):
+    return idfiles.stored(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
