@@ -34,6 +34,7 @@ from ..session import cut_lineage, scratch_folder
 from ..shipping import shipped
 from . import idcoder
 from .wordids import WordIds
+from .workers import kept, start
 
 END_ID = 1
 FILE_BYTES = 64 << 20   # of text in a file, about
@@ -149,9 +150,6 @@ def documents_of(file) -> Iterator[tuple[int | None, int, int, int]]:
     _found(row == len(ends), "documents")
 
 
-_sources: dict[str, WordIds] = {}
-
-
 def write(docs: DataFrame, path: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the ids of ``docs`` by the tokenizer file ``path``; a row per file: part, file, n_docs, n_ids."""
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -166,7 +164,7 @@ def write(docs: DataFrame, path: str, folder: str, key: str = "doc_id", text: st
         writer = None
         name, draft = f"{place}/ids-{part:08d}", f"{place}/_ids-{part:08d}-{attempt}"
         for batch in batches:
-            source = _sources.get(path) or _sources.setdefault(path, WordIds(path))
+            source = kept("idfiles", path, lambda: WordIds(path))
             if writer is None:
                 system.create_dir(place, recursive=True)
                 writer = Writer(system.open_output_stream(draft), source.vocabulary)
@@ -177,7 +175,6 @@ def write(docs: DataFrame, path: str, folder: str, key: str = "doc_id", text: st
             writer.stream.close()
             system.move(draft, name)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"ids-{part:08d}"], "n_docs": pa.array([len(writer.keys)], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
-        _sources.clear()
 
     dealt = shipped(rows).repartitionByRange(parts, "_key").sortWithinPartitions("_key", "_text")
     return cut_lineage(dealt.mapInArrow(run, "part int, file string, n_docs long, n_ids long"))
@@ -194,14 +191,15 @@ def read(files: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
     placed = cut_lineage(placed.select("part", "file", (F.col("_base") + F.col("_inside")).alias("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start("idfiles reader")
         system, place = opened(folder)
         names = [key, "start", "n_tokens", "ids_crc32"]
         for batch in batches:
             for file, first in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 with system.open_input_file(f"{place}/{file}") as opened_file:
                     rows: list[tuple] = []
-                    for number, start, n, check in documents_of(opened_file):
-                        rows.append((number, first + start, n, check))
+                    for number, before_it, n, check in documents_of(opened_file):
+                        rows.append((number, first + before_it, n, check))
                         if len(rows) == 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
                             rows = []

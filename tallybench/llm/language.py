@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import shipped
 from .words import SpanCache, blocks
+from .workers import start
 
 UNKNOWN = "und"
 PER_LANGUAGE = 3000   # labelled texts that teach, a language
@@ -45,35 +46,38 @@ def letters(text: Column) -> Column:
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[bytes, np.ndarray]   # log frequency by language
-    grams: dict[str, np.ndarray]
+    words: dict[bytes, int]    # row in the table of log frequencies by language
+    grams: dict[str, int]
+    table: np.ndarray
 
     def word(self, raw: bytes) -> np.ndarray:
         """The log frequency of a word in each language."""
         known = self.words.get(raw)
         if known is not None:
-            return known
+            return self.table[known]
         text = f"<{raw.decode()}>"
         for size in range(LONGEST, 0, -1):
             parts = [g for i in range(len(text) - size + 1) if (g := self.grams.get(text[i: i + size])) is not None]
             if parts:
-                return np.sum(parts, axis=0, dtype=np.float32) / np.float32(size)
+                return self.table[parts].sum(axis=0, dtype=np.float32) / np.float32(size)
         return np.zeros(len(self.languages), np.float32)
 
 
-def _log_frequency(rows: list, languages: list[str]) -> dict:
-    """log((count + 1/2) / (all of the language + 1/2 per entry)) from (entry, lang, n) rows."""
+def _log_frequency(rows: list, languages: list[str]) -> tuple[list, np.ndarray]:
+    """Entries and log((count + 1/2) / (all of the language + 1/2 per entry)) from (entry, lang, n) rows."""
     place = {lang: i for i, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
+    at: dict[str, int] = {}
+    for entry, _, _ in rows:
+        at.setdefault(entry, len(at))
+    if not at:
+        return [], np.zeros((0, len(languages)), np.float32)
+    found = np.zeros((len(at), len(languages)))
     for entry, lang, n in rows:
-        counts.setdefault(entry, np.zeros(len(languages)))[place[lang]] = n
-    if not counts:
-        return {}
-    found = np.stack(list(counts.values()))
+        found[at[entry], place[lang]] = n
     table, none = found + 0.5, found.sum(axis=0) == 0
     whole = table.sum(axis=0)
     whole[none] = whole.max()  # no entry of a language: no evidence for it
-    return dict(zip(counts, np.log(table / whole).astype(np.float32)))
+    return list(at), np.log(table / whole).astype(np.float32)
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -83,7 +87,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
               .where(F.col("_lang").isNotNull() & F.col("_text").isNotNull()))
     share = [(r[0], min(1.0, per_language / r[1])) for r in taught.groupBy("_lang").count().collect()]  # a row a language
     if not share:
-        return Model([], {}, {})
+        return Model([], {}, {}, np.zeros((0, 0), np.float32))
     rate = F.create_map(*(F.lit(x) for pair in share for x in pair))[F.col("_lang")]
     sample = taught.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < rate * (1 << 30))
     words = (sample.select("_lang", F.explode(F.split(letters(F.col("_text")), " ")).alias("_word"))
@@ -99,55 +103,84 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                          .groupBy("_gram", "_lang").agg(F.sum("_n").alias("_n")).where(F.col("_n") > 1).select("_gram", "_lang", "_n"))
         found = kept.select("_word", "_lang", "_n").collect()   # bounded: known_words a language
         languages = sorted({r[1] for r in words.select("_word", "_lang").groupBy("_lang").agg(F.min("_word")).select(F.lit(""), "_lang").collect()})
-        pieces: dict[str, np.ndarray] = {}
-        for table in grams:  # bounded by the sample
-            pieces |= _log_frequency(table.collect(), languages)
+        entries, table = _log_frequency(found, languages)
+        known = {w.encode(): i for i, w in enumerate(entries)}
+        pieces: dict[str, int] = {}
+        for rows in grams:  # bounded by the sample
+            entries, more = _log_frequency(rows.collect(), languages)
+            pieces |= {g: len(table) + i for i, g in enumerate(entries)}
+            table = np.concatenate([table, more])
     finally:
         words.unpersist()
-    return Model(languages, {w.encode(): v for w, v in _log_frequency(found, languages).items()}, pieces)
-
-
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", rest: str | None = None) -> DataFrame:
-    """One row per text: key, lang_pred, score; ``rest``: a column to carry instead of the key."""
-    key = rest or key
+    return Model(languages, known, pieces, table)
+
+
+class _Labels:
+    """Labels of texts of words (``letters``) by a model; values of words are kept in the task."""
+
+    def __init__(self, model: Model):
+        start("language")
+        self.model, self.n = model, len(model.languages)
+        self.names = np.array([*model.languages, UNKNOWN], object)
+        self.cache = SpanCache(self._make, self._empty)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.table = np.zeros((0, self.n), np.float32)
+
+    def _make(self, spans: list[bytes]) -> np.ndarray:
+        at = len(self.table)
+        self.table = np.concatenate([self.table, np.array([self.model.word(s) for s in spans], np.float32).reshape(-1, self.n)])
+        return np.arange(at, len(self.table))
+
+    def of(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The language and the score of each text."""
+        n, names, scores = self.n, [], []
+        for block in blocks(texts):
+            slot = self.cache.lookup(block.data, block.begin, block.end) if n else np.zeros(0, np.int64)
+            total, count = np.zeros((block.texts, max(n, 1))), block.n_words
+            filled = np.flatnonzero(count)
+            if n and len(filled):
+                total[filled] = np.add.reduceat(self.table[slot].astype(np.float64), block.word_starts[:-1][filled], axis=0)
+            best = total.argmax(axis=1)
+            mean = (total - total[np.arange(len(best)), best][:, None]) / np.maximum(count, 1)[:, None]
+            share = 1 / np.exp(mean * np.minimum(count, EVIDENCE)[:, None]).sum(axis=1)
+            some = (count > 0) & (n > 0)
+            names += self.names[np.where(some, best, n)].tolist()
+            scores.append(np.where(some, share, 0.0))
+        return pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())
+
+
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per text: key, lang_pred, score."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        n = len(model.languages)
-        table: list[np.ndarray] = [np.zeros((0, n), np.float32)]
-
-        def make(spans: list[bytes]) -> np.ndarray:
-            at = len(table[0])
-            table[0] = np.concatenate([table[0], np.array([model.word(s) for s in spans], np.float32).reshape(-1, n)])
-            return np.arange(at, len(table[0]))
-
-        cache = SpanCache(make, lambda: table.__setitem__(0, np.zeros((0, n), np.float32)))
+        labels = _Labels(shared.value)
         for batch in batches:
-            for block in blocks(batch.column(1)):
-                slot = cache.lookup(block.data, block.begin, block.end) if n else np.zeros(0, np.int64)
-                total, count = np.zeros((block.texts, max(n, 1))), block.n_words
-                filled = np.flatnonzero(count)
-                if n and len(filled):
-                    total[filled] = np.add.reduceat(table[0][slot].astype(np.float64), block.word_starts[:-1][filled], axis=0)
-                best = total.argmax(axis=1)
-                mean = (total - total[np.arange(len(best)), best][:, None]) / np.maximum(count, 1)[:, None]
-                share = 1 / np.exp(mean * np.minimum(count, EVIDENCE)[:, None]).sum(axis=1)
-                some = (count > 0) & (n > 0)
-                names = np.array([*model.languages, UNKNOWN], object)[np.where(some, best, n)]
-                keys = batch.column(0).slice(block.first, block.texts)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(names, pa.string()), pa.array(np.where(some, share, 0.0))], [key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *labels.of(batch.column(1))], [key, "lang_pred", "score"])
 
     rows = shipped(docs.select(key, letters(F.col(text)).alias("_letters")))
     return rows.mapInArrow(label, f"`{key}` {kind}, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows of unknown language or a score below ``least``."""
-    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_rest"), F.col(text).alias("_text"))
-    found = predict(packed, model, text="_text", rest="_rest")
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_rest.*")
+    """``docs`` without the rows of unknown language or a score below ``least``.
+
+    Only the words of a text go to Python; the row stays where it is.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        labels = _Labels(shared.value)
+        for column in columns:
+            yield pa.StructArray.from_arrays(labels.of(column), ["lang_pred", "score"])
+
+    packed = shipped(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_rest"), letters(F.col(text)).alias("_letters")))
+    found = packed.select("_rest", label("_letters").alias("_found"))
+    return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least)).select("_rest.*")
 
 
 def remainder(key: str, parts: int) -> Column:

@@ -34,6 +34,7 @@ from ..session import cut_lineage
 from ..shipping import shipped
 from .ranks import ranked
 from .words import SPACE, SpanCache, blocks
+from .workers import kept
 
 CAPACITY = 1024
 END_ID = 2
@@ -125,14 +126,9 @@ class Ids:
                 yield self.whole(column[row].as_py()) if whole[row] else ids[bounds[i]: bounds[i + 1]]
 
 
-_sources: dict[str, Ids] = {}
-
-
 def ids_of(path: str) -> Ids:
     """The tokenizer of this Python worker; what it has encoded serves its later tasks."""
-    if path not in _sources:
-        _sources[path] = Ids(path)
-    return _sources[path]
+    return kept("packing", path, lambda: Ids(path))
 
 
 def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import shipped
 from .words import SpanCache, blocks
+from .workers import kept
 
 MARK = "▁"
 THREADS = 2    # of the encoder, beside the worker per core that Spark runs
@@ -187,14 +188,9 @@ class Encoder:
                 yield ids[total[a]: total[b]], bad_same[a] == bad_same[b], bad_back[a] == bad_back[b]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
     """The encoder of this Python worker; what it has encoded serves its later tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept("pieces", path, lambda: Encoder(path))
 
 
 def _prefixed(path: str, text: str):

@@ -39,6 +39,7 @@ from ..session import cut_lineage
 from ..shipping import shipped
 from .groups import among, join_groups
 from .words import _BASE, _BASE_INVERSE, blocks, mix, powers, window_hashes
+from .workers import start as begin_task
 
 WINDOW = 50
 GRAM = 8              # words of an anchor
@@ -84,6 +85,7 @@ def anchored(rows: DataFrame, window: int) -> DataFrame:
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("substrings")
         for batch in batches:
             for block in blocks(batch.column(2)):
                 h, s, start, n = stretches(block.hashes(), block.doc, window)
@@ -102,6 +104,7 @@ def with_words(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     joined = among(rows, lists, ["_id", "_print"]).where("_maybe").join(lists, ["_id", "_print"]).select("_id", "_print", "_text", "_parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("substrings")
         for batch in batches:
             for block in blocks(batch.column(2)):
                 part = batch.slice(block.first, block.texts)
@@ -130,6 +133,7 @@ def windows_of(segments: DataFrame, window: int) -> DataFrame:
     kind = segments.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("substrings")
         for batch in batches:
             words, offsets = _words(batch.column(2))
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
@@ -147,6 +151,7 @@ def trimmed(segments: DataFrame, window: int) -> DataFrame:
     names = ["_id", "_print", "h", "start", "n", "words", "p"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("substrings")
         for batch in batches:
             words, first = _words(batch.column(4))
             offs, bounds = _words(batch.column(5))
@@ -337,6 +342,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     marked = _marked(_rows(docs, key, text), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("substrings")
         for batch in batches:
             spans = _filled(batch.column(2))
             for block in blocks(batch.column(1)):
@@ -363,6 +369,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields if f.name != "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task("substrings")
         for batch in batches:
             spans = _filled(batch.column(3))
             texts = []

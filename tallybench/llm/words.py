@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+KEPT_POWERS = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -27,12 +28,14 @@ _tables: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown as needed."""
+    """base**0 .. base**(n-1) modulo 2**64; kept and grown as needed, up to a bound."""
     table = _tables.get(int(base))
     if table is None or len(table) < n:
         table = np.full(max(n, 1 << 16), base, np.uint64)
         table[0] = 1
-        table = _tables[int(base)] = np.cumprod(table)
+        table = np.cumprod(table)
+        if len(table) <= KEPT_POWERS:  # those of a longer text go with it
+            _tables[int(base)] = table
     return table[:n]
 
 
