@@ -32,25 +32,37 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.identified(docs, model)
 
 
+def _packed(docs: DataFrame, *more) -> DataFrame:
+    """Rows as one struct ``row``, so that no column of theirs meets one of the stage's."""
+    return docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), *more)
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five words, similarity 0.8).
 
     Only documents that may go, or are there more than once, are joined with the verdicts.
+    Columns of any name are kept.
     """
-    judged = minhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept"))
+    rows = _packed(docs, F.col("doc_id").alias("_id"))
+    judged = minhash.near_duplicates(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max("kept").alias("_kept"))
     doubted = cut_lineage(judged.where("_rows > 1 or not _kept").select("_id", "_kept"))
-    marked = groups.among(docs.withColumn("_id", F.col("doc_id")), doubted, ["_id"])
+    marked = groups.among(rows, doubted, ["_id"])
     unsure = marked.where("_maybe").withColumnRenamed("_id", "_own")
     unsure = unsure.join(doubted, F.col("_own").eqNullSafe(F.col("_id")), "left").where("coalesce(_kept, true)")
-    unsure = unsure.dropDuplicates(["_own", "text"])
-    return marked.where("not _maybe").select(*docs.columns).unionByName(unsure.select(*docs.columns))
+    unsure = unsure.withColumn("_text", F.col("row.text")).dropDuplicates(["_own", "_text"])
+    return marked.where("not _maybe").select("row").unionByName(unsure.select("row")).select("row.*")
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut; documents of nothing else go."""
-    had = docs.withColumn("_had", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    left = substrings.without_repeats(had).where(~F.col("_had") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).drop("_had")
-    return _counted(left)
+    """Passages that an earlier document holds are cut; documents of nothing else go.
+
+    Columns of any name are kept.
+    """
+    word = r"[^\x20\x09-\x0D]"
+    had = F.coalesce(F.col("text").rlike(word), F.lit(False))
+    left = substrings.without_repeats(_packed(docs, F.col("doc_id"), F.col("text"), had.alias("had")))
+    left = left.where(~F.col("had") | F.col("text").rlike(word))
+    return _counted(left.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns)))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
