@@ -17,6 +17,16 @@ def test_stages_keep_the_columns(spark, docs, nothing):
             assert rows.columns == docs.columns and [t for _, t in rows.dtypes] == [t for _, t in docs.dtypes], name
 
 
+def test_columns_of_the_stages_own_names_are_kept(spark, docs):
+    names = ["_id", "_maybe", "_place", "_bucket", "_bits", "_own", "_kept", "_rows", "_had", "had", "row", "_rest", "_text", "_letters", "_found", "_base", "_secret", "lang_pred"]
+    rows = docs.select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, SF)
+        assert rows.columns == [*docs.columns, *names], name
+        for r in rows.where("doc_id is not null").collect():
+            assert [r[n] for n in names] == [f"{n} {r.doc_id}" for n in names], name
+
+
 def test_run(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found, rows = {}, docs
