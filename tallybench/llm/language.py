@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,21 +64,18 @@ class Model:
         return np.zeros(len(self.languages), np.float32)
 
 
-def _log_frequency(rows: list, languages: list[str]) -> tuple[list, np.ndarray]:
-    """Entries and log((count + 1/2) / (all of the language + 1/2 per entry)) from (entry, lang, n) rows."""
-    place = {lang: i for i, lang in enumerate(languages)}
-    at: dict[str, int] = {}
-    for entry, _, _ in rows:
-        at.setdefault(entry, len(at))
-    if not at:
-        return [], np.zeros((0, len(languages)), np.float32)
-    found = np.zeros((len(at), len(languages)))
-    for entry, lang, n in rows:
-        found[at[entry], place[lang]] = n
+def _log_frequency(rows: pa.Table, languages: list[str]) -> tuple[list, np.ndarray]:
+    """Entries and log((count + 1/2) / (all of the language + 1/2 per entry)) from entry, lang, n."""
+    entry, lang, n = (c.combine_chunks() for c in rows.columns)
+    entry = entry.dictionary_encode()
+    found = np.zeros((len(entry.dictionary), len(languages)))
+    found[entry.indices.to_numpy(), pc.index_in(lang, pa.array(languages, lang.type)).to_numpy()] = n.to_numpy()
+    if not len(found):
+        return [], found.astype(np.float32)
     table, none = found + 0.5, found.sum(axis=0) == 0
     whole = table.sum(axis=0)
     whole[none] = whole.max()  # no entry of a language: no evidence for it
-    return list(at), np.log(table / whole).astype(np.float32)
+    return entry.dictionary.to_pylist(), np.log(table / whole).astype(np.float32)
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -101,13 +99,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             each = F.regexp_extract_all(marked, F.lit(f"(?=(.{{{size}}}))."), F.lit(1))  # in time linear in the word
             grams.append(words.select("_lang", "_n", F.explode(each).alias("_gram")).where(~F.col("_gram").isin("<", ">"))
                          .groupBy("_gram", "_lang").agg(F.sum("_n").alias("_n")).where(F.col("_n") > 1).select("_gram", "_lang", "_n"))
-        found = kept.select("_word", "_lang", "_n").collect()   # bounded: known_words a language
+        found = kept.select("_word", "_lang", "_n").toArrow()   # bounded: known_words a language
         languages = sorted({r[1] for r in words.select("_word", "_lang").groupBy("_lang").agg(F.min("_word")).select(F.lit(""), "_lang").collect()})
         entries, table = _log_frequency(found, languages)
         known = {w.encode(): i for i, w in enumerate(entries)}
         pieces: dict[str, int] = {}
         for rows in grams:  # bounded by the sample
-            entries, more = _log_frequency(rows.collect(), languages)
+            entries, more = _log_frequency(rows.toArrow(), languages)
             pieces |= {g: len(table) + i for i, g in enumerate(entries)}
             table = np.concatenate([table, more])
     finally:
