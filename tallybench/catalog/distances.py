@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
-from ..operators import clustering as C, generative as G, neighbours as N, scaling
+from ..operators import clustering as C, descent, generative as G, neighbours as N, scaling
 from . import fixtures as fx
 from .fixtures import r
 from .registry import ORACLES, query
@@ -37,6 +37,15 @@ def j9(spark, d):
     return fx.rounded(N.knn_graph(_points(spark, d), "row_id", 15))
 
 
+@query("j9_approximate_knn", f"""{KNN} SELECT count(DISTINCT i) AS n_rows, count(*) AS links, {r('avg(d)', 3)} AS mean_distance,
+  {r('max(d)', 2)} AS farthest FROM knn""")
+def j9_approximate(spark, d):
+    """A list that misses a row holds a farther one, so the mean shows misses."""
+    lists = descent.knn_graph_approximate(_points(spark, d), "row_id", 15)
+    return lists.agg(F.countDistinct("i").alias("n_rows"), F.count("*").alias("links"),
+                     (F.round(F.avg("distance"), 3) + 0).alias("mean_distance"), (F.round(F.max("distance"), 2) + 0).alias("farthest"))
+
+
 @query("j10_kth_distance", f"{KNN} SELECT i AS row_id, {r('d')} AS distance FROM knn WHERE rank = 4")
 def j10(spark, d):
     return fx.rounded(N.kth_distance(_points(spark, d), "row_id", 5))

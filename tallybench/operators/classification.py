@@ -7,7 +7,7 @@ arithmetic on at most classes x classes rows per group.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .curves import roc_auc, score_counts
+from .curves import class_score_counts, roc_auc
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -185,10 +185,6 @@ def classification_report(preds, keys, labels=None) -> DataFrame:
     return classes.unionByName(summary.select(*keys, F.inline(rows)))
 
 
-def _all_scores(preds, prob):
-    return preds.select(F.explode(prob).alias("score"))
-
-
 def _class_scores(preds, keys, prob="prob"):
     """Counts by (keys, class, score, y_true): what all one-vs-* AUCs need."""
     exploded = preds.select(
@@ -202,14 +198,9 @@ def _class_scores(preds, keys, prob="prob"):
 
 def ovr_auc_per_class(preds, keys, prob="prob") -> DataFrame:
     """(keys, class, support, roc_auc): each class against the rest."""
-    counts = _class_scores(preds, keys, prob)
-    binary = counts.groupBy(*keys, "class", "score").agg(
-        F.sum(F.when(F.col("y_true") == F.col("class"), F.col("n")).otherwise(0))
-        .alias("pos"),
-        F.sum(F.when(F.col("y_true") != F.col("class"), F.col("n")).otherwise(0))
-        .alias("neg"),
-    )
-    return roc_auc(binary, list(keys) + ["class"], _all_scores(preds, prob)).withColumnRenamed("positives", "support")
+    counts = class_score_counts(preds, keys, prob)
+    return roc_auc(counts, [*keys, "class"]).select(
+        *keys, "class", F.col("positives").alias("support"), "roc_auc", "negatives")
 
 
 def ovr_auc(preds, keys, prob="prob") -> DataFrame:
@@ -238,7 +229,7 @@ def ovo_auc_weighted(preds, keys, n_classes, prob="prob") -> DataFrame:
         .agg(F.sum(F.when(own, F.col("n")).otherwise(0)).alias("pos"),
              F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("neg"))
     )
-    sided = roc_auc(binary, list(keys) + ["class", "other"], _all_scores(preds, prob))
+    sided = roc_auc(binary, list(keys) + ["class", "other"])
     pairs = (
         sided.withColumn("a", F.least("class", "other"))
         .withColumn("b", F.greatest("class", "other"))

@@ -19,59 +19,47 @@ def score_counts(preds: DataFrame, keys, score="score", positive: Column = None)
     )
 
 
-def _descending(counts, keys, source=None):
-    summed = running_sums(counts, keys, "score", ["pos", "neg"], descending=True, source=source)
+def _descending(counts, keys, totals=True):
+    summed = running_sums(counts, keys, "score", ["pos", "neg"], descending=True, totals=totals)
+    ends = [F.col("all_pos").alias("positives"), F.col("all_neg").alias("negatives")] if totals else []
     return summed.select(
-        *keys, "score", "pos", "neg",
-        F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-        F.col("all_pos").alias("positives"), F.col("all_neg").alias("negatives"),
-    )
+        *keys, "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), *ends)
 
 
 def _share(a, b):
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def _pr_terms():
-    """(recall, precision) of a row and of the row before it in the curve."""
-    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
-    seen_before = (tp - pos) + (fp - neg) > 0
-
-    def recall(x):
-        return F.coalesce(_share(x, F.col("positives")), F.lit(1.0))
-
-    return (
-        recall(tp), _share(tp, tp + fp),
-        F.when(seen_before, recall(tp - pos)).otherwise(0.0),
-        F.when(seen_before, _share(tp - pos, tp - pos + fp - neg)).otherwise(1.0),
-    )
-
+def _areas(counts, keys):
+    """ROC AUC, PR AUC and class sizes per group, from one ordered pass.
 
-def _areas(counts, keys, source=None):
-    recall, precision, recall0, precision0 = _pr_terms()
-    tp, pos, neg = F.col("tp"), F.col("pos"), F.col("neg")
+    The class sizes are the largest cumulative counts, so they scale the sums at the end.
+    """
+    tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "pos", "neg"))
     # Positives ranked above each negative, ties counted half.
     wins = neg.cast("double") * (tp - pos) + neg.cast("double") * pos / 2
-    return _descending(counts, keys, source).groupBy(*keys).agg(
-        _share(F.sum(wins), F.max("positives").cast("double") * F.max("negatives"))
-        .alias("roc_auc"),
-        F.sum((recall - recall0) * (precision + precision0) / 2).alias("pr_auc"),
-        F.max("positives").alias("positives"), F.max("negatives").alias("negatives"),
+    before = (tp - pos) + (fp - neg)
+    precision = _share(tp, tp + fp)
+    precision0 = F.when(before > 0, _share(tp - pos, before)).otherwise(1.0)
+    steps = pos.cast("double") * (precision + precision0) / 2
+    # Without positives recall is 1 from the first point on.
+    jump = F.sum(F.when(before == 0, (precision + 1.0) / 2))
+    positives, negatives = F.max("tp"), F.max("fp")
+    return _descending(counts, keys, totals=False).groupBy(*keys).agg(
+        _share(F.sum(wins), positives.cast("double") * negatives).alias("roc_auc"),
+        F.when(positives > 0, F.try_divide(F.sum(steps), positives.cast("double"))).otherwise(jump).alias("pr_auc"),
+        positives.alias("positives"), negatives.alias("negatives"),
     )
 
 
-def roc_auc(counts: DataFrame, keys, source=None) -> DataFrame:
-    """Exact ROC AUC of collapsed counts; null when a group has one class only.
-
-    ``source`` is a table with the uncollapsed ``score`` (see ``running_sums``).
-    """
-    return _areas(counts, keys, source).drop("pr_auc")
+def roc_auc(counts: DataFrame, keys) -> DataFrame:
+    """Exact ROC AUC of collapsed counts; null when a group has one class only."""
+    return _areas(counts, keys).drop("pr_auc")
 
 
 def curve_areas(preds, keys, score="score") -> DataFrame:
     """ROC AUC and PR AUC (trapezoid over curve points) from one ordered pass."""
-    source = preds.select(F.col(score).alias("score"))
-    return _areas(score_counts(preds, keys, score), keys, source).drop("positives", "negatives")
+    return _areas(score_counts(preds, keys, score), keys).drop("positives", "negatives")
 
 
 def binary_roc_auc(preds, keys, score="score") -> DataFrame:
@@ -102,10 +90,11 @@ def roc_curve(counts, keys) -> DataFrame:
 
 def pr_curve(counts, keys) -> DataFrame:
     """(keys, threshold, recall, precision) with the closing point (0, 1)."""
-    recall, precision, _, _ = _pr_terms()
+    tp = F.col("tp")
     points = _descending(counts, keys).select(
         *keys, F.col("score").alias("threshold"),
-        recall.alias("recall"), precision.alias("precision"),
+        F.coalesce(_share(tp, F.col("positives")), F.lit(1.0)).alias("recall"),
+        _share(tp, tp + F.col("fp")).alias("precision"),
     )
     return _with_end_point(
         points, keys, counts, threshold=float("inf"), recall=0.0, precision=1.0
@@ -123,7 +112,7 @@ def class_score_counts(preds, keys, prob="prob") -> DataFrame:
 def average_rank(df, keys, value) -> DataFrame:
     """Per distinct value: first rank, tie size and average rank (ascending)."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("ties"))
-    cum = running_sums(counts, keys, value, ["ties"])
+    cum = running_sums(counts, keys, value, ["ties"], totals=False)
     return cum.select(
         *keys, value, "ties", (F.col("cum_ties") - F.col("ties") + 1).alias("first_rank"),
         (F.col("cum_ties") - (F.col("ties") - 1) / 2).alias("average_rank"),

@@ -31,19 +31,41 @@ def collapse(df, row_id, extra=()) -> DataFrame:
     )
 
 
-def members(df, row_id) -> DataFrame:
-    """(row_id, rep): the representative of every row."""
-    reps = collapse(df, row_id).select("features", "rep", F.col("copies").alias("_size"))
-    rows = df.select(row_id, "features")
-    return join_groups(rows, reps, ["features"], rows.count()).select(row_id, "rep")
+class Distinct:
+    """The distinct vectors of a table, written once, and how its rows map to them."""
+
+    def __init__(self, df, row_id, extra=()):
+        self.rows, self.row_id = df, row_id
+        self.points = cut_lineage(collapse(df, row_id, extra))
+        self.n_rows, self.n_points = self.points.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
+
+    @property
+    def copied(self) -> bool:
+        return self.n_points < self.n_rows
+
+    def queries(self) -> DataFrame:
+        return self.points.select(F.col("rep").alias("q"), "features")
+
+    def members(self) -> DataFrame:
+        """(row_id, rep): the representative of every row."""
+        if not self.copied:  # every row is its own
+            return self.points.select(F.col("rep").alias(self.row_id), "rep")
+        reps = self.points.select("features", "rep", F.col("copies").alias("_size"))
+        rows = self.rows.select(self.row_id, "features")
+        return join_groups(rows, reps, ["features"], self.n_rows).select(self.row_id, "rep")
+
+    def first_of_each(self, k) -> DataFrame:
+        """(c, features): at most the k smallest row ids of every distinct vector."""
+        if not self.copied:
+            return self.points.select(F.col("rep").alias("c"), "features")
+        order = Window.partitionBy("features").orderBy(self.row_id)
+        return self.rows.select(F.col(self.row_id).cast("long").alias("c"), "features",
+                                F.row_number().over(order).alias("_k")).filter(F.col("_k") <= k).drop("_k")
 
 
-def _first_of_each(df, row_id, k):
-    """At most the k smallest row ids of every distinct vector."""
-    order = Window.partitionBy("features").orderBy(row_id)
-    return df.select(F.col(row_id).cast("long").alias("c"), "features",
-                     F.row_number().over(order).alias("_k")).filter(
-        F.col("_k") <= k).drop("_k")
+def members(df, row_id) -> DataFrame:
+    """(row_id, rep): the representative of every row."""
+    return Distinct(df, row_id).members()
 
 
 def _pick_pivots(rows, count):
@@ -93,10 +115,20 @@ def _best(partials, k):
     return partials.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _in_cells(df, name, pivots, metric):
+    """(name, features, cell, rho): rows with their nearest pivot."""
+    rows = shipped(df.select(name, "features"))
+    if len(pivots.value) == 1:  # one block holds all rows
+        return rows.select(name, "features", F.lit(0).alias("cell"))
+    return cut_lineage(rows.mapInPandas(
+        blocks.to_pivots(pivots, metric), f"{name} long, features array<double>, cell int, rho double"))
+
+
 def knn_join(queries, rows, k, metric="euclidean") -> DataFrame:
     """(q, c, distance, rank): the k nearest rows of every query, ties by id.
 
-    ``queries`` is (q, features), ``rows`` is (c, features).
+    ``queries`` is (q, features), ``rows`` is (c, features). There is a cell for every block
+    of rows, up to about the root of the rows.
     """
     partial = "q long, c long, distance double"
     search = blocks.nearest(k, metric)
@@ -105,21 +137,18 @@ def knn_join(queries, rows, k, metric="euclidean") -> DataFrame:
         none = queries.limit(0).select("q", F.col("q").alias("c"), F.lit(0.0).alias("distance"))
         return _best(none, k)
     spark = rows.sparkSession
-    pivots = _pick_pivots(rows, math.isqrt(n_rows))
+    count = min(math.isqrt(n_rows), -(-n_rows // BLOCK_ROWS))
+    pivots = _pick_pivots(rows, count) if count > 1 else np.zeros((1, 1))
     width = len(pivots)
     shared = spark.sparkContext.broadcast(pivots)
-    assign = blocks.to_pivots(shared, metric)
-    c_cells = cut_lineage(shipped(rows.select("c", "features")).mapInPandas(
-        assign, "c long, features array<double>, cell int, rho double"))
-    q_cells = cut_lineage(queries.select("q", "features").mapInPandas(
-        assign, POINT + ", cell int, rho double"))
+    c_cells, q_cells = (_in_cells(*side, shared, metric) for side in ((rows, "c"), (queries, "q")))
+    if width == 1:
+        return _best(_tiled(q_cells, c_cells, _block_counts([queries.count()]),
+                            _block_counts([n_rows]), search, partial), k)
     c_size, radius = _per_cell(c_cells, width, F.count("*"), F.max("rho"))
     (q_size,) = _per_cell(q_cells, width, F.count("*"))
     c_blocks = _block_counts(c_size)
-    own = _best(_tiled(q_cells, c_cells, _block_counts(q_size), c_blocks, search, partial), k)
-    if width == 1:
-        return own
-    own = cut_lineage(own)
+    own = cut_lineage(_best(_tiled(q_cells, c_cells, _block_counts(q_size), c_blocks, search, partial), k))
     found = own.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
     bound = F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(float("inf")))
     bounded = q_cells.join(found, "q", "left").withColumn(
@@ -134,11 +163,17 @@ def knn_join(queries, rows, k, metric="euclidean") -> DataFrame:
 
 def knn_graph(df, row_id, k, metric="euclidean") -> DataFrame:
     """(i, j, rank, distance): the k nearest other rows of every row, ties by id."""
-    points = collapse(df, row_id).select(F.col("rep").alias("q"), "features")
+    table = Distinct(df, row_id)
     # A row is itself a candidate, hence one more; of a group of copies no list
     # can hold more than the first k + 1.
-    lists = knn_join(points, _first_of_each(df, row_id, k + 1), k + 1, metric)
-    joined = members(df, row_id).join(lists.withColumnRenamed("q", "rep"), "rep").filter(
+    lists = knn_join(table.queries(), table.first_of_each(k + 1), k + 1, metric)
+    return _without_self(table, lists, k)
+
+
+def _without_self(table, lists, k):
+    """Lists (q, c, distance) of distinct vectors as the lists of all rows."""
+    row_id = table.row_id
+    joined = table.members().join(lists.withColumnRenamed("q", "rep"), "rep").filter(
         F.col("c") != F.col(row_id))
     order = Window.partitionBy(row_id).orderBy("distance", "c")
     return joined.withColumn("rank", F.row_number().over(order)).filter(
@@ -158,22 +193,21 @@ def kth_distance(df, row_id, k, metric="euclidean") -> DataFrame:
 
     A table with fewer than ``k`` rows has no such distance and raises.
     """
-    n_rows = df.count()
-    if 0 < n_rows < k:
-        raise ValueError(f"{n_rows} rows have no {k}-th nearest row")
-    points = collapse(df, row_id).select(F.col("rep").alias("q"), "features")
-    lists = knn_join(points, _first_of_each(df, row_id, k), k, metric)
+    table = Distinct(df, row_id)
+    if 0 < table.n_rows < k:
+        raise ValueError(f"{table.n_rows} rows have no {k}-th nearest row")
+    lists = knn_join(table.queries(), table.first_of_each(k), k, metric)
     last = lists.filter(F.col("rank") == k).select(F.col("q").alias("rep"), "distance")
-    return members(df, row_id).join(last, "rep").select(row_id, "distance")
+    return table.members().join(last, "rep").select(row_id, "distance")
 
 
 def nearest_in(left, right, row_id, metric="euclidean") -> DataFrame:
     """(row_id, nearest, distance): the closest row of another table, ties by id."""
-    points = collapse(left, row_id).select(F.col("rep").alias("q"), "features")
+    table = Distinct(left, row_id)
     others = collapse(right, row_id).select(F.col("rep").alias("c"), "features")
-    best = knn_join(points, others, 1, metric).select(
+    best = knn_join(table.queries(), others, 1, metric).select(
         F.col("q").alias("rep"), F.col("c").alias("nearest"), "distance")
-    return members(left, row_id).join(best, "rep").select(row_id, "nearest", "distance")
+    return table.members().join(best, "rep").select(row_id, "nearest", "distance")
 
 
 def _block_rows(n_rows):

@@ -1,81 +1,100 @@
 """Ordered computations without a single-task sort.
 
-A global or per-group cumulative sum is done in two levels: rows are bucketed by
-the order column (cut points are quantiles of the data, ``shuffle_width`` of them), each (group, bucket) is summed in its own task, and the offsets of the
-buckets are added. A group that holds most of the rows is spread over all
-buckets, so no task sees more than about one bucket of distinct values.
+A cumulative sum per group is done in one exchange by ranges of (keys, order): every
+partition is summed in order on its own, and a group that reaches over several partitions
+gets what lies before each as an offset. Only such groups need offsets, and a border between two
+partitions lies in one group, so there are at most two offset rows a partition, whatever the
+data; they are broadcast. A group that holds most of the rows is spread over many
+partitions like any others.
 """
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import shuffle_width
-
-BUCKET = "_bucket"
-
-
-def _cut_points(df, column):
-    parts = shuffle_width(df.sparkSession)
-    levels = [i / parts for i in range(1, parts)]
-    return sorted(set(df.approxQuantile(column, levels, 0.25 / parts)))
-
-
-def add_bucket(df: DataFrame, column: str, source=None) -> DataFrame:
-    """Column ``_bucket``: position of the row's value among the cut points.
-
-    The cut points only balance the buckets; results do not depend on them.
-    """
-    cuts = _cut_points(df if source is None else source, column)
-    if not cuts:
-        return df.withColumn(BUCKET, F.lit(0.0))
-    splits = [-float("inf"), *cuts, float("inf")]
-    return Bucketizer(
-        splits=splits, inputCol=column, outputCol=BUCKET, handleInvalid="keep"
-    ).transform(df)
-
-
-def running_sums(df, keys, order, values, descending=False, source=None) -> DataFrame:
-    """Add ``cum_<v>`` (sum up to and including the row) and ``all_<v>``.
-
-    ``df`` must hold at most one row per (keys, order): collapse ties first.
-    ``order`` must be numeric. ``source`` may name a cheaper table with the same
-    order column, from which the cut points are taken without aggregating ``df``.
+from ..session import cut_lineage, shuffle_width
+from ..shipping import shipped
+
+PART = "_part"
+
+
+def _changes(batch, keys, last):
+    """Where a row's keys differ from the row before; ``last`` holds the keys before the batch."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = last is None or any(batch.column(k)[0] != v for k, v in zip(keys, last))
+    for k in keys:
+        column = batch.column(k)
+        if batch.num_rows > 1:
+            new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _cumulated(keys, values, names):
+    """Batch function: ``names`` and the sums of ``values`` since the group began in this partition."""
+
+    def run(batches):
+        last, carried = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = _changes(batch, keys, last)
+            heads = np.flatnonzero(new)
+            columns = []
+            carried = carried or [0] * len(values)
+            for n, v in enumerate(values):
+                x = batch.column(v).to_numpy(zero_copy_only=False)
+                total = np.cumsum(x)
+                before = np.where(heads > 0, total[heads - 1], 0) if len(heads) else heads
+                base = np.repeat(np.concatenate([[-carried[n]], before]).astype(total.dtype),
+                                 np.diff(np.concatenate([[0], heads, [len(x)]])))
+                total = total - base
+                carried[n] = total[-1]
+                columns.append(pa.array(total))
+            last = [batch.column(k)[batch.num_rows - 1] for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
+
+    return run
+
+
+def running_sums(df, keys, order, values, descending=False, totals=True) -> DataFrame:
+    """Add ``cum_<v>`` (sum up to and including the row) and, with ``totals``, ``all_<v>``.
+
+    ``df`` must hold at most one row per (keys, order): collapse ties first. Rows without
+    a key or order have no place and are dropped. Sums of whole numbers are whole numbers.
     """
     keys = list(keys)
-    number = F.col(order).cast("double").alias("_order")
-    # Rows without a key or order have no place; dropping them here gives both uses
-    # of ``df`` below the same plan, so its shuffle is computed once.
     for column in [*keys, order]:
         df = df.filter(F.col(column).isNotNull())
-    df = df.select("*", number)
-    bucketed = add_bucket(df, "_order", None if source is None else source.select(number))
-    direction = F.desc if descending else F.asc
-    inside = (
-        Window.partitionBy(*keys, BUCKET)
-        .orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = bucketed.select(
-        "*", *[F.sum(v).over(inside).alias(f"_in_{v}") for v in values]
-    )
-    sums = bucketed.groupBy(*keys, BUCKET).agg(
-        *[F.sum(v).alias(f"_sum_{v}") for v in values]
-    )
-    # One row per (keys, bucket): bounded by the number of cut points per group.
+    columns = df.columns
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    whole = {v: kinds[v].simpleString() in ("tinyint", "smallint", "int", "bigint") for v in values}
+    for v in values:
+        df = df.withColumn(v, F.col(v).cast("long" if whole[v] else "double"))
+    along = [F.col(k) for k in keys] + [F.col(order).desc() if descending else F.col(order)]
+    dealt = shipped(df).repartitionByRange(shuffle_width(df.sparkSession), *along).withColumn(PART, F.spark_partition_id())
+    dealt = dealt.sortWithinPartitions(*along)
+    names = [*columns, PART, *[f"_in_{v}" for v in values]]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + "".join(
+        f", `_in_{v}` {'long' if whole[v] else 'double'}" for v in values)
+    at = columns.index
+    # Written once: ranges are drawn from a sample, so they must not be drawn again.
+    local = cut_lineage(dealt.mapInArrow(_cumulated([at(k) for k in keys], [at(v) for v in values], names), schema))
+    sums = local.groupBy(*keys, PART).agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
     group = Window.partitionBy(*keys)
-    before = group.orderBy(direction(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *keys, BUCKET,
-        *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_off_{v}")
-          for v in values],
-        *[F.sum(f"_sum_{v}").over(group).alias(f"all_{v}") for v in values],
-    )
-    joined = local.join(offsets, on=keys + [BUCKET])
-    return joined.select(
-        *df.drop("_order").columns,
-        *[(F.col(f"_in_{v}") + F.col(f"_off_{v}")).alias(f"cum_{v}") for v in values],
-        *[f"all_{v}" for v in values],
-    )
+    before = group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    parts = sums.select(
+        *keys, PART, F.count("*").over(group).alias("_parts"),
+        *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_off_{v}") for v in values],
+        *[F.sum(f"_sum_{v}").over(group).alias(f"all_{v}") for v in values])
+    on = [*keys, PART]
+    offsets = parts.filter("_parts > 1").select(*on, *[f"_off_{v}" for v in values])  # at most two rows a partition
+    joined = local.join(F.broadcast(offsets), on, "left")
+    out = joined.select(*columns, *([PART] if totals else []),
+                        *[(F.col(f"_in_{v}") + F.coalesce(F.col(f"_off_{v}"), F.lit(0))).alias(f"cum_{v}") for v in values])
+    if not totals:
+        return out
+    return out.join(parts.select(*on, *[f"all_{v}" for v in values]), on).drop(PART)
 
 
 BLOCK = 65_536
@@ -146,7 +165,7 @@ def exact_quantiles(df, keys, value, count) -> DataFrame:
     keys = list(keys)
     steps = count - 1
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    cum = running_sums(counts, keys, value, ["n"], source=df)
+    cum = running_sums(counts, keys, value, ["n"])
     first, last = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
     span = F.col("all_n") - 1
 

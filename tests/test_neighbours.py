@@ -1,8 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallybench.operators import clustering as C, generative as G, neighbours as N
+from tallybench.operators import clustering as C, descent, generative as G, neighbours as N
 
 
 @pytest.fixture(params=[2048, 8])
@@ -134,3 +135,50 @@ def test_fewer_rows_than_asked_for(points):
     with pytest.raises(ValueError):
         N.kth_distance(df.limit(3), "row_id", 5)
     assert N.knn_graph(df.limit(0), "row_id", 2).count() == 0
+
+
+def recall(df, k, metric="euclidean", **more):
+    """Share of the exact lists, made by SQL, that the approximate ones hold."""
+    got = descent.knn_graph_approximate(df, "row_id", k, metric, **more).toPandas()
+    rows = df.select("row_id", "features").toPandas()
+    rows["features"] = rows["features"].map(list)
+    con = duckdb.connect()
+    con.register("rows", rows)
+    con.register("got", got)
+    apart = ("list_sum(list_transform(list_zip(a.features, b.features), lambda z: (z[1] - z[2]) * (z[1] - z[2])))" if metric == "euclidean"
+             else "list_sum(list_transform(list_zip(a.features, b.features), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))")
+    hits, links = con.execute(f"""
+      WITH exact AS (SELECT i, j, d FROM (SELECT a.row_id AS i, b.row_id AS j, {apart} AS d,
+          row_number() OVER (PARTITION BY a.row_id ORDER BY {apart}, b.row_id) AS k FROM rows a JOIN rows b ON a.row_id <> b.row_id) WHERE k <= {k})
+      SELECT count(got.j), count(*) FROM exact LEFT JOIN got USING (i, j)""").fetchone()
+    assert got.groupby("i")["rank"].agg(list).map(lambda x: sorted(x) == list(range(1, len(x) + 1))).all()
+    return hits / links
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "clusters", "copies", "line"])
+def test_approximate_lists_hold_the_exact_ones(spark, kind, monkeypatch):
+    monkeypatch.setattr(descent, "START_ROWS", 32)  # rounds have work to do
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 16))
+    if kind == "clusters":
+        x = 3 * rng.normal(size=(12, 16))[rng.integers(0, 12, 900)] + 0.3 * x
+    elif kind == "copies":
+        x[300:600] = x[0]  # a third of the rows
+        x[600:700] = x[1]
+    elif kind == "line":
+        x = np.arange(900.0)[:, None] ** 1.1 + 1e6
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, features array<double>")
+    assert recall(df, 8) >= 0.95
+
+
+def test_approximate_lists_of_bits_and_small_tables(spark):
+    rng = np.random.default_rng(6)
+    bits = [(i, r.tolist()) for i, r in enumerate(rng.integers(0, 2, (300, 40)).astype(float))]
+    schema = "row_id long, features array<double>"
+    got = descent.knn_graph_approximate(spark.createDataFrame(bits, schema), "row_id", 5, "hamming").groupBy("i").count().collect()
+    assert len(got) == 300 and all(r["count"] == 5 for r in got)
+    for n in (0, 1, 2, 4):
+        few = spark.createDataFrame(bits[:n], schema)
+        assert descent.knn_graph_approximate(few, "row_id", 3).count() == n * max(0, min(3, n - 1))
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(6)], schema)
+    assert [(r.i, r.j) for r in descent.knn_graph_approximate(same, "row_id", 2).orderBy("i", "rank").collect()][:4] == [(0, 1), (0, 2), (1, 0), (1, 2)]
