@@ -137,19 +137,78 @@ def distance_sums(metric):
 
 
 def farthest(metric):
-    """Tile function: per query row, the largest distance to a row of the block."""
+    """Tile function: the largest distance of a query row and a row, and the pairs compared."""
 
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(queries) and len(rows):
             a_all, b = matrix(queries, "query_vector"), matrix(rows, "row_vector")
-            q_ids = queries["q"].to_numpy()
+            best = 0.0
             for lo, hi in _chunks(len(a_all), len(b)):
-                d = distances(a_all[lo:hi], b, metric)
-                parts.append(pd.DataFrame({"q": q_ids[lo:hi], "distance": d.max(axis=1)}))
-        empty = pd.DataFrame({"q": pd.Series(dtype="int64"),
-                              "distance": pd.Series(dtype="float64")})
-        return pd.concat(parts, ignore_index=True) if parts else empty
+                a = a_all[lo:hi]
+                if metric == "hamming":
+                    best = max(best, _differing(a, b).max() / a.shape[1])
+                    continue
+                d2, slack = _squared(a, b)
+                i, j = np.nonzero(d2 >= (d2 - 2 * slack[:, None]).max())
+                best = max(best, _exact(a, b, i, j).max())
+            parts = [(best, len(a_all) * len(b))]
+        return pd.DataFrame(parts, columns=["distance", "compared"]).astype({"distance": "float64", "compared": "int64"})
+
+    return run
+
+
+def reaches(pivots, metric):
+    """Batch function: nearest pivot, at most how far it is, at most how far the mean of
+    the pivots is, and at least how far the farthest pivot is.
+
+    ``pivots`` is a broadcast variable.
+    """
+
+    def run(batches):
+        for frame in batches:
+            if not len(frame):
+                continue
+            x, p = matrix(frame), pivots.value
+            low, high = between(x, p, metric)
+            cell = low.argmin(axis=1)
+            away = np.zeros(len(x)) if metric == "hamming" else np.sqrt(((x - p.mean(axis=0)) ** 2).sum(1)) * (1 + 1e-12)
+            yield frame.assign(cell=cell.astype("int32"), rho=high[np.arange(len(low)), cell], away=away, far=low.max(axis=1))
+
+    return run
+
+
+def pair_bounds(pivots, radius, away, metric):
+    """Upper bounds of the distances of the rows of any two cells.
+
+    By the triangle inequality over the pivots. For Euclidean distances also over the centre m:
+    |x - y|^2 = 2 |x - m|^2 + 2 |y - m|^2 - |x' - y|^2, where x' is x mirrored at m.
+    """
+    _, high = between(pivots, pivots, metric)
+    bounds = high + radius[:, None] + radius[None, :]
+    if metric != "hamming":
+        bounds = np.minimum(bounds, away[:, None] + away[None, :])
+        low, _ = between(2 * pivots.mean(axis=0) - pivots, pivots, metric)
+        mirrored = np.maximum(low - radius[:, None] - radius[None, :], 0)
+        squares = 2 * away[:, None] ** 2 + 2 * away[None, :] ** 2
+        bounds = np.minimum(bounds, np.sqrt(np.maximum(squares - mirrored ** 2, 0) + 1e-12 * squares))
+    return bounds * (1 + 1e-12)
+
+
+def beyond(pivots, radius, best, metric):
+    """Batch function: the rows that may be farther than ``best`` from a row of cell ``other``.
+
+    ``pivots`` and ``radius`` are broadcast variables.
+    """
+
+    def run(batches):
+        for frame in batches:
+            if not len(frame):
+                continue
+            _, high = between(matrix(frame), pivots.value, metric)
+            other = frame["other"].to_numpy()
+            reach = (high[np.arange(len(high)), other] + radius.value[other]) * (1 + 1e-12)
+            yield frame[reach > best].drop(columns="other")
 
     return run
 

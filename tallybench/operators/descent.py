@@ -9,8 +9,6 @@ compares all rows. Rows that many lists hold are joined by broadcast (``join_gro
 of those that list a row a fixed number takes part in a round, other ones in the next.
 """
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -79,7 +77,7 @@ def _first_lists(points, n, width, metric, number):
     Each ``number`` gives other pivots and blocks.
     """
     order = F.xxhash64(F.lit(number), "q")
-    chosen = points.orderBy(order, "q").limit(min(PIVOTS, max(1, math.isqrt(n)))).select("features").collect()
+    chosen = points.orderBy(order, "q").limit(max(1, min(PIVOTS, n // START_ROWS))).select("features").collect()
     pivots = points.sparkSession.sparkContext.broadcast(np.array([r[0] for r in chosen], dtype=np.float64))
     cells = _in_cells(points, "q", pivots, metric)
     (sizes,) = _per_cell(cells, len(pivots.value), F.count("*"))

@@ -5,8 +5,9 @@ search partitions the rows by their closest pivot (a pivot-based kNN join): each
 query searches its own cell, then only those cells that the triangle inequality
 cannot rule out. There are about as many pivots as the root of the rows, and cells are
 cut into blocks of bounded size, so a crowded cell becomes many small tiles. Reductions
-over all distances (silhouette, row sums, diameter) compare every distinct row with every
-other; blocks grow with the root of the rows, so a row is sent to about that many tiles.
+over all distances (silhouette, row sums) compare every distinct row with every other;
+blocks grow with the root of the rows, so a row is sent to about that many tiles. The
+largest distance is searched best first, with bounds that rule out most pairs.
 """
 
 import math
@@ -14,13 +15,14 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.distance import euclidean, hamming
 from ..session import cut_lineage
 from ..shipping import shipped
 from . import blocks
 from .groups import join_groups
 
 BLOCK_ROWS = 2048
+FARTHEST_CELLS = 2048  # of the search for the largest distance: its pairs of cells fit the driver
+FIRST_PAIRS = 64       # pairs of cells in its first round
 POINT = "q long, features array<double>"
 
 
@@ -247,33 +249,61 @@ def distance_summary(df, row_id, metric="euclidean") -> DataFrame:
 
 
 def diameter(df, row_id, metric="euclidean") -> DataFrame:
-    """One row: the largest distance between any two rows.
+    """One row: the largest distance between any two rows (see ``farthest_search``)."""
+    return farthest_search(df, row_id, metric).select("diameter")
 
-    A linear sweep finds a far row and the largest distance R from it. A pair
-    farther apart than R has, by the triangle inequality, an end beyond R / 2 from
-    that row, so only those ends are compared with all rows.
+
+def farthest_search(df, row_id, metric="euclidean") -> DataFrame:
+    """One row: diameter, compared (pairs whose distance was computed), rows (distinct ones).
+
+    Rows fall into the cells of their nearest pivots. For every pair of cells the distance
+    of any two of their rows is bounded from above; pairs are visited in the order of their
+    bounds, twice as many in a round as in the one before, and what the largest distance
+    found so far rules out is never compared: pairs of cells, and in a visited pair the rows
+    too near to the other cell. The search starts from the largest distance of a row
+    to a pivot. Bounds hold under rounding.
     """
-    apart = hamming if metric == "hamming" else euclidean
-    points = collapse(df, row_id).select(F.col("rep").alias("q"), "features")
-
-    def away_from(vector):
-        return points.withColumn("_from", vector).withColumn(
-            "_rho", apart(F.col("features"), F.col("_from"))).drop("_from")
-
-    start = points.agg(F.min_by("features", "q")).scalar()
-    far = away_from(start).agg(F.max_by("features", "_rho")).scalar()
-    spread = away_from(far)
-    reach = spread.agg(F.max("_rho")).scalar()
-    ends = spread.withColumn("_r", reach).filter(
-        F.col("_rho") * 2 >= F.col("_r") * (1 - 1e-9)).select("q", "features")
-    tiles = _tiled_pairs(ends, points, metric)
-    return tiles.agg(F.max("distance").alias("diameter"))
-
-
-def _tiled_pairs(left, right, metric):
-    n_left, n_right = left.count(), right.count()
-    size = _block_rows(n_right)
-    q_blocks, c_blocks = _block_counts([n_left], size), _block_counts([n_right], size)
-    rows = right.select(F.col("q").alias("c"), "features", F.lit(0).alias("cell"))
-    return _tiled(left.withColumn("cell", F.lit(0)), rows, q_blocks, c_blocks,
-                  blocks.farthest(metric), "q long, distance double")
+    spark = df.sparkSession
+    table = Distinct(df, row_id)
+    points, n = table.queries(), table.n_points
+    result = "diameter double, compared long, rows long"
+    if n < 2:
+        return spark.createDataFrame([(0.0 if n else None, 0, n)], result)
+    count = min(FARTHEST_CELLS, -(-n // BLOCK_ROWS))
+    pivots = _pick_pivots(points.withColumnRenamed("q", "c"), count) if count > 1 else np.zeros((1, 1))
+    shared = spark.sparkContext.broadcast(pivots)
+    if len(pivots) == 1:  # one block, or equal pivots
+        cells = points.withColumn("cell", F.lit(0))
+        size, bounds, best, order = np.array([float(n)]), np.array([[math.inf]]), 0.0, [(0, 0)]
+        radius = np.array([math.inf])
+    else:
+        cells = cut_lineage(shipped(points).mapInPandas(
+            blocks.reaches(shared, metric), POINT + ", cell int, rho double, away double, far double"))
+        size, radius, away = _per_cell(cells, len(pivots), F.count("*"), F.max("rho"), F.max("away"))
+        best = cells.agg(F.max("far")).first()[0]
+        bounds = blocks.pair_bounds(pivots, radius, away, metric)
+        bounds[size == 0], bounds[:, size == 0] = -1.0, -1.0
+        i, j = np.triu_indices(len(pivots))
+        order = [(int(a), int(b)) for a, b in zip(i, j) if bounds[a, b] > best]
+        order.sort(key=lambda p: -bounds[p])
+    compared, visited, together = 0, 0, FIRST_PAIRS
+    while visited < len(order):
+        pairs = [p for p in order[visited: visited + together] if bounds[p] > best]
+        visited, together = visited + together, together * 2
+        if not pairs:
+            break
+        numbered = spark.createDataFrame(  # two rows per pair of this round
+            [(n, a, b, 0) for n, (a, b) in enumerate(pairs)] + [(n, b, a, 1) for n, (a, b) in enumerate(pairs)],
+            "pair int, cell int, other int, side int")
+        sides = cells.select("q", "features", "cell").join(F.broadcast(numbered), "cell")
+        if len(pivots) > 1:
+            kept = blocks.beyond(shared, spark.sparkContext.broadcast(radius), best, metric)
+            sides = sides.select("q", "features", "pair", "other", "side").mapInPandas(
+                kept, POINT + ", pair int, side int")
+        left = sides.filter("side = 0").select("q", "features", F.col("pair").alias("cell"))
+        right = sides.filter("side = 1").select(F.col("q").alias("c"), "features", F.col("pair").alias("cell"))
+        tiles = _tiled(left, right, _block_counts([size[a] for a, _ in pairs]), _block_counts([size[b] for _, b in pairs]),
+                       blocks.farthest(metric), "distance double, compared long")
+        found = tiles.agg(F.max("distance"), F.sum("compared")).first()
+        best, compared = max(best, found[0] or 0.0), compared + (found[1] or 0)
+    return spark.createDataFrame([(best, compared, n)], result)

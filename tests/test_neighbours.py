@@ -182,3 +182,32 @@ def test_approximate_lists_of_bits_and_small_tables(spark):
         assert descent.knn_graph_approximate(few, "row_id", 3).count() == n * max(0, min(3, n - 1))
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(6)], schema)
     assert [(r.i, r.j) for r in descent.knn_graph_approximate(same, "row_id", 2).orderBy("i", "rank").collect()][:4] == [(0, 1), (0, 2), (1, 0), (1, 2)]
+
+
+@pytest.mark.parametrize("kind", ["clusters", "gaussian", "sphere", "bits", "line"])
+def test_the_diameter_rules_out_most_pairs(spark, kind, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(N, "FIRST_PAIRS", 4)
+    rng = np.random.default_rng(7)
+    x, metric = rng.normal(size=(1600, 3)), "euclidean"
+    if kind == "clusters":
+        x = 20 * rng.normal(size=(40, 3))[rng.integers(0, 40, 1600)] + x
+    elif kind == "sphere":
+        x = x / np.linalg.norm(x, axis=1)[:, None] + 1e6
+    elif kind == "bits":
+        x, metric = (x[:, :1] + rng.normal(size=(1600, 24)) > 0).astype(float), "hamming"
+    elif kind == "line":
+        x = x[:, :1] * np.array([[1.0, 2.0, -1.0]])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, features array<double>")
+    d = dist(x) if metric == "euclidean" else (x[:, None] != x[None]).mean(-1)
+    got = N.farthest_search(df, "row_id", metric).first()
+    assert got.diameter == pytest.approx(d.max(), rel=1e-12)
+    if kind in ("clusters", "gaussian", "line"):
+        assert got.compared < got.rows ** 2 / 20
+
+
+def test_the_diameter_of_few_rows(spark):
+    schema = "row_id long, features array<double>"
+    assert N.diameter(spark.createDataFrame([], schema), "row_id").first()[0] is None
+    assert N.diameter(spark.createDataFrame([(1, [2.0]), (2, [2.0])], schema), "row_id").first()[0] == 0.0
+    assert N.diameter(spark.createDataFrame([(1, [2.0]), (2, [5.0])], schema), "row_id").first()[0] == 3.0
