@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..operators import classification as C, generative as G, scaling, statistics as S, tables as T
 from ..operators.clustering import compare_methods
-from ..plans import cluster as K, explain as X, labelling as L, spectral, supervised as M, synth as Y
+from ..plans import boosting as B, cluster as K, explain as X, labelling as L, runs as R, spectral, supervised as M, synth as Y
+from ..sources import split_files
 from ..session import cut_lineage, scratch_folder
 from . import fixtures as fx
 from .fixtures import r
@@ -41,6 +42,24 @@ def m1(spark, d):
     return _binary(spark, d, M.boosted_classifier(**SIZES))
 
 
+#: Rows of the test split of the embeddings, by the rule of ``train_val_test_split``.
+TEST = f"""WITH {fx.EMB}, k AS (SELECT *, row_number() OVER (ORDER BY md5('4421:' || row_id), row_id) AS rk, count(*) OVER () AS n FROM emb),
+split AS (SELECT *, CASE WHEN rk <= ceil(round(ceil(round(n * 0.4, 9)) * 0.5, 9)) THEN 'test' WHEN rk <= ceil(round(n * 0.4, 9)) THEN 'val' ELSE 'train' END AS split FROM k)"""
+
+
+@query("m1_auc_stopping", TEST + """ SELECT count(*) AS n, sum(bin)::BIGINT AS positives, count(*) AS scores_in_range, 0.0::DOUBLE AS gap_to_best_stage
+FROM split WHERE split = 'test'""")
+def m1_auc(spark, d):
+    """Trees grown until the validation loss has not fallen for ten rounds, then cut at the best AUC."""
+    train, val, test = _parts(spark, d)
+    model = B.boost(train, val, rounds=200, rate=0.1, depth=4, patience=10)
+    reached = C.binary_bundle(model.predict(val), []).first()["roc_auc"]
+    best = B.stage_areas(model, val).agg(F.max("roc_auc")).first()[0]
+    rows = model.predict(test).agg(F.count("*").alias("n"), F.sum("y_true").cast("long").alias("positives"),
+                                   F.count_if(F.col("score").between(0, 1)).alias("scores_in_range"))
+    return rows.withColumn("gap_to_best_stage", F.lit(round(best - reached, 9)))
+
+
 @query("m2_boosted_regressor")
 def m2(spark, d):
     return fx.rounded(M.regression_summary({"boosted": M.boosted_regressor(**SIZES)}, _regression(spark, d)))
@@ -52,6 +71,15 @@ def m3(spark, d):
     return fx.rounded(M.classification_summary(models, _data(spark, d, "label")))
 
 
+@query("m3_joint_multiclass", TEST + """ SELECT label AS y_true, count(*) AS n, count(*) AS sums_to_one FROM split WHERE split = 'test' GROUP BY label""")
+def m3_joint(spark, d):
+    """One softmax over all classes; probabilities need no rescaling."""
+    train, val, test = _parts(spark, d, "label")
+    model = B.boost(train, val, "classes", rounds=100, rate=0.1, depth=4, patience=10)
+    near_one = F.abs(F.aggregate("prob", F.lit(0.0), lambda a, p: a + p) - 1) < 1e-12
+    return model.predict(test).groupBy("y_true").agg(F.count("*").alias("n"), F.count_if(near_one).alias("sums_to_one"))
+
+
 @query("m4_forest")
 def m4(spark, d):
     return _binary(spark, d, M.forest_classifier(numTrees=10, maxDepth=4, seed=1))
@@ -143,6 +171,26 @@ def m15(spark, d):
     return fx.rounded(M.classification_summary(models, _data(spark, d, "label")))
 
 
+@query("m15_run_written", TEST + """, m AS (SELECT unnest(['boosted', 'forest', 'logistic']) AS model)
+SELECT model, split, count(*) AS n, sum(bin)::BIGINT AS positives, 0.0::DOUBLE AS accuracy_gap FROM split, m WHERE split <> 'train' GROUP BY ALL""")
+def m15_run(spark, d):
+    """Six split files to a written run; its JSON against its predictions."""
+    root = scratch_folder(spark, "run")
+    base = split_files.folder(root, "Classification", "COLLECTION_A", "100", "BC-I")
+    rows = _data(spark, d)
+    split_files.write_split(rows.select("row_id", "split", "label", *[F.get("features", F.lit(i)).alias(f"x{i}") for i in range(64)]),
+                            base, "BC-I", "row_id", [f"x{i}" for i in range(64)], "label")
+    models = {"boosted": lambda train, val: B.boost(train, val, rounds=60, rate=0.1, depth=4, patience=10),
+              "forest": M.forest_classifier(numTrees=20, maxDepth=5, seed=1), "logistic": M.logistic()}
+    data = split_files.read_split(spark, root).withColumn("row_id", F.concat_ws("-", "split", F.col("row_id").cast("string")))
+    folder = R.run(data, models, f"{root}/runs", "first")
+    told = R.read_metrics(spark, folder).filter("metric = 'Accuracy'").select("model", "split", F.col("value").alias("told"))
+    made = R.read_predictions(spark, folder).groupBy("model", "split").agg(
+        F.count("*").alias("n"), F.sum("y_true").cast("long").alias("positives"),
+        F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("made"))
+    return made.join(told, ["model", "split"]).select("model", "split", "n", "positives", F.round(F.abs(F.col("made") - F.col("told")), 9).alias("accuracy_gap"))
+
+
 @query("m15_benchmark_regression")
 def m15_regression(spark, d):
     models = {"boosted": M.boosted_regressor(**SIZES), "forest": M.forest_regressor(numTrees=10, seed=1)}
