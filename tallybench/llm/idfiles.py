@@ -34,7 +34,7 @@ from ..session import cut_lineage, scratch_folder
 from ..shipping import shipped
 from . import idcoder
 from .wordids import WordIds
-from .workers import kept, start
+from .workers import kept, tidy
 
 END_ID = 1
 FILE_BYTES = 64 << 20   # of text in a file, about
@@ -156,6 +156,7 @@ def write(docs: DataFrame, path: str, folder: str, key: str = "doc_id", text: st
     size = rows.agg(F.sum(F.octet_length("_text")), F.count("*")).first()
     parts = max(1, -(-((size[0] or 0) + 8 * size[1]) // file_bytes))
 
+    @tidy("idfiles")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -190,8 +191,8 @@ def read(files: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
     placed = files.withColumn("_group", F.floor(group)).withColumn("_inside", inside).join(sums, "_group")
     placed = cut_lineage(placed.select("part", "file", (F.col("_base") + F.col("_inside")).alias("first")))
 
+    @tidy("idfiles reader")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start("idfiles reader")
         system, place = opened(folder)
         names = [key, "start", "n_tokens", "ids_crc32"]
         for batch in batches:

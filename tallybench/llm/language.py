@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import shipped
 from .words import SpanCache, blocks
-from .workers import start
+from .workers import tidy
 
 UNKNOWN = "und"
 PER_LANGUAGE = 3000   # labelled texts that teach, a language
@@ -117,7 +117,6 @@ class _Labels:
     """Labels of texts of words (``letters``) by a model; values of words are kept in the task."""
 
     def __init__(self, model: Model):
-        start("language")
         self.model, self.n = model, len(model.languages)
         self.names = np.array([*model.languages, UNKNOWN], object)
         self.cache = SpanCache(self._make, self._empty)
@@ -154,6 +153,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
+    @tidy("language")
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = _Labels(shared.value)
         for batch in batches:
@@ -170,12 +170,16 @@ def identified(docs: DataFrame, model: Model, text: str = "text", least: float =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang_pred string, score double")
-    def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @tidy("language")
+    def of_columns(columns):
         labels = _Labels(shared.value)
         for column in columns:
             yield pa.StructArray.from_arrays(labels.of(column), ["lang_pred", "score"])
 
+    @F.arrow_udf("lang_pred string, score double")
+    def label(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from of_columns(columns)
+
     packed = shipped(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_rest"), letters(F.col(text)).alias("_letters")))
     found = packed.select("_rest", label("_letters").alias("_found"))
     return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least)).select("_rest.*")

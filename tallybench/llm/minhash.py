@@ -33,6 +33,7 @@ from ..session import cut_lineage
 from ..shipping import shipped
 from .groups import among, components, join_groups, looked_up
 from .words import LOWER, Block, blocks, mix
+from .workers import tidy
 
 BINS = 512
 ROWS = 8
@@ -114,6 +115,7 @@ def sketched(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     names = ["_id", "n", "k1", "k2", "keys"]
 
+    @tidy("minhash")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(1), LOWER):
@@ -132,6 +134,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int, key: str, text: str
     rows = among(docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), wanted, ["_id"]).where("_maybe")
     rows = rows.join(wanted.drop("_id"), F.col("_id").eqNullSafe(F.col("_wanted"))).select("_text", "node", "k1", "k2")
 
+    @tidy("minhash")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column(0), LOWER):

@@ -34,7 +34,7 @@ from ..session import cut_lineage
 from ..shipping import shipped
 from .ranks import ranked
 from .words import SPACE, SpanCache, blocks
-from .workers import kept
+from .workers import kept, tidy
 
 CAPACITY = 1024
 END_ID = 2
@@ -136,6 +136,7 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """One row per piece: key, piece, start, length, ids_crc32 (little-endian 32-bit ids)."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @tidy("packing")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = ids_of(path)
         for batch in batches:

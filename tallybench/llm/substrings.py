@@ -39,7 +39,7 @@ from ..session import cut_lineage
 from ..shipping import shipped
 from .groups import among, join_groups
 from .words import _BASE, _BASE_INVERSE, blocks, mix, powers, window_hashes
-from .workers import start as begin_task
+from .workers import tidy
 
 WINDOW = 50
 GRAM = 8              # words of an anchor
@@ -84,8 +84,8 @@ def anchored(rows: DataFrame, window: int) -> DataFrame:
     """A row per stretch of every text (_id, _print, _text)."""
     kind = rows.schema["_id"].dataType.simpleString()
 
+    @tidy("substrings")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task("substrings")
         for batch in batches:
             for block in blocks(batch.column(2)):
                 h, s, start, n = stretches(block.hashes(), block.doc, window)
@@ -103,8 +103,8 @@ def with_words(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     lists = wanted.groupBy("_id", "_print").agg(F.collect_list(F.struct("h", "start", "n")).alias("_parts"))  # those of one text
     joined = among(rows, lists, ["_id", "_print"]).where("_maybe").join(lists, ["_id", "_print"]).select("_id", "_print", "_text", "_parts")
 
+    @tidy("substrings")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task("substrings")
         for batch in batches:
             for block in blocks(batch.column(2)):
                 part = batch.slice(block.first, block.texts)
@@ -132,8 +132,8 @@ def windows_of(segments: DataFrame, window: int) -> DataFrame:
     """(w, _seg, _id, off): the hash of every window of the stretches."""
     kind = segments.schema["_id"].dataType.simpleString()
 
+    @tidy("substrings")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task("substrings")
         for batch in batches:
             words, offsets = _words(batch.column(2))
             row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
@@ -150,8 +150,8 @@ def trimmed(segments: DataFrame, window: int) -> DataFrame:
     kind = segments.schema["_id"].dataType.simpleString()
     names = ["_id", "_print", "h", "start", "n", "words", "p"]
 
+    @tidy("substrings")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task("substrings")
         for batch in batches:
             words, first = _words(batch.column(4))
             offs, bounds = _words(batch.column(5))
@@ -341,8 +341,8 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     kind = docs.schema[key].dataType.simpleString()
     marked = _marked(_rows(docs, key, text), window)
 
+    @tidy("substrings")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task("substrings")
         for batch in batches:
             spans = _filled(batch.column(2))
             for block in blocks(batch.column(1)):
@@ -368,8 +368,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     marked = _marked(rows, window).select("_id", "_rest", "_text", "_spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields if f.name != "_spans")
 
+    @tidy("substrings")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin_task("substrings")
         for batch in batches:
             spans = _filled(batch.column(3))
             texts = []
