@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classification as C, generative as G, scaling, statistics as S, tables as T
 from ..operators.clustering import compare_methods
-from ..plans import boosting as B, cluster as K, explain as X, labelling as L, runs as R, spectral, supervised as M, synth as Y
+from ..plans import attribution as A, boosting as B, cluster as K, explain as X, labelling as L, runs as R, spectral, supervised as M, synth as Y
 from ..sources import split_files
 from ..session import cut_lineage, scratch_folder
 from . import fixtures as fx
@@ -158,6 +158,17 @@ def m13(spark, d):
     return fx.rounded(S.top_features(S.feature_importance(table)))
 
 
+@query("m13_tree_shapley", TEST + """ SELECT row_id, 64 AS features, 0.0::DOUBLE AS gap FROM split WHERE split = 'test'""")
+def m13_trees(spark, d):
+    """Exact values of boosted trees; ``gap``: their sum against the row's margin."""
+    train, val, test = _parts(spark, d)
+    model = B.boost(train, val, rounds=60, rate=0.1, depth=4, patience=10)
+    values, base = A.tree_shapley(model, test, train)
+    margins = model.staged(test, rounds=model.best).select("row_id", F.element_at("stages", -1).alias("margin"))
+    sums = values.groupBy("row_id").agg(F.count("*").cast("int").alias("features"), F.sum("value").alias("value"))
+    return sums.join(margins, "row_id").select("row_id", "features", F.round(F.abs(F.col("margin") - F.col("value") - float(base[0])), 9).alias("gap"))
+
+
 @query("m14_permutation_importance")
 def m14(spark, d):
     data = _data(spark, d)

@@ -31,23 +31,6 @@ def destandardise(z: Column, mean: Column, std: Column) -> Column:
     return z * std + mean
 
 
-def piecewise_linear(x: Column, edges: Column) -> Column:
-    """One ratio per bin: 0 below the bin, 1 above it, the share inside it.
-
-    The first and last bin stay open to the outside, so values beyond the
-    fitted range are extrapolated there rather than clipped.
-    """
-    bins = F.size(edges) - 1
-
-    def ratio(i):
-        lo, hi = F.get(edges, i), F.get(edges, i + 1)
-        raw = (x - lo) / (hi - lo)
-        left = F.when(i == 0, raw).otherwise(F.greatest(raw, F.lit(0.0)))
-        return F.when(i == bins - 1, left).otherwise(F.least(left, F.lit(1.0)))
-
-    return F.transform(F.sequence(F.lit(0), bins - 1), ratio)
-
-
 # Coefficients of Acklam's rational approximation of the inverse
 # normal distribution function (relative error below 1.15e-9).
 _CENTRE_NUM = (-39.69683028665376, 220.9460984245205, -275.9285104469687,

@@ -5,10 +5,13 @@ Wide rows stay one array column. Per-position statistics come from one
 because a table of a few hundred positions is bounded by the row width.
 """
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.distance import total
-from ..functions.encode import attribute_code, inverse_normal, one_hot, piecewise_linear
+from ..functions.encode import attribute_code, inverse_normal, one_hot
+from ..session import cut_lineage
+from ..shipping import shipped
 from .ordered import exact_quantiles
 
 
@@ -70,23 +73,68 @@ def quantile_levels(n_rows: int) -> int:
     return max(min(n_rows // 30, 1000), 10)
 
 
-def _quantile_share(x, edges):
-    """Mean of the left and right interpolated position of x among the edges."""
-    last = F.size(edges) - 1
-    below = F.size(F.filter(edges, lambda e: e < x))
-    upto = F.size(F.filter(edges, lambda e: e <= x))
+#: Edges that are sent to all tasks at a time; wider tables are worked through in blocks of positions.
+EDGES = 1 << 22
 
-    def between(i):
-        lo, hi = F.get(edges, i), F.get(edges, i + 1)
-        return (i + F.try_divide(x - lo, hi - lo)) / last
 
-    inside = F.when(upto == below, between(below - 1)).otherwise(
-        (below + upto - 1) / (F.lit(2.0) * last)
-    )
-    return (
-        F.when(x <= F.get(edges, F.lit(0)), F.lit(0.0))
-        .when(x >= F.get(edges, last), F.lit(1.0)).otherwise(inside)
-    )
+def _quantile_share(x, edges):
+    """Mean of the left and right interpolated position of x among the edges; by binary search."""
+    last = len(edges) - 1
+    below, upto = np.searchsorted(edges, x, "left"), np.searchsorted(edges, x, "right")
+    at = np.clip(below, 1, max(last, 1))
+    lo, hi = edges[np.minimum(at - 1, last)], edges[np.minimum(at, last)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = (below - 1 + (x - lo) / (hi - lo)) / last
+        tied = (below + upto - 1) / (2.0 * last)
+    share = np.where(upto == below, between, tied)
+    return np.where(x <= edges[0], 0.0, np.where(~(x < edges[-1]), 1.0, share))  # missing numbers sort last
+
+
+def _linear_codes(x, edges):
+    """(cell, bin): 0 below a bin, 1 above it, the share inside; open to the outside at both ends."""
+    edges = np.unique(edges)
+    if len(edges) < 2:
+        return np.zeros((len(x), 1))
+    code = (x[:, None] - edges[:-1]) / np.diff(edges)
+    code[:, 1:] = np.maximum(code[:, 1:], 0.0)
+    code[:, :-1] = np.minimum(code[:, :-1], 1.0)
+    return code
+
+
+def _edge_blocks(table, count):
+    """(first position, edges of each) for blocks of positions that hold ``EDGES`` numbers at most."""
+    width = table.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
+    step = max(1, EDGES // count)
+    for first in range(0, width, step):
+        rows = table.filter(F.col("pos").between(first, first + step - 1)).collect()
+        yield first, [np.array(r["edges"]) for r in sorted(rows, key=lambda r: r["pos"])]
+
+
+def _through_edges(rows, table, count, each, out, kind):
+    """Rows (key, features) with ``out``: what ``each`` makes of every cell, in place.
+
+    Rows stay where they are, whatever the width; only edges travel, block by block.
+    """
+    key = rows.columns[0]
+    key_kind = rows.schema[key].dataType.simpleString()
+    empty = F.array().cast(f"array<{kind}>")
+    rows = shipped(rows.select(key, "features", empty.alias(out)))
+    for first, edges in list(_edge_blocks(table, count)):
+        shared = rows.sparkSession.sparkContext.broadcast(edges)
+
+        def run(batches, first=first, shared=shared):
+            for batch in batches:
+                edges = shared.value
+                cells = batch.column(1).flatten()
+                x = cells.to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                gone = cells.is_null().to_numpy(zero_copy_only=False).reshape(x.shape)
+                made = [each(x[:, first + i], e) for i, e in enumerate(edges)]
+                before = batch.column(2).to_pylist()
+                lists = [[*b, *(None if gone[r, first + i] else m[r].tolist() for i, m in enumerate(made))] for r, b in enumerate(before)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, batch.schema.field(2).type)], [key, "features", out])
+
+        rows = rows.mapInArrow(run, f"`{key}` {key_kind}, features array<double>, {out} array<{kind}>")
+    return rows
 
 
 def quantile_normal(df, row_id, count, fit_on=None, clip=1e-7) -> DataFrame:
@@ -94,19 +142,10 @@ def quantile_normal(df, row_id, count, fit_on=None, clip=1e-7) -> DataFrame:
 
     Returns (row_id, features). Shares are kept ``clip`` away from 0 and 1.
     """
-    edges = quantile_table(df if fit_on is None else fit_on, count)
-    long = positions(df, [row_id]).join(edges, "pos")
-    share = F.least(F.greatest(_quantile_share(F.col("x"), F.col("edges")), F.lit(clip)),
-                    F.lit(1 - clip))
-    return _wide(long.select(row_id, "pos", inverse_normal(share).alias("x")), row_id)
-
-
-def _wide(long, row_id):
-    """Back to one array per row; a row has as many cells as features."""
-    return long.groupBy(row_id).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"])
-        .alias("features")
-    )
+    table = cut_lineage(quantile_table(df if fit_on is None else fit_on, count))
+    shares = _through_edges(df.select(row_id, "features"), table, count, _quantile_share, "shares", "double")
+    inside = lambda p: inverse_normal(F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip)))
+    return shares.select(row_id, F.transform("shares", inside).alias("features"))
 
 
 def piecewise_linear_encode(df, row_id, bins, fit_on=None) -> DataFrame:
@@ -114,12 +153,9 @@ def piecewise_linear_encode(df, row_id, bins, fit_on=None) -> DataFrame:
 
     Equal quantiles are merged, so a position with few distinct values has fewer bins.
     """
-    edges = quantile_table(df if fit_on is None else fit_on, bins + 1).select(
-        "pos", F.array_distinct("edges").alias("edges")
-    )
-    long = positions(df, [row_id]).join(edges, "pos")
-    code = F.when(F.size("edges") > 1, piecewise_linear(F.col("x"), F.col("edges")))
-    return long.select(row_id, "pos", code.otherwise(F.array(F.lit(0.0))).alias("encoding"))
+    table = cut_lineage(quantile_table(df if fit_on is None else fit_on, bins + 1))
+    codes = _through_edges(df.select(row_id, "features"), table, bins + 1, _linear_codes, "codes", "array<double>")
+    return codes.select(row_id, F.posexplode("codes").alias("pos", "encoding"))
 
 
 def group_membership(df, attributes) -> DataFrame:
@@ -145,7 +181,3 @@ def centred_membership(df) -> DataFrame:
     fitted = df.withColumn("_s", _as_array(shares, "share"))
     centred = F.zip_with("membership", "_s", lambda g, s: g - s["share"])
     return fitted.withColumn("membership", centred).drop("_s")
-
-
-def norm(features):
-    return F.sqrt(total(F.transform(features, lambda x: x * x)))

@@ -1,13 +1,15 @@
 """Boosting against plain loops, stage choice and written runs against SQL."""
 import glob
+import itertools
 import json
+import math
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallybench.plans import boosting as B, runs as R, supervised as M
+from tallybench.plans import attribution as A, boosting as B, runs as R, supervised as M
 
 
 def table(spark, x, y, split=None):
@@ -126,3 +128,49 @@ def test_an_unfinished_run_is_not_read(spark, tmp_path):
         R.run(table(spark, x, y), {"broken": broken}, str(tmp_path), "two")
     with pytest.raises(FileNotFoundError):
         R.read_metrics(spark, str(tmp_path / "two"))
+
+
+def expectation(model, counts, r, c, x, known):
+    """What a tree expects when only the features in ``known`` are known."""
+    def below(node):
+        inner = len(model.feature[r, c])
+        return counts[r, c][node - inner] if node >= inner else below(2 * node + 1) + below(2 * node + 2)
+
+    def value(node):
+        inner = len(model.feature[r, c])
+        if node >= inner:
+            return model.value[r, c][node - inner]
+        f = model.feature[r, c][node]
+        left, right = 2 * node + 1, 2 * node + 2
+        if f < 0:
+            return value(left)
+        if f in known:
+            return value(left) if x[f] <= model.cut[r, c][node] else value(right)
+        share = below(left) / below(node) if below(node) else 0.5
+        return share * value(left) + (1 - share) * value(right)
+
+    return value(0)
+
+
+@pytest.mark.parametrize("objective", ["binary", "classes"])
+def test_tree_values_equal_enumeration(spark, objective):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 8))
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(int) + ((x[:, 3] > 0.5) if objective == "classes" else 0)
+    df = table(spark, x, y)
+    model = B.boost(df, objective=objective, rounds=4, rate=0.4, depth=4)
+    few = df.filter("row_id < 6")
+    values, base = A.tree_shapley(model, few, df)
+    got = {(r.row_id, r["class"], r.feature): r.value for r in values.collect()}
+    assert len(got) == 6 * len(model.start) * 8
+    counts = A.leaf_counts(model, df)
+    assert counts.sum(axis=2).min() == counts.sum(axis=2).max() == 400
+    subsets = [frozenset(s) for k in range(9) for s in itertools.combinations(range(8), k)]
+    for i in range(6):
+        for c in range(len(model.start)):
+            game = {s: sum(expectation(model, counts, r, c, x[i], s) for r in range(4)) for s in subsets}
+            for f in range(8):
+                want = sum(math.factorial(len(s)) * math.factorial(7 - len(s)) / math.factorial(8) * (game[s | {f}] - game[s]) for s in subsets if f not in s)
+                assert got[i, c, f] == pytest.approx(want, abs=1e-10)
+            total = sum(got[i, c, f] for f in range(8))
+            assert total + base[c] == pytest.approx(model.margins(x[i: i + 1])[1][0, c], abs=1e-10)
