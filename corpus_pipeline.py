@@ -7,11 +7,13 @@ documents; the last returns the pieces of the packed sequences.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybench.llm import groups, language, minhash, packing, pii, substrings
+from tallybench.llm import groups, language, minhash, packing, pii, substrings, workers
 from tallybench.session import cut_lineage, scratch_folder
 
 
@@ -20,6 +22,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+@_tidy
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no clear language, go. Learns from three quarters.
 
@@ -32,11 +35,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.identified(docs, model)
 
 
+def _tidy(stage):
+    """A stage that starts on a driver without the leftovers of the one before."""
+
+    @functools.wraps(stage)
+    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        workers.tidy_driver(spark)
+        return stage(spark, docs, sf_dir)
+
+    return tidied
+
+
 def _packed(docs: DataFrame, *more) -> DataFrame:
     """Rows as one struct ``row``, so that no column of theirs meets one of the stage's."""
     return docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), *more)
 
 
+@_tidy
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (five words, similarity 0.8).
 
@@ -53,6 +68,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.where("not _maybe").select("row").unionByName(unsure.select("row")).select("row.*")
 
 
+@_tidy
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut; documents of nothing else go.
 
@@ -65,11 +81,13 @@ def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _counted(left.select(*((F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns)))
 
 
+@_tidy
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
     return _counted(pii.redact(docs, pii.train(docs)))
 
 
+@_tidy
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 1024 tokens."""
     return packing.packed(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
