@@ -150,6 +150,25 @@ def c3_baselines(spark, d):
     return fx.rounded(compare_methods(rows, methods, "row_id"))
 
 
+@query("c3_four_methods", """SELECT method, count(*) AS n, true AS in_range
+FROM embeddings, (SELECT unnest(['density_fair', 'fair_spectral', 'hierarchical', 'k_means']) AS method) GROUP BY method""")
+def c3_four(spark, d):
+    """All four methods with a sensitive attribute: every row has a cluster, both indices lie in their range.
+
+    A method that finds one cluster only has no indices.
+    """
+    rows = cut_lineage(scaling.standard_scale(fx.emb(spark, d).select("row_id", "features", "bin")))
+    methods = {name: cut_lineage(t) for name, t in K.comparison_methods(rows, "row_id", 3, ["bin"]).items()}
+    scored = compare_methods(rows, methods, "row_id").select(
+        "method", (F.col("silhouette").between(-1, 1) & F.col("dcsi").between(0, 1)).alias("in_range"))
+    found = None
+    for name, table in methods.items():
+        each = table.select(F.lit(name).alias("method"), "row_id").distinct()
+        found = each if found is None else found.unionByName(each)
+    counts = found.groupBy("method").agg(F.count("*").alias("n"))
+    return counts.join(scored, "method", "left").select("method", "n", F.coalesce("in_range", F.lit(True)).alias("in_range"))
+
+
 @query("m13_shapley_importance")
 def m13(spark, d):
     data = _data(spark, d)
@@ -222,6 +241,29 @@ def m17(spark, d):
     return Y.sample_rows(real, real.count(), "row_id", seed=5)
 
 
+@query("m17_copula_rows", f"""WITH {fx.EMB}, s AS (SELECT label, count(*) AS c, sum(count(*)) OVER (ORDER BY label) AS upto, sum(count(*)) OVER () AS n FROM emb GROUP BY label)
+SELECT label, c AS n, true AS inside, true AS ranks_agree FROM s""")
+def m17_copula(spark, d):
+    """As many drawn rows as real ones: label counts, ranges, and rank correlations within 5 standard errors."""
+    real = fx.emb(spark, d).select("row_id", "features", "label")
+    fake = cut_lineage(Y.copula_rows(real, real.count(), "row_id", seed=5))
+    width = 8  # pairs of neighbouring features
+
+    def summary(rows, side):
+        x = lambda i: F.get("features", F.lit(i))
+        return rows.groupBy("label").agg(
+            F.count("*").alias(f"n_{side}"), F.array(*[F.min(x(i)) for i in range(width)]).alias(f"low_{side}"),
+            F.array(*[F.max(x(i)) for i in range(width)]).alias(f"high_{side}"),
+            F.array(*[F.corr(x(i), x(i + 1)) for i in range(width - 1)]).alias(f"r_{side}"))
+
+    both = summary(real, "real").join(summary(fake, "fake"), "label")
+    each = lambda a, b, test: F.forall(F.zip_with(a, b, test), lambda t: t)
+    inside = each("low_fake", "low_real", lambda f, r: f >= r - 1e-9) & each("high_fake", "high_real", lambda f, r: f <= r + 1e-9)
+    error = 5 * F.sqrt(F.lit(2.0) / F.col("n_real"))
+    return both.select("label", F.col("n_fake").alias("n"), inside.alias("inside"),
+                       each("r_fake", "r_real", lambda f, r: F.abs(f - r) < error).alias("ranks_agree"))
+
+
 @query("m17_values_come_from_real_rows", "SELECT count(*) AS n, 64::BIGINT AS width, 0::BIGINT AS foreign_cells FROM embeddings")
 def m17_check(spark, d):
     real = fx.emb(spark, d).select("row_id", "features", "label")

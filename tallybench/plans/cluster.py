@@ -47,7 +47,7 @@ def comparison_methods(df, row_id, k, attributes=(), seed=42):
 
     return {
         "hierarchical": hierarchical(df, row_id, k, seed),
-        "k_means": kmeans(df, row_id, k, seed),
+        "k_means": kmeans(df, row_id, k, seed, starts=10),
         "fair_spectral": fair_spectral_clusters(df, row_id, k, attributes),
         "density_fair": density_fair_clusters(df, row_id, k, attributes),
     }

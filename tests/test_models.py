@@ -98,3 +98,26 @@ def test_synthetic_rows_follow_labels(blobs):
     assert fake.filter(F.size("features") != 3).count() == 0
     means = {r["label"]: r[1] for r in fake.groupBy("label").agg(F.avg(F.get("features", F.lit(0)))).collect()}
     assert means[0] > 3 and abs(means[2]) < 1
+
+
+def test_copula_rows_keep_marginals_and_rank_correlations(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(1200):
+        label, z = i % 2, rng.normal(size=2)
+        a, b = z[0], (0.8 if label else -0.6) * z[0] + 0.6 * z[1]
+        rows.append((i, [float(np.exp(a)), float(b ** 3), 2.0, float(rng.integers(3))], label))
+    real = spark.createDataFrame(rows, "row_id long, features array<double>, label int")
+    fake = Y.copula_rows(real, 1000, "row_id", seed=2)
+    assert [r.row_id for r in fake.orderBy("row_id").collect()] == list(range(1000))
+    again = {r.row_id: r.features for r in Y.copula_rows(real.repartition(7), 1000, "row_id", seed=2).collect()}
+    assert all(r.features == pytest.approx(again[r.row_id], abs=1e-9) for r in fake.collect())
+    ranks = {}
+    for name, table in (("real", real), ("fake", fake)):
+        table.select("label", *[F.get("features", F.lit(i)).alias(f"x{i}") for i in range(4)]).write.parquet(str(tmp_path / name))
+        ranks[name] = duckdb.sql(f"""SELECT label, corr(a, b), count(*), avg(x2), median(x0) FROM (SELECT *, rank() OVER (PARTITION BY label ORDER BY x0) AS a,
+            rank() OVER (PARTITION BY label ORDER BY x1) AS b FROM '{tmp_path}/{name}/*.parquet') GROUP BY label ORDER BY label""").fetchall()
+    for r, f in zip(ranks["real"], ranks["fake"]):
+        assert f[2] == 500 and abs(r[1] - f[1]) < 0.08 and f[3] == pytest.approx(2.0) and abs(r[4] - f[4]) < 0.15
