@@ -17,6 +17,17 @@ from tallybench.llm import groups, language, minhash, packing, pii, substrings,
 from tallybench.session import cut_lineage, scratch_folder
 
 
+def _tidy(stage):
+    """A stage that starts on a driver without the leftovers of the one before."""
+
+    @functools.wraps(stage)
+    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        workers.tidy_driver(spark)
+        return stage(spark, docs, sf_dir)
+
+    return tidied
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars``, where there is one, follows the text."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
@@ -35,17 +46,6 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.identified(docs, model)
 
 
-def _tidy(stage):
-    """A stage that starts on a driver without the leftovers of the one before."""
-
-    @functools.wraps(stage)
-    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        workers.tidy_driver(spark)
-        return stage(spark, docs, sf_dir)
-
-    return tidied
-
-
 def _packed(docs: DataFrame, *more) -> DataFrame:
     """Rows as one struct ``row``, so that no column of theirs meets one of the stage's."""
     return docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), *more)
