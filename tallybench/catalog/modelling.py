@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classification as C, generative as G, scaling, statistics as S, tables as T
 from ..operators.clustering import compare_methods
-from ..plans import attribution as A, boosting as B, cluster as K, explain as X, labelling as L, runs as R, spectral, supervised as M, synth as Y
+from ..plans import attribution as A, boosting as B, cluster as K, explain as X, labelling as L, runs as R, spectral, supervised as M, synth as Y, ward as W
 from ..sources import split_files
 from ..session import cut_lineage, scratch_folder
 from . import fixtures as fx
@@ -125,6 +125,12 @@ def m8(spark, d):
     return K.hierarchical(rows, "row_id", 3)
 
 
+@query("m8_ward", "SELECT vec_id AS row_id, true AS assigned FROM embeddings")
+def m8_ward(spark, d):
+    rows = scaling.standard_scale(fx.emb(spark, d).select("row_id", "features"))
+    return W.ward(rows, "row_id", 3).select("row_id", F.col("cluster").between(0, 2).alias("assigned"))
+
+
 @query("m9_fair_spectral")
 def m9(spark, d):
     rows = scaling.standard_scale(fx.emb(spark, d).select("row_id", "features", "bin"))
