@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 from collections.abc import Callable
 from typing import Any
 
@@ -25,17 +24,6 @@ def release() -> None:
         trim(0)
 
 
-def tidy_driver(spark) -> None:
-    """Between stages, drop what the driver only remembers: plans, broadcasts, shuffles.
-
-    Spark cleans up after objects of the JVM that were collected, and Python's references
-    keep them from being so.
-    """
-    gc.collect()
-    release()
-    spark.sparkContext._jvm.System.gc()
-
-
 def start(owner: str) -> None:
     """Begin a task of ``owner``: what tasks of other operators kept is let go."""
     others = [k for k in _kept if k[0] != owner]
