@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import encode
+from ..functions.distance import total
 from ..operators import scaling, tables as T
 from . import fixtures as fx
 from .fixtures import r
@@ -60,7 +61,7 @@ def p4(spark, d):
 SELECT row_id, label, {r('list_sum(features)')} AS feature_sum, len(features) AS width FROM emb""")
 def p5(spark, d):
     X, y = T.features_and_label(fx.emb(spark, d).select("row_id", "features", "label"), "label", "row_id")
-    sums = X.select("row_id", scaling.total(F.col("features")).alias("feature_sum"),
+    sums = X.select("row_id", total(F.col("features")).alias("feature_sum"),
                     F.size("features").cast("long").alias("width"))
     return fx.rounded(y.join(sums, "row_id"))
 
@@ -104,7 +105,7 @@ FROM lineitem GROUP BY ALL""")
 def p10(spark, d):
     rows = T.to_features(fx.table(spark, d, "lineitem").select("l_returnflag", *VALUES), VALUES)
     return fx.rounded(rows.groupBy("l_returnflag").agg(
-        F.count("*").alias("n"), F.sum(scaling.total(F.col("features"))).alias("cells")), 3)
+        F.count("*").alias("n"), F.sum(total(F.col("features"))).alias("cells")), 3)
 
 
 @query("p11_attribute_code", "SELECT s_suppkey, trunc(abs(s_acctbal))::INT AS code FROM supplier")

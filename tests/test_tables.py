@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import tallybench.catalog  # noqa: F401  (registers the queries)
+from tallybench.catalog.registry import QUERIES
 from tallybench.functions import encode
 from tallybench.operators import ordered, pairs, scaling, tables as T
 
@@ -83,3 +85,14 @@ def test_pair_matrix_equals_dense_blocks(spark):
     assert got == {(0, 0): 2.0, (2, 0): 2.0, (1, 2): 5.0, (3, 2): 5.0, (5, 1): 3.0, (6, 4): 7.0}
     senses = [r["sense"] for r in pairs.pair_constraints(spark, 2, 2).orderBy("row").collect()]
     assert "".join(senses) == ">><<====>"
+
+
+def test_feature_sums_of_written_tables(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(7, [0.5, 2.0], 6), (8, [-1.0, 1.0], 9)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([("A", 1.0, 0.1, 0.2), ("A", 2.0, 0.0, 0.3), ("R", 5.0, 0.25, 0.0)],
+                          "l_returnflag string, l_quantity double, l_discount double, l_tax double").write.parquet(f"{d}/lineitem.parquet")
+    rows = {r["row_id"]: r for r in QUERIES["p5_features_and_label"](spark, d).collect()}
+    assert [(rows[i]["label"], rows[i]["feature_sum"], rows[i]["width"]) for i in (7, 8)] == [(1, 2.5, 2), (4, 0.0, 2)]
+    got = {r["l_returnflag"]: (r["n"], r["cells"]) for r in QUERIES["p10_feature_vector"](spark, d).collect()}
+    assert got == {"A": (2, 3.6), "R": (1, 5.25)}
