@@ -1,9 +1,10 @@
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallybench.operators import clustering as C, descent, generative as G, neighbours as N
+from tallybench.operators import blocks, clustering as C, descent, generative as G, neighbours as N
 
 
 @pytest.fixture(params=[2048, 8])
@@ -113,6 +114,85 @@ def test_beta_recall_equals_brute_force(points, spark):
     assert G.alpha_precision(real, fake).first()[0] == pytest.approx(want, abs=0.02)
 
 
+def test_rows_on_a_line_form_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=300).round(2) + 1e7, [5.0], np.full(20, 1e7)])
+    df = spark.createDataFrame([(int(i), [float(v)]) for i, v in enumerate(x)], "row_id long, features array<double>")
+
+    def none(*_, **__):
+        raise AssertionError("pairs of rows")
+
+    monkeypatch.setattr(N, "_tiled", none)
+    monkeypatch.setattr(N, "BLOCK", 16)  # blocks of places overlap
+    d = np.abs(x[:, None] - x[None])
+    got = {r["row_id"]: r for r in N.distance_summary(df, "row_id").collect()}
+    assert np.allclose([got[i]["total"] for i in range(len(x))], d.sum(1), rtol=1e-12, atol=1e-6)
+    assert np.allclose([got[i]["mean"] for i in range(len(x))], d.sum(1) / (len(x) - 1), rtol=1e-12, atol=1e-8)
+    for k in (1, 2, 5, 30):
+        far = {r[0]: r[1] for r in N.kth_distance(df, "row_id", k).collect()}
+        assert [far[i] for i in range(len(x))] == pytest.approx(np.sort(d, axis=1)[:, k - 1])
+
+
+def test_few_rows_on_a_line(spark):
+    schema = "row_id long, features array<double>"
+    same = spark.createDataFrame([(1, [2.0]), (2, [2.0])], schema)
+    assert [tuple(r) for r in N.distance_summary(same, "row_id").orderBy("row_id").collect()] == [(1, 0.0, 0.0), (2, 0.0, 0.0)]
+    assert [tuple(r) for r in N.kth_distance(same, "row_id", 2).orderBy("row_id").collect()] == [(1, 0.0), (2, 0.0)]
+    one = N.distance_summary(same.limit(1), "row_id").first()
+    assert one["total"] == 0.0 and one["mean"] is None
+    assert N.distance_summary(same.limit(0), "row_id").count() == 0 and N.kth_distance(same.limit(0), "row_id", 2).count() == 0
+    odd = spark.createDataFrame([(1, [2.0]), (2, [None]), (3, [4.0])], schema)
+    assert all(np.isnan(r["total"]) for r in N.distance_summary(odd, "row_id").collect())
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "hamming"])
+def test_many_dimensions_send_a_row_to_few_tiles(spark, metric, monkeypatch):
+    """Cells rule out nothing here; as many tiles as cells would be sent otherwise."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(N, "FIRST_PAIRS", 4)
+    monkeypatch.setattr(N, "GRID", 4)
+    monkeypatch.setattr(blocks, "SIDE", 32)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 30))
+    x[:40] = x[0]
+    if metric == "hamming":
+        x = (x > 0).astype(float)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, features array<double>")
+    sides, tiled = [], N._tiled
+
+    def seen(queries, rows, q_blocks, c_blocks, run, schema):
+        sides.append((max(q_blocks), max(c_blocks)))
+        return tiled(queries, rows, q_blocks, c_blocks, run, schema)
+
+    monkeypatch.setattr(N, "_tiled", seen)
+    d = dist(x) if metric == "euclidean" else (x[:, None] != x[None]).mean(-1)
+    lists = {}
+    for r in N.knn_graph(df, "row_id", 6, metric).collect():
+        lists.setdefault(r["i"], []).append((r["rank"], r["j"], r["distance"]))
+    assert sides[-1] == (4, 4)  # the grid, and no larger one
+    for i in range(len(x)):
+        order = sorted((round(d[i, j], 9), j) for j in range(len(x)) if j != i)[:6]
+        assert [(round(v, 9), j) for _, j, v in sorted(lists[i])] == order
+    totals = {r["row_id"]: r["total"] for r in N.distance_summary(df, "row_id", metric).collect()}
+    assert np.allclose([totals[i] for i in range(len(x))], d.sum(1)) and sides[-1] == (4, 4)
+    got = N.farthest_search(df, "row_id", metric).first()
+    assert got.diameter == pytest.approx(d.max(), rel=1e-12)
+
+
+def test_visits_go_out_a_few_rows_at_a_time(monkeypatch):
+    monkeypatch.setattr(blocks, "SENT", 8)
+    rng = np.random.default_rng(9)
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    rows = pd.DataFrame({"q": range(50), "features": list(rng.normal(size=(50, 3))), "cell": 0, "bound": np.inf})
+    run = blocks.visits(Shared(rng.normal(size=(20, 3))), Shared(np.ones(20)), "euclidean")
+    sent = [len(f) for f in run([rows])]
+    assert max(sent) <= 8 and sum(sent) == 50 * 19
+
+
 @pytest.mark.parametrize("offset", [0.0, 1e5, 1e8])
 def test_distances_do_not_depend_on_the_origin(spark, offset, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_ROWS", 64)
