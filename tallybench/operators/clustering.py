@@ -75,8 +75,8 @@ def _side_by_side(**tables):
         F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in tables])
 
 
-def dcsi(df, row_id, cluster="cluster") -> DataFrame:
-    """Density-based separation index in [0, 1].
+def dcsi(df, row_id, cluster="cluster", span=None) -> DataFrame:
+    """Density-based separation index in [0, 1]; ``span`` is the largest row distance, if known.
 
     (min centroid distance / largest row distance) * (1 - mean distance to the own
     centroid / largest row distance). The largest distance is over all rows, noise
@@ -94,7 +94,7 @@ def dcsi(df, row_id, cluster="cluster") -> DataFrame:
         F.array_min(pairs).alias("inter"))
     labels = df.agg(F.countDistinct(
         F.when(F.col(cluster) != -1, F.col(cluster))).cast("double").alias("k"))
-    parts = _side_by_side(k=labels, intra=inner, inter=near, span=diameter(df, row_id))
+    parts = _side_by_side(k=labels, intra=inner, inter=near, span=diameter(df, row_id) if span is None else span)
     intra, inter, span = F.col("intra"), F.col("inter"), F.col("span")
     value = clip01(F.try_divide(inter, span) * (1 - F.try_divide(intra, span)))
     return parts.select(
@@ -107,15 +107,22 @@ def compare_methods(points, assignments, row_id) -> DataFrame:
 
     ``assignments`` maps a method name to its (row_id, cluster) table.
     """
-    out = None
+    out, span = None, None
     for method, table in assignments.items():
         joined = points.select(row_id, "features").join(table, row_id)
+        several = joined.agg(F.countDistinct(F.col("cluster").cast("int")) > 1).first()[0]
+        whole = several and points.join(table, row_id, "left_anti").isEmpty()
+        if whole and span is None:  # the same for all methods that place every row
+            span = diameter(points, row_id)
+        # Without a second label there is no silhouette, and no row.
         row = _side_by_side(
-            silhouette=silhouette(joined, row_id), dcsi=dcsi(joined, row_id),
+            silhouette=silhouette(joined, row_id), dcsi=dcsi(joined, row_id, span=span if whole else None),
             clusters=cluster_count(joined),
         ).select(F.lit(method).alias("method"), "silhouette", "dcsi",
-                 F.col("clusters").cast("long").alias("clusters"))
-        # The silhouette is null exactly when there is a single label.
-        row = row.filter(F.col("silhouette").isNotNull())
-        out = row if out is None else out.unionByName(row)
+                 F.col("clusters").cast("long").alias("clusters")) if several else None
+        if row is not None:
+            row = row.filter(F.col("silhouette").isNotNull())
+            out = row if out is None else out.unionByName(row)
+    if out is None:
+        return points.sparkSession.createDataFrame([], "method string, silhouette double, dcsi double, clusters long")
     return out

@@ -91,6 +91,22 @@ def test_dcsi_branches(spark, rows, want):
     assert C.dcsi(df, "row_id").first()[0] == pytest.approx(want)
 
 
+def test_methods_are_compared_with_one_diameter(points, spark, monkeypatch):
+    df, x = points
+    calls, searched = [], C.diameter
+    monkeypatch.setattr(C, "diameter", lambda *a: calls.append(a) or searched(*a))
+    label = lambda f: df.select("row_id", f.cast("int").alias("cluster"))
+    id3, id2 = F.col("row_id") % 3, F.col("row_id") % 2
+    tables = {"three": label(id3), "two": label(id2), "one": label(F.lit(0)), "some": label(id2).filter("row_id < 30")}
+    got = {r["method"]: r for r in C.compare_methods(df, tables, "row_id").collect()}
+    assert set(got) == {"three", "two", "some"} and len(calls) == 2
+    for name in got:
+        each = df.select("row_id", "features").join(tables[name], "row_id")
+        assert got[name]["dcsi"] == pytest.approx(C.dcsi(each, "row_id").first()[0])
+        assert got[name]["silhouette"] == pytest.approx(C.silhouette(each, "row_id").first()[0])
+    assert C.compare_methods(df, {"one": tables["one"]}, "row_id").count() == 0
+
+
 def test_beta_recall_equals_brute_force(points, spark):
     df, x = points
     rng = np.random.default_rng(3)
