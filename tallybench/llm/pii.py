@@ -9,11 +9,11 @@ those above a threshold, calibrated for precision on half of the training candid
 kept and overlaps are merged. What a base span covers is left to it; the rest of the secret
 is reported, in parts if need be, where it holds a letter or a digit.
 
-The trees learn from a bounded sample (about ``SAMPLE`` texts that hold a digit) labelled by
-strong checks: known key formats, identity numbers and values assigned to a telling name are
-personal, all other candidates and long plain words are not. If a sample holds one label
-only, the strong checks decide alone. Trees are applied as column expressions, so no Python
-runs on executors.
+The trees learn from the candidates of all texts, labelled by strong checks: known key
+formats, identity numbers and values assigned to a telling name are personal, all other
+candidates and long plain words are not. Candidates of equal format and context are one
+training row of their number. If there is one label only, the strong checks decide alone.
+Trees are applied as column expressions, so no Python runs on executors.
 
 Null texts count as empty: no spans. Repeated rows give repeated results; columns other
 than the key and the text are not read by ``find_spans`` and stay as they are in ``redact``.
@@ -30,9 +30,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-SAMPLE = 4000
-SAMPLE_PARTS = 4     # partitions of the sample's candidates, dealt anew so that the scan keeps its own
-PLAIN_SHARE = 8      # one in so many distinct plain words teaches what no secret looks like
 PRECISION = 0.95
 TREES, DEPTH = 8, 3
 
@@ -191,22 +188,21 @@ def outside(spans: Column, base: Column) -> Column:
     return F.flatten(F.transform(spans, left))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Detector:
-    """Fit the trees on about ``sample`` texts with a digit, chosen by a hash of the key."""
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.col("_text").rlike("[0-9]"))
-    part = -(-max(rows.count(), 1) // sample)
-    rows = rows.where(F.pmod(F.xxhash64("_key"), F.lit(part)) == 0)
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Detector:
+    """Fit the trees on half of all texts, by a hash of the key; the threshold comes from the other half."""
+    rows = docs.select((F.pmod(F.hash(key), F.lit(2)) == 0).alias("fit"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     t = F.col("_text")
-    spans = F.concat(*(matches(t, p, needs) for p, needs in GENERATORS), F.filter(matches(t, PLAIN_WORDS, "[A-Za-z]{12}"), lambda s: F.pmod(F.xxhash64(s["value"]), F.lit(PLAIN_SHARE)) == 0))
-    found = rows.select("_key", t, F.explode(spans).alias("s")).select("_key", F.col("s.value").alias("value"), _left(t, F.col("s")).alias("left"))
+    spans = F.concat(*(matches(t, p, needs) for p, needs in GENERATORS), matches(t, PLAIN_WORDS, "[A-Za-z]{12}"))
+    found = rows.select("fit", t, F.explode(spans).alias("s")).select("fit", F.col("s.value").alias("value"), _left(t, F.col("s")).alias("left"))
     named = [c.alias(n) for n, c in zip(FEATURES, features(F.col("value"), F.col("left")))]
-    found = found.select(strong(F.col("value"), F.col("left")).cast("double").alias("label"), (F.pmod(F.hash("_key"), F.lit(2)) == 0).alias("fit"), *named)
-    found = cut_lineage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found).repartition(SAMPLE_PARTS))
+    found = found.select(strong(F.col("value"), F.col("left")).cast("double").alias("label"), "fit", *named)
+    found = found.groupBy("label", "fit", *FEATURES).agg(F.count("*").cast("double").alias("weight"))
+    found = cut_lineage(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
     if {r[0] for r in found.where("fit").select("label").distinct().collect()} != {0.0, 1.0}:
         return Detector()
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5).fit(found.where("fit"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, weightCol="weight").fit(found.where("fit"))
     margin = F.round(_score(model, [F.col(n) for n in FEATURES]), 6)
-    held = found.where(~F.col("fit")).groupBy(margin.alias("m")).agg(F.sum("label").alias("hits"), F.count("*").alias("n")).orderBy(F.desc("m")).collect()
+    held = found.where(~F.col("fit")).groupBy(margin.alias("m")).agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("n")).orderBy(F.desc("m")).collect()
     hits = n = 0
     threshold = 0.0
     for row in held:  # the lowest threshold that keeps the precision

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallybench.llm import pii
 
@@ -76,6 +77,14 @@ def test_added_spans(spark, secrets):
         assert ("[SECRET]" in r.text) == (r.doc_id % 6 < 3) and not re.search("AKIA|[0-9a-f]{18}", r.text)
 
 
+def test_training_reads_all_texts(spark):
+    """Secrets in one half of the keys only, and in texts that a sample of 4000 would leave out."""
+    even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    key = F.concat(F.lit("password=x7"), F.col("doc_id").cast("string"), F.lit("q9z"))
+    docs = spark.range(8000).withColumnRenamed("id", "doc_id").withColumn("text", F.when(even, F.lit("version-of-2019-and-later")).otherwise(key))
+    assert pii.train(docs).model is not None
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a@b.c é +49 151 23456789, 4111111111111111"), (2, None), (3, "none"), (4, "1.1.1.1@2.2.2.2 end")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(docs, pii.Detector()).collect()}
