@@ -5,6 +5,11 @@ from pyspark.sql import Column, functions as F
 from .distance import total
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, also where a lambda inside names it for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
@@ -16,8 +21,13 @@ def binary_decision(logit: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Softmax of an array column, shifted by its maximum so exp cannot overflow."""
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(shifted, lambda e: e / total(shifted))
+    shifted = once(logits, lambda v: once(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    return shares(shifted)
+
+
+def shares(values: Column) -> Column:
+    """Each value divided by their sum."""
+    return once(values, lambda v: once(total(v), lambda whole: F.transform(v, lambda x: x / whole)))
 
 
 def argmax(values: Column) -> Column:
@@ -27,11 +37,13 @@ def argmax(values: Column) -> Column:
 
 def mean_of_members(members: Column) -> Column:
     """Position-wise mean of an array of equally long arrays."""
-    first = F.transform(F.element_at(members, 1), lambda x: x * 0.0)
-    summed = F.aggregate(
-        members, first, lambda acc, m: F.zip_with(acc, m, lambda x, y: x + y)
-    )
-    return F.transform(summed, lambda s: s / F.size(members))
+
+    def mean(all_):
+        first = F.transform(F.element_at(all_, 1), lambda x: x * 0.0)
+        summed = F.aggregate(all_, first, lambda acc, m: F.zip_with(acc, m, lambda x, y: x + y))
+        return F.transform(summed, lambda s: s / F.size(all_))
+
+    return once(members, mean)
 
 
 def mean_of_values(values: Column) -> Column:
@@ -50,9 +62,10 @@ def bce_with_logits(logit: Column, y: Column) -> Column:
 
 def cross_entropy(logits: Column, y: Column) -> Column:
     """-log softmax(logits)[y]."""
-    top = F.array_max(logits)
-    log_norm = top + F.log(total(F.transform(logits, lambda x: F.exp(x - top))))
-    return log_norm - F.element_at(logits, y.cast("int") + 1)
+    def log_norm(v):
+        return once(F.array_max(v), lambda top: top + F.log(total(F.transform(v, lambda x: F.exp(x - top)))))
+
+    return once(logits, lambda v: log_norm(v) - F.element_at(v, y.cast("int") + 1))
 
 
 def squared_error(pred: Column, y: Column) -> Column:

@@ -8,8 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.logits import sigmoid
-from ..functions.distance import total
+from ..functions.logits import shares, sigmoid
 from ..operators.classification import binary_bundle, model_split_summary
 from ..operators.regression import regression_scores
 
@@ -92,8 +91,7 @@ def _probability(scored):
         return vector_to_array("probability")
     # One-vs-rest models give margins only: a logistic of twice the margin per
     # class, normalised to sum to one.
-    share = F.transform(vector_to_array("rawPrediction"), lambda m: sigmoid(m * 2))
-    return F.transform(share, lambda p: p / total(share))
+    return shares(F.transform(vector_to_array("rawPrediction"), lambda m: sigmoid(m * 2)))
 
 
 def predict(model, df, row_id="row_id", keep=()) -> DataFrame:

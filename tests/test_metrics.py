@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallybench.operators import classification as C, curves, regression as R, statistics as S
@@ -89,3 +90,17 @@ def test_early_stopping_equals_the_loop(spark):
         for first in (False, True):
             got = S.early_stopping(history(spark, vals), 2, stop_first=first).first()
             assert (got["best_epoch"], got["last_epoch"], got["stopped_early"]) == loop(vals, 2, first)
+
+
+def test_softmax_computes_its_input_once(spark):
+    from tallybench.functions import logits
+    rows = spark.createDataFrame([([[1.0, 3.0], [0.5, 0.0]],), ([[710.0, 0.0], [0.0, 0.0]],), (None,)], "m array<array<double>>")
+    moved = F.transform("m", lambda v: F.transform(v, lambda x: x + 98765.0))
+    out = rows.select(logits.ensemble_probability(moved).alias("p"), logits.cross_entropy(F.get(moved, 1), F.lit(0)).alias("loss"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("98765.0") == 2  # one for each column
+    got = out.collect()
+    e = [1 / (1 + math.exp(2)), 1 / (1 + math.exp(-0.5))]
+    assert got[0]["p"] == pytest.approx([(e[0] + e[1]) / 2, 1 - (e[0] + e[1]) / 2])
+    assert got[0]["loss"] == pytest.approx(-math.log(e[1]), abs=1e-9)
+    assert got[1]["p"] == pytest.approx([0.75, 0.25]) and got[2]["p"] is None and got[2]["loss"] is None
