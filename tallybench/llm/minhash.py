@@ -183,6 +183,16 @@ def check_hubs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("b", "part").cogroup(hubs.groupBy("hub", "hub_part")).applyInArrow(check, "a long, b long")
 
 
+def least_hubs(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the same components as those of nodes ``a`` with hubs ``b``.
+
+    A node and its other hubs are linked with its least one. It has a hub a band at most.
+    """
+    hubs = links.where("a <> b").groupBy("a").agg(F.collect_set("b").alias("hubs"))
+    stars = hubs.select(F.explode(F.array_append("hubs", F.col("a"))).alias("a"), F.array_min("hubs").alias("b"))
+    return stars.where("a <> b").distinct()
+
+
 def check_blocks(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between nodes (node, family, root, n) of one family and different roots.
 
@@ -262,12 +272,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     links = cut_lineage(check_hubs(pairs, sets, percent))
 
     # what may still join components that share a bucket
-    first = components(links)
+    first = components(least_hubs(links))
     placed = shared.where("crowd > 2").select("node", "n", "key", F.col("hub.node").alias("hub"), F.col("crowd").alias("_size"))
     placed = placed.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_size")).where("_low < _high").select("key", "_size")
     open_ = cut_lineage(join_groups(placed.drop("_size"), mixed, ["key"], total))
-    families = components(open_.select(F.col("node").alias("a"), F.col("hub").alias("b"))).select("node", F.col("root").alias("family"))
+    families = components(least_hubs(open_.select(F.col("node").alias("a"), F.col("hub").alias("b")))).select("node", F.col("root").alias("family"))
     unsure = open_.select("node", "n", "root").distinct().join(families, "node")
     more = check_blocks(cut_lineage(unsure), sets, percent)
 

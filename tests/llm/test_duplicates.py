@@ -135,3 +135,14 @@ def test_automaton_finds_what_a_search_finds():
             before.append(words)
         low = min(i for i, b in enumerate(before) if b)
         assert all(f is None or f >= low for f in automaton.first)
+
+
+def test_least_hubs_keep_components_with_few_links(spark):
+    from tallybench.llm.groups import components
+    rng = random.Random(4)
+    rows = [(a, rng.randrange(0, 20)) for a in range(20, 400) for _ in range(30)]  # a crowd with many hubs
+    rows += [(500, 500), (600, 599), (601, 600), (700, 650), (701, 650), (701, 651)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    few = minhash.least_hubs(links)
+    assert few.count() < links.distinct().count() / 5
+    assert sorted(map(tuple, components(few).collect())) == sorted(map(tuple, components(links).collect()))
