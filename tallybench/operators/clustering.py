@@ -4,18 +4,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.distance import euclidean
 from ..functions.encode import clip01
-from ..session import BROADCAST_ROWS, at_most
-from .neighbours import cluster_distance_sums, diameter
+from ..session import BROADCAST_ROWS, at_most, cut_lineage
+from .neighbours import cluster_distance_sums, collapse, diameter
 from .statistics import cluster_count, without_noise
 
 
-def silhouette_rows(df, row_id, cluster="cluster") -> DataFrame:
-    """(rep, cluster, copies, silhouette) of every distinct row, exact Euclidean.
+def _labelled(df, row_id, cluster, method=0):
+    """(rep, features, method, cluster, copies): a row for each vector and cluster."""
+    return collapse(df, row_id, [cluster]).select(
+        "rep", "features", F.lit(method).alias("method"), F.col(cluster).cast("int").alias("cluster"), "copies")
 
-    Noise (-1) counts as an ordinary cluster; a cluster of one row scores 0.
-    """
-    sizes = df.groupBy(F.col(cluster).cast("int").alias("cluster")).agg(F.count("*").alias("size"))
-    sums = cluster_distance_sums(df, row_id, cluster).join(sizes, "cluster")
+
+def _scores(groups):
+    """(method, rep, cluster, copies, silhouette) of the rows of ``groups`` (see ``_labelled``)."""
+    sizes = groups.groupBy("method", "cluster").agg(F.sum("copies").alias("size"))
+    sums = cluster_distance_sums(groups).join(sizes, ["method", "cluster"])
     own = F.col("cluster") == F.col("own")
     inner = F.max(F.when(own, F.try_divide(F.col("total"), F.col("size") - 1)))
     outer = F.min(F.when(~own, F.col("total") / F.col("size")))
@@ -24,16 +27,39 @@ def silhouette_rows(df, row_id, cluster="cluster") -> DataFrame:
     score = F.when(a.isNull(), F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
     return (
-        sums.groupBy("rep", "own", "copies").agg(inner.alias("a"), outer.alias("b"))
-        .select("rep", F.col("own").alias("cluster"), "copies", score.alias("silhouette"))
+        sums.groupBy("method", "rep", "own", "copies").agg(inner.alias("a"), outer.alias("b"))
+        .select("method", "rep", F.col("own").alias("cluster"), "copies", score.alias("silhouette"))
     )
 
 
+def _mean_score():
+    mean = F.sum(F.col("silhouette") * F.col("copies")) / F.sum("copies")
+    return F.when(F.countDistinct("cluster") > 1, mean).alias("silhouette")
+
+
+def silhouette_rows(df, row_id, cluster="cluster") -> DataFrame:
+    """(rep, cluster, copies, silhouette) of every distinct row, exact Euclidean.
+
+    Noise (-1) counts as an ordinary cluster; a cluster of one row scores 0.
+    """
+    return _scores(_labelled(df, row_id, cluster)).drop("method")
+
+
 def silhouette(df, row_id, cluster="cluster") -> DataFrame:
     """Mean silhouette over all rows; null with fewer than two clusters."""
-    rows = silhouette_rows(df, row_id, cluster)
-    mean = F.sum(F.col("silhouette") * F.col("copies")) / F.sum("copies")
-    return rows.agg(F.when(F.countDistinct("cluster") > 1, mean).alias("silhouette"))
+    return silhouette_rows(df, row_id, cluster).agg(_mean_score())
+
+
+def silhouettes(tables, row_id) -> DataFrame:
+    """(method, silhouette) of several (row_id, features, cluster) tables; ``method`` is their number.
+
+    Rows are compared once for all tables.
+    """
+    groups = None
+    for number, table in enumerate(tables):
+        each = _labelled(table, row_id, "cluster", number)
+        groups = each if groups is None else groups.unionByName(each)
+    return _scores(groups).groupBy("method").agg(_mean_score())
 
 
 def squared_silhouette(df, row_id, cluster="cluster") -> DataFrame:
@@ -107,22 +133,21 @@ def compare_methods(points, assignments, row_id) -> DataFrame:
 
     ``assignments`` maps a method name to its (row_id, cluster) table.
     """
+    placed = {method: points.select(row_id, "features").join(table, row_id) for method, table in assignments.items()}
+    # Without a second label there is no silhouette, and no row.
+    placed = {method: joined for method, joined in placed.items() if joined.agg(F.countDistinct(F.col("cluster").cast("int")) > 1).first()[0]}
+    if not placed:
+        return points.sparkSession.createDataFrame([], "method string, silhouette double, dcsi double, clusters long")
+    scores = cut_lineage(silhouettes(placed.values(), row_id))
     out, span = None, None
-    for method, table in assignments.items():
-        joined = points.select(row_id, "features").join(table, row_id)
-        several = joined.agg(F.countDistinct(F.col("cluster").cast("int")) > 1).first()[0]
-        whole = several and points.join(table, row_id, "left_anti").isEmpty()
+    for number, (method, joined) in enumerate(placed.items()):
+        whole = points.join(assignments[method], row_id, "left_anti").isEmpty()
         if whole and span is None:  # the same for all methods that place every row
             span = diameter(points, row_id)
-        # Without a second label there is no silhouette, and no row.
         row = _side_by_side(
-            silhouette=silhouette(joined, row_id), dcsi=dcsi(joined, row_id, span=span if whole else None),
-            clusters=cluster_count(joined),
+            silhouette=scores.filter(F.col("method") == number).select("silhouette"),
+            dcsi=dcsi(joined, row_id, span=span if whole else None), clusters=cluster_count(joined),
         ).select(F.lit(method).alias("method"), "silhouette", "dcsi",
-                 F.col("clusters").cast("long").alias("clusters")) if several else None
-        if row is not None:
-            row = row.filter(F.col("silhouette").isNotNull())
-            out = row if out is None else out.unionByName(row)
-    if out is None:
-        return points.sparkSession.createDataFrame([], "method string, silhouette double, dcsi double, clusters long")
+                 F.col("clusters").cast("long").alias("clusters")).filter(F.col("silhouette").isNotNull())
+        out = row if out is None else out.unionByName(row)
     return out

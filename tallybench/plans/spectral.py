@@ -131,12 +131,51 @@ def _laplacian_step(state, edges, m, n_f, alpha, beta, gamma):
     return sent.groupBy("to").agg(*out, *keep).withColumnRenamed("to", "id")
 
 
+def _constraint_powers(state, edges, n_f, degree, top):
+    """(id, h0..): the constraints times the powers 0 to ``degree`` of the Laplacian over ``top``."""
+    held = state.select("id", "degree", *[F.col(f"f{i}").alias(f"h{i}") for i in range(n_f)])
+    own = F.col("to") == F.col("id")
+    for power in range(degree):
+        names = held.columns[1:]
+        last = _cols("h", n_f * (power + 1))[-n_f:]
+        more = [(F.sum(F.when(own, F.col("degree") * x).otherwise(-F.col("weight") * x)) / F.lit(top)).alias(f"h{n_f * (power + 1) + i}")
+                for i, x in enumerate(last)]
+        held = held.join(edges, "id").groupBy("to").agg(
+            *[F.max(F.when(own, F.col(c))).alias(c) for c in names], *more).withColumnRenamed("to", "id")
+    return cut_lineage(held.drop("degree"))
+
+
+def _corrections(steps, starts, grams, top):
+    """Per step, what of each constraint must be taken off the vectors so that they stay orthogonal to all.
+
+    ``steps`` holds alpha, beta, gamma of y <- alpha L y + beta y + gamma z. With A = L / top every y is
+    a polynomial of A times the first vectors plus powers of A times the constraints f, so its products
+    with f follow from ``starts`` (A^j f times the first vectors) and ``grams`` (f times A^j f). Coefficients
+    of powers grow with their number: meant for about ten steps.
+    """
+    count, (n_f, m) = len(steps) + 1, starts[0].shape
+    inverse = np.linalg.pinv(grams[0])
+    y, y_f = np.eye(1, count)[0], np.zeros((count, n_f, m))  # of A^j times the first vectors, and times f
+    z, z_f = np.zeros(count), np.zeros((count, n_f, m))
+    up = lambda x: np.concatenate([np.zeros_like(x[:1]), x[:-1]])
+    out = []
+    for alpha, beta, gamma in steps:
+        new = alpha * top * up(y) + beta * y + gamma * z
+        new_f = alpha * top * up(y_f) + beta * y_f + gamma * z_f
+        along = sum(new[j] * starts[j] + grams[j] @ new_f[j] for j in range(count))
+        out.append(inverse @ along)
+        new_f[0] -= out[-1]
+        y, y_f, z, z_f = new, new_f, y, y_f
+    return out
+
+
 def smallest_laplacian_vectors(graph, rows, row_id, k, n_f=0, degree=8, tol=1e-3):
     """The k smallest eigenvectors of D - W on rows orthogonal to the constraints.
 
     Chebyshev-filtered subspace iteration. ``graph`` is (i, j, weight), symmetric;
     ``rows`` is (row_id, f0..). Returns (row_id, v0..v{k-1}) and the eigenvalues. Rounds
-    go on until the eigenvalues settle; raises if they have not after ``MOST_ROUNDS``.
+    go on until the eigenvalues settle; raises if they have not after ``MOST_ROUNDS``. The
+    steps of a round are one plan: what keeps them orthogonal is known before (``_corrections``).
     """
     degrees = graph.groupBy(F.col("i").alias("id")).agg(F.sum("weight").alias("degree"))
     loops = degrees.select("id", F.col("id").alias("to"), F.lit(0.0).alias("weight"))
@@ -151,15 +190,24 @@ def smallest_laplacian_vectors(graph, rows, row_id, k, n_f=0, degree=8, tol=1e-3
     names = [f"y{j}" for j in range(m)]
     state = cut_lineage(_project(state, names, n_f))
     low, previous = top / 8, None
+    if n_f:
+        powers = _constraint_powers(state, edges, n_f, degree, top)
+        held = _cols("h", n_f * (degree + 1))
+        grams = np.split(_cross(powers, held[:n_f], held), degree + 1, axis=1)
     for rounds in range(MOST_ROUNDS + 1):
         if rounds == MOST_ROUNDS:
             raise RuntimeError(f"eigenvalues have not settled after {rounds} rounds")
         centre, half = (top + low) / 2, (top - low) / 2
-        for step in range(degree):
-            scale, carry = (1 / half, 0.0) if step == 0 else (2 / half, -1.0)
-            state = _laplacian_step(state, edges, m, n_f, scale, -scale * centre, carry)
+        steps = [(scale, -scale * centre, carry) for scale, carry in [(1 / half, 0.0), *[(2 / half, -1.0)] * (degree - 1)]]
+        if n_f:
+            starts = np.split(_cross(state.join(powers, "id"), held, [F.col(n) for n in names]), degree + 1)
+            off = _corrections(steps, starts, grams, top)
+        for number, step in enumerate(steps):
+            state = _laplacian_step(state, edges, m, n_f, *step)
             if n_f:
-                state = cut_lineage(_project(cut_lineage(state), names, n_f))
+                state = state.withColumns({n: F.col(n) - _combine(_cols("f", n_f), off[number][:, j]) for j, n in enumerate(names)})
+        if n_f:  # what rounding has left
+            state = _project(cut_lineage(state), names, n_f)
         # Rayleigh-Ritz on the filtered vectors: z holds them, y their product.
         state = cut_lineage(_laplacian_step(state, edges, m, n_f, 1.0, 0.0, 0.0))
         y, z = _cols("y", m), _cols("z", m)

@@ -58,6 +58,36 @@ def test_fair_spectral_equals_dense_eigenvalues(spark, blobs):
     assert np.abs(f @ v).max() < 1e-6
 
 
+def test_steps_stay_orthogonal_without_a_pass_each(spark, blobs, monkeypatch):
+    rng = np.random.default_rng(5)
+    w = rng.random((40, 40)) * (rng.random((40, 40)) < 0.2)
+    w = np.triu(w, 1) + np.triu(w, 1).T
+    lap, f, y = np.diag(w.sum(1)) - w, rng.normal(size=(40, 2)), rng.normal(size=(40, 3))
+    f -= f.mean(0)
+    part = f @ np.linalg.pinv(f)
+    y -= part @ y
+    top = 2 * w.sum(1).max()
+    for low in (top / 8, top * 1e-3, top / 2):
+        centre, half = (top + low) / 2, (top - low) / 2
+        steps = [(c / half, -c / half * centre, g) for c, g in [(1, 0.0), *[(2, -1.0)] * 7]]
+        powers = [np.linalg.matrix_power(lap / top, j) @ f for j in range(9)]
+        off = spectral._corrections(steps, [h.T @ y for h in powers], [f.T @ h for h in powers], top)
+        a, z, b, zb = y, 0 * y, y, 0 * y
+        for (alpha, beta, gamma), c in zip(steps, off):
+            a, z = alpha * lap @ a + beta * a + gamma * z, a
+            a = a - part @ a
+            b, zb = alpha * lap @ b + beta * b + gamma * zb - f @ c, b
+            assert np.allclose(a, b, rtol=1e-7, atol=1e-7 * np.abs(a).max())
+    cuts, cut = [], spectral.cut_lineage
+    monkeypatch.setattr(spectral, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    monkeypatch.setattr(spectral, "MOST_ROUNDS", 1)
+    edges = symmetric_graph(knn_graph(blobs.select("row_id", "features"), "row_id", 6))
+    rows, n_f = spectral._constraints(blobs, "row_id", ["sex"])
+    with pytest.raises(RuntimeError):
+        spectral.smallest_laplacian_vectors(cut(edges), rows, "row_id", 4, n_f)
+    assert len(cuts) == 5
+
+
 def test_density_embedding_equals_dense_eigenvalues(blobs):
     d = np.array([r["distance"] for r in kth_distance(blobs, "row_id", 5).orderBy("row_id").collect()])
     s = 1 - d / np.linalg.norm(d)

@@ -107,6 +107,20 @@ def test_methods_are_compared_with_one_diameter(points, spark, monkeypatch):
     assert C.compare_methods(df, {"one": tables["one"]}, "row_id").count() == 0
 
 
+def test_methods_are_compared_in_one_pass(points, spark, monkeypatch):
+    rows, x = points
+    passes, sums = [], N._sums_to
+    monkeypatch.setattr(N, "_sums_to", lambda *a: passes.append(1) or sums(*a))
+    other = rows.select("row_id", (F.col("row_id") % 2).cast("int").alias("cluster"))
+    part = rows.filter("row_id % 5 > 0").select("row_id", (F.col("row_id") % 4).cast("int").alias("cluster"))
+    methods = {"own": rows.select("row_id", "cluster"), "other": other, "part": part, "one": other.withColumn("cluster", F.lit(0))}
+    got = {r["method"]: r["silhouette"] for r in C.compare_methods(rows, methods, "row_id").collect()}
+    assert len(passes) == 1 and set(got) == {"own", "other", "part"}
+    for name, value in got.items():
+        labelled = rows.select("row_id", "features").join(methods[name], "row_id")
+        assert value == pytest.approx(C.silhouette(labelled, "row_id").first()[0], abs=1e-9)
+
+
 def test_beta_recall_equals_brute_force(points, spark):
     df, x = points
     rng = np.random.default_rng(3)
