@@ -186,6 +186,28 @@ def test_ward_equals_brute_force(spark, finish, k, monkeypatch):
     assert {frozenset(s) for s in found.values()} == plain_ward(x, w, k)
 
 
+def test_ward_rounds_do_not_build_on_checkpoints(spark, monkeypatch):
+    """What the planner infers of a checkpoint is kept, so plans of many rounds would grow without end."""
+    from tallybench.plans import ward
+
+    monkeypatch.setattr(ward, "FINISH", 2)
+    monkeypatch.setattr(ward, "CROWDED", 3)
+    cuts, cut = [], ward.cut_lineage
+    monkeypatch.setattr(ward, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    # Gaps grow, so that one pair merges in a round; a graph of all rows is Ward's own.
+    x = np.cumsum(3.0 ** np.arange(9))[:, None]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, features array<double>").coalesce(2)
+    rounds, last = ward.merges(ward.Distinct(df, "row_id"), len(x))
+    assert len(rounds) == len(x) - 2 and len(last) == 1
+    assert len(cuts) <= 2 + len(rounds)  # clusters, graph, and crowded clusters of a round
+    heights = [f.first()["height"] for f in rounds] + [last[0][2]]
+    centre, size, want = x[0, 0], 1, []
+    for v in x[1:, 0]:
+        want.append(size / (size + 1) * (v - centre) ** 2)
+        centre, size = (centre * size + v) / (size + 1), size + 1
+    assert heights == pytest.approx(want)
+
+
 def test_ward_of_few_rows(blobs):
     from tallybench.plans import ward
 
