@@ -1,5 +1,8 @@
 """Fit, predict and score: MLlib estimators over (row_id, features, label) tables."""
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest,
                                        OneVsRestModel,
@@ -15,6 +18,7 @@ from ..operators.regression import regression_scores
 # Boosting parameters of the benchmark.
 BOOSTING = {"maxIter": 5000, "stepSize": 0.01, "maxDepth": 6, "seed": 4221}
 VALIDATION = "is_validation"
+AT_ONCE = 4  # models of one class against the rest that are fitted at a time
 
 
 def vectors(df: DataFrame) -> DataFrame:
@@ -79,8 +83,10 @@ def _one_against_rest(estimator, watched):
     classes = int(watched.agg(F.max("label")).first()[0]) + 1
     watched = watched.persist()
     try:
-        models = [inner.fit(watched.withColumn("label", (F.col("label") == c).cast("double")))
-                  for c in range(classes)]
+        one = inheritable_thread_target(watched.sparkSession)(
+            lambda c: inner.copy().fit(watched.withColumn("label", (F.col("label") == c).cast("double"))))
+        with ThreadPool(max(1, min(classes, AT_ONCE))) as pool:
+            models = pool.map(one, range(classes), chunksize=1)
     finally:
         watched.unpersist()
     return OneVsRestModel(models=models).setFeaturesCol("vector")

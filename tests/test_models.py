@@ -34,6 +34,20 @@ def test_estimators_beat_chance(blobs):
     assert len(rows) == 4 and all(r["accuracy"] > 0.8 and r["roc_auc_ovr_weighted"] > 0.8 for r in rows)
 
 
+def test_models_against_the_rest_are_fitted_at_a_time(spark, monkeypatch):
+    from threading import Barrier
+
+    from pyspark.ml.classification import GBTClassifier
+    from tallybench.plans import supervised
+
+    both, fit = Barrier(2), GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: (both.wait(60), fit(self, data))[1])
+    rows = spark.createDataFrame([(i, [float(i % 2), float(i)], i % 2) for i in range(40)], "row_id long, features array<double>, label int")
+    model = supervised.fit(supervised.boosted_multiclass(maxIter=1, maxDepth=1), rows, rows)
+    got = supervised.predict(model, rows).select("y_true", "y_pred").collect()
+    assert len(got) == 40 and all(r.y_true == r.y_pred for r in got)  # models are in the order of the classes
+
+
 def test_kmeans_and_hierarchical_find_blobs(blobs):
     centred = standard_scale(blobs)  # zero mean, where divisive splits could stall
     for method in (K.kmeans, K.hierarchical):
