@@ -209,6 +209,33 @@ def test_many_dimensions_send_a_row_to_few_tiles(spark, metric, monkeypatch):
     assert got.diameter == pytest.approx(d.max(), rel=1e-12)
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_a_crowded_cell_sends_a_row_to_few_tiles(spark, far, monkeypatch):
+    """Nearly all rows are nearest to one pivot; a cell's blocks would grow with its rows."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(N._block_counts, "__defaults__", (16,))
+    monkeypatch.setattr(N, "GRID", 4)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(800, 3))
+    x[:21] = [[0.0, 0, 0], *[[50.0 + i, 0, 0] for i in range(20)]]
+    monkeypatch.setattr(N, "_pick_pivots", lambda rows, count: x[:21])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, features array<double>")
+    sides, tiled = [], N._tiled
+
+    def seen(queries, rows, q_blocks, c_blocks, run, schema):
+        sides.append((max(q_blocks), max(c_blocks)))
+        return tiled(queries, rows, q_blocks, c_blocks, run, schema)
+
+    monkeypatch.setattr(N, "_tiled", seen)
+    d = dist(x)
+    if far:
+        assert N.diameter(df, "row_id").first()[0] == pytest.approx(d.max(), rel=1e-12)
+    else:
+        got = {r["row_id"]: r["distance"] for r in N.kth_distance(df, "row_id", 4).collect()}
+        assert np.allclose([got[i] for i in range(800)], np.sort(d, axis=1)[:, 3])
+    assert sides and max(max(s) for s in sides) <= 4
+
+
 def test_visits_go_out_a_few_rows_at_a_time(monkeypatch):
     monkeypatch.setattr(blocks, "SENT", 8)
     rng = np.random.default_rng(9)
