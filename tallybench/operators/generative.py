@@ -7,6 +7,7 @@ coverage the mean of the synthetic rows.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.distance import euclidean
+from ..session import cut_lineage
 from .neighbours import knn_graph, nearest_in
 from .ordered import exact_quantiles
 
@@ -83,7 +84,8 @@ def beta_recall(real, synthetic, row_id) -> DataFrame:
     other = knn_graph(real, row_id, 1).select(
         F.col("i").alias(row_id), F.col("distance").alias("to_real"))
     depth = _depth(synthetic, centre, F.col(row_id).alias("nearest"))
-    rows = near.join(other, row_id).join(depth, "nearest")
+    # Read twice, by the radii and by the shares: written once, as it holds two searches.
+    rows = cut_lineage(near.join(other, row_id).join(depth, "nearest").select("to_synthetic", "to_real", "d"))
     radii = _radii(rows, "d")
     covered = F.col("to_synthetic") <= F.col("to_real")
     return _curve_score(rows.withColumn("r", radii),

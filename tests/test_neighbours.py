@@ -236,6 +236,14 @@ def test_a_crowded_cell_sends_a_row_to_few_tiles(spark, far, monkeypatch):
     assert sides and max(max(s) for s in sides) <= 4
 
 
+def test_beta_recall_searches_once(points, monkeypatch):
+    """Radii and shares read one written table; each used to run both searches."""
+    df, _ = points
+    rows = df.select("row_id", "features")
+    plan = G.beta_recall(rows.filter("row_id % 2 = 0"), rows.filter("row_id % 2 = 1"), "row_id")
+    assert "CoGroup" not in plan._jdf.queryExecution().toString()
+
+
 def test_visits_go_out_a_few_rows_at_a_time(monkeypatch):
     monkeypatch.setattr(blocks, "SENT", 8)
     rng = np.random.default_rng(9)
