@@ -5,6 +5,8 @@ matrices (a dozen columns wide) are solved on the driver from aggregated sums. N
 matrix with a row or column per data row is ever formed.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -232,13 +234,14 @@ def fair_spectral_clusters(df, row_id, k, attributes=(), neighbours=15, seed=42)
     """K-means on the smallest Laplacian vectors of the neighbour graph.
 
     The vectors are orthogonal to the centred group indicators of ``attributes``;
-    without attributes no constraint is active.
+    without attributes no constraint is active. They are scaled so that their entries
+    do not shrink with the rows, as k-means ends once centres move less than a fixed length.
     """
     n = df.count()
     edges = symmetric_graph(knn_graph(df.select(row_id, "features"), row_id, min(neighbours, n - 1)))
     rows, n_f = _constraints(df, row_id, attributes)
     found, _ = smallest_laplacian_vectors(cut_lineage(edges), rows, row_id, k, n_f)
-    embedding = found.select(row_id, F.array(*found.columns[1:]).alias("features"))
+    embedding = found.select(row_id, F.array(*[F.col(v) * F.lit(math.sqrt(n)) for v in found.columns[1:]]).alias("features"))
     return kmeans(embedding, row_id, k, seed, starts=10)
 
 

@@ -72,6 +72,22 @@ def test_fair_spectral_equals_dense_eigenvalues(spark, blobs):
     assert np.abs(f @ v).max() < 1e-6
 
 
+def test_fair_spectral_query_has_its_constraint(spark, tmp_path, monkeypatch):
+    from tallybench.catalog.registry import QUERIES
+
+    rng = np.random.default_rng(4)
+    labels = np.repeat([0, 0, 1, 1, 1], 12)  # what bin follows from is what parts the rows
+    x = rng.normal(scale=0.3, size=(60, 2)) + np.repeat([[0, 0], [0, 3], [3, 0], [3, 3], [6, 0]], 12, axis=0)
+    spark.createDataFrame([(i, [float(v) for v in r], int(y)) for i, (r, y) in enumerate(zip(x, labels))],
+                          "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen, fit = [], spectral.kmeans
+    monkeypatch.setattr(spectral, "kmeans", lambda df, *a, **b: seen.append(df) or fit(df, *a, **b))
+    assert QUERIES["m9_fair_spectral"](spark, str(tmp_path)).count() == 60
+    v = np.array([r["features"] for r in seen[0].orderBy("row_id").collect()])
+    assert np.abs((labels - labels.mean()) @ v).max() < 1e-6
+    assert np.allclose((v * v).sum(0), 60)  # not smaller with more rows
+
+
 def test_steps_stay_orthogonal_without_a_pass_each(spark, blobs, monkeypatch):
     rng = np.random.default_rng(5)
     w = rng.random((40, 40)) * (rng.random((40, 40)) < 0.2)
