@@ -230,31 +230,36 @@ def smallest_laplacian_vectors(graph, rows, row_id, k, n_f=0, degree=8, tol=1e-3
     return out, theta[:k]
 
 
-def fair_spectral_clusters(df, row_id, k, attributes=(), neighbours=15, seed=42) -> DataFrame:
+def fair_spectral_clusters(df, row_id, k, attributes=(), neighbours=15, seed=42, graph=None) -> DataFrame:
     """K-means on the smallest Laplacian vectors of the neighbour graph.
 
     The vectors are orthogonal to the centred group indicators of ``attributes``;
     without attributes no constraint is active. They are scaled so that their entries
     do not shrink with the rows, as k-means ends once centres move less than a fixed length.
+    ``graph`` is the ``knn_graph`` of the rows, if known.
     """
     n = df.count()
-    edges = symmetric_graph(knn_graph(df.select(row_id, "features"), row_id, min(neighbours, n - 1)))
+    if graph is None:
+        graph = knn_graph(df.select(row_id, "features"), row_id, min(neighbours, n - 1))
+    edges = symmetric_graph(graph)
     rows, n_f = _constraints(df, row_id, attributes)
     found, _ = smallest_laplacian_vectors(cut_lineage(edges), rows, row_id, k, n_f)
     embedding = found.select(row_id, F.array(*[F.col(v) * F.lit(math.sqrt(n)) for v in found.columns[1:]]).alias("features"))
     return kmeans(embedding, row_id, k, seed, starts=10)
 
 
-def density_embedding(df, row_id, attributes=(), min_points=5, width=10):
+def density_embedding(df, row_id, attributes=(), min_points=5, width=10, dist=None):
     """(row_id, v0..): generalised eigenvectors of the density similarity.
 
     The similarity of two rows is the mean of their scores, so with the degree d
     and a = d + s the Laplacian is diag(a) minus a rank-two part. A shifted solve
     (L - shift D)^-1 is then a division per row plus a small system over sums, and
     the subspace iteration needs no join at all. The constant vector (eigenvalue 0)
-    is known and kept as v0; the others are D-orthogonal to it.
+    is known and kept as v0; the others are D-orthogonal to it. ``dist`` is the
+    ``kth_distance`` of ``min_points``, if known.
     """
-    dist = kth_distance(df.select(row_id, "features"), row_id, min_points)
+    if dist is None:
+        dist = kth_distance(df.select(row_id, "features"), row_id, min_points)
     scored = min_max_similarity(dist, "distance", "s")
     groups, n_f = _constraints(df, row_id, attributes)
     base = similarity_degrees(scored.join(groups, row_id), "s").withColumnRenamed("degree", "d")
@@ -306,14 +311,14 @@ def density_embedding(df, row_id, attributes=(), min_points=5, width=10):
         *[F.col(f"v{j}").alias(f"v{j + 1}") for j in range(count)]), 1 + theta[:count]
 
 
-def density_fair_clusters(df, row_id, k, attributes=(), min_points=5, seed=42) -> DataFrame:
+def density_fair_clusters(df, row_id, k, attributes=(), min_points=5, seed=42, dist=None) -> DataFrame:
     """K-means on the density embedding, without small clusters.
 
     Clusters below ``min_points`` rows become noise; while fewer than k remain the
     number of clusters and vectors grows, up to the width of the embedding. When
     that is used up every row gets cluster 0.
     """
-    embedding, _ = density_embedding(df, row_id, attributes, min_points)
+    embedding, _ = density_embedding(df, row_id, attributes, min_points, dist=dist)
     embedding = cut_lineage(embedding)
     names = embedding.columns[1:]
     for size in range(k, len(names) + 1):

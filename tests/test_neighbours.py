@@ -107,6 +107,48 @@ def test_methods_are_compared_with_one_diameter(points, spark, monkeypatch):
     assert C.compare_methods(df, {"one": tables["one"]}, "row_id").count() == 0
 
 
+def test_graph_and_distance_come_from_one_search(points, block, monkeypatch):
+    df = points[0].select("row_id", "features")
+    graph, dist = N.knn_graph(df, "row_id", 15).collect(), N.kth_distance(df, "row_id", 5).collect()
+    searches, join = [], N.knn_join
+    monkeypatch.setattr(N, "knn_join", lambda *a: searches.append(1) or join(*a))
+    one, other = N.knn_graph_with_distance(df, "row_id", 15, 5)
+    assert sorted(one.collect()) == sorted(graph) and sorted(other.collect()) == sorted(dist) and len(searches) == 1
+
+
+def test_a_tile_gives_the_sums_of_both_sides():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(40, 3)) + 1e3, rng.normal(size=(30, 3)) + 1e3
+    y[0] = x[0]
+
+    def side(name, vectors, values, clusters, first):
+        return pd.DataFrame({name: np.arange(len(values)) + first, vectors: list(values), "method": [np.array([7])] * len(values),
+                             "cluster": [np.array([c]) for c in clusters], "copies": [np.array([2])] * len(values)})
+
+    a, b = np.arange(40) % 2, np.arange(30) % 3
+    left, right = side("q", "query_vector", x, a, 0), side("c", "row_vector", y, b, 100)
+    out = blocks.distance_sums("euclidean")(left.assign(block=0, other=1), right)
+    got = {(r.q, r.cluster): r.total for r in out.itertuples()}
+    d = dist(x, y)
+    assert len(got) == 40 * 3 + 30 * 2 and set(out["method"]) == {7}
+    assert all(got[i, c] == pytest.approx(2 * d[i, b == c].sum(), rel=1e-12) for i in range(40) for c in range(3))
+    assert all(got[100 + j, c] == pytest.approx(2 * d[a == c, j].sum(), rel=1e-12) for j in range(30) for c in range(2))
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e-5, 1e-160, 1e200])
+def test_single_precision_only_rules_out(spread):
+    """Tight clusters far apart: what single precision cannot tell apart is compared in double precision."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(600, 5)) * spread + np.repeat([[0.0] * 5, [1.0] * 5], 300, axis=0)) * (1.0 if spread < 1e100 else 1e-250)
+    d = dist(x)
+    left = pd.DataFrame({"q": np.arange(600), "query_vector": list(x)})
+    right = pd.DataFrame({"c": np.arange(600), "row_vector": list(x)})
+    out = blocks.nearest(7, "euclidean")(left, right).sort_values(["q", "distance", "c"])
+    want = [sorted((d[i, j], j) for j in range(600))[:7] for i in range(600)]
+    assert np.allclose(out["distance"].to_numpy().reshape(600, 7), [[v for v, _ in row] for row in want], rtol=1e-12, atol=0)
+    assert blocks.farthest("euclidean")(left, right)["distance"].iloc[0] == pytest.approx(d.max(), rel=1e-12)
+
+
 def test_methods_are_compared_in_one_pass(points, spark, monkeypatch):
     rows, x = points
     passes, sums = [], N._sums_to
