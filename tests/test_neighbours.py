@@ -358,6 +358,37 @@ def test_approximate_lists_hold_the_exact_ones(spark, kind, monkeypatch):
     assert recall(df, 8) >= 0.95
 
 
+def test_rounds_send_codes_where_they_are_fine_enough():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 64)) + 100
+    near = np.where(np.arange(50) < 30, 9.0, 0.05)  # of the others bytes cannot tell the neighbours apart
+    near[40:] = 1e-9
+    x[0, 0] = np.nan
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(50)), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(near)], ["q", "features", "near"])
+    centre = np.full(64, 100.0)
+    (out,) = descent._codes(centre, "euclidean")([batch])
+    sizes = [len(c) for c in out.column(1).to_pylist()]
+    assert sizes[0] == 512 and sizes[1:30] == [8 + 64] * 29 and sizes[30:40] == [8 + 128] * 10 and sizes[40:] == [512] * 10
+    back, error = descent._decoded(out.column(1), centre), out.column(2).to_numpy()
+    gap = np.sqrt(((back - x) ** 2).sum(1))
+    assert (gap[1:] <= error[1:]).all() and (error <= descent.COARSE * near).all() and (back[40:] == x[40:]).all()
+    assert np.array_equal(descent._decoded(out.column(1).slice(25, 20), centre), back[25:45])
+    (bits,) = descent._codes(centre, "hamming")([batch])
+    assert set(map(len, bits.column(1).to_pylist())) == {512}
+
+
+def test_approximate_distances_are_exact_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(descent, "START_ROWS", 32)
+    monkeypatch.setattr(descent, "COARSE", 0.2)  # all rows are sent as codes of a byte a number
+    x = np.random.default_rng(9).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, features array<double>")
+    d = dist(x)
+    for r in descent.knn_graph_approximate(df, "row_id", 5).collect():
+        assert r.distance == pytest.approx(d[r.i, r.j], rel=1e-12)
+
+
 def test_approximate_lists_of_bits_and_small_tables(spark):
     rng = np.random.default_rng(6)
     bits = [(i, r.tolist()) for i, r in enumerate(rng.integers(0, 2, (300, 40)).astype(float))]
