@@ -238,6 +238,28 @@ def test_ward_rounds_do_not_build_on_checkpoints(spark, monkeypatch):
     assert heights == pytest.approx(want)
 
 
+def test_ward_graph_sends_no_centres(spark, monkeypatch):
+    """Its distances are known from the search; only sizes are joined to the edges."""
+    from tallybench.plans import ward
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(40 + i, x[0].tolist()) for i in range(3)], "row_id long, features array<double>")
+    monkeypatch.setattr(ward, "FINISH", 30)
+    told, ends = [], ward._ends
+    monkeypatch.setattr(ward, "_ends", lambda edges, clusters: told.append((clusters.columns, ends(edges, clusters))) or told[-1][1])
+    heights = []
+    monkeypatch.setattr(ward, "_merged", lambda edges: heights.append(edges.collect()) or edges.limit(11).select("a", "b", "height"))
+    monkeypatch.setattr(ward, "_joined", lambda clusters, found: clusters)
+    monkeypatch.setattr(ward, "_finish", lambda clusters: [])
+    ward.merges(ward.Distinct(df, "row_id"), 4)
+    assert told[0][0] == ["id", "size"]
+    w = np.ones(40)
+    w[0] = 4
+    for r in heights[0]:
+        assert r.height == pytest.approx(w[r.a] * w[r.b] / (w[r.a] + w[r.b]) * ((x[r.a] - x[r.b]) ** 2).sum(), rel=1e-12)
+
+
 def test_ward_of_few_rows(blobs):
     from tallybench.plans import ward
 
